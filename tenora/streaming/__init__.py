@@ -1,0 +1 @@
+"""Intentionally empty: every supported workload is one-shot batch, so no streaming operator is offered."""
