@@ -1,28 +1,44 @@
-"""Per-group values used inside row expressions without joining the big side."""
+"""Long form of wide numeric frames, and small per-group results brought back to the rows."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenora.operators.quantiles import MAX_INLINE_GROUPS
+MAX_BROADCAST_ROWS = 4096
 
 
-def inline_by_group(small: DataFrame, keys: Sequence[str]) -> Column:
-    """Struct of the other columns of ``small`` for the current row's group.
+def to_long(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, column, value) with a double value, nulls left out.
 
-    ``small`` has one row per group. It reaches the expression as one scalar-subquery value whose size is
-    checked, so the rows that use it are neither shuffled nor joined.
+    Statistics of many columns become a few aggregates over a short group key, which keeps the generated
+    code small however wide the frame is.
     """
-    values = F.struct(*[c for c in small.columns if c not in keys])
-    if not keys:
-        return small.select(values).scalar()
-    entries = F.collect_list(F.struct(F.struct(*keys).alias("key"), values.alias("value")))
-    lookup = small.agg(
-        F.when(F.size(entries) <= MAX_INLINE_GROUPS, F.map_from_entries(entries)).otherwise(
-            F.raise_error(F.lit("too many groups for an inline lookup; join on the keys instead"))
-        )
-    ).scalar()
-    return F.element_at(lookup, F.struct(*keys))
+    cells = F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns
+    ])
+    return (
+        df.select(*keys, F.explode(cells).alias("cell"))
+        .select(*keys, "cell.*")
+        .filter(F.col("value").isNotNull())
+    )
+
+
+def bounded_broadcast(small: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``small`` as a broadcast side whose row count is checked while the query runs.
+
+    More than ``limit`` rows raise an error (none are dropped): the caller should then join on the keys
+    without broadcasting.
+    """
+    gathered = small.limit(limit + 1).agg(F.collect_list(F.struct(*small.columns)).alias("rows"))
+    checked = F.when(F.size("rows") <= limit, F.col("rows")).otherwise(
+        F.raise_error(F.lit(f"more than {limit} groups: use few_groups=False"))
+    )
+    return F.broadcast(gathered.select(F.explode(checked).alias("row")).select("row.*"))
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], few_groups: bool = True) -> DataFrame:
+    """Inner join of rows with one-row-per-group results."""
+    return rows.join(bounded_broadcast(groups) if few_groups else groups, list(keys))

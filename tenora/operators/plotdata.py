@@ -1,4 +1,4 @@
-"""The numbers behind the plots: histograms, box statistics, matrices and series."""
+"""The numbers behind the plots: histograms, box statistics and scatter points."""
 
 from __future__ import annotations
 
@@ -8,33 +8,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenora.operators.aggregate import non_null
-from tenora.operators.lookup import inline_by_group
-from tenora.operators.quantiles import exact_percentiles
+from tenora.operators.lookup import join_groups, to_long
+from tenora.operators.quantiles import percentiles_long
 
 
 def histograms(df: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
     """(column, ordinal, low, high, n) of equal-width, left-closed bins; the last bin is closed.
 
-    All columns are binned in one pass; each row is reduced to bin numbers before the shuffle.
+    Each row is reduced to bin numbers before the shuffle. A column with one value gets half a unit of
+    room on each side, as plotting libraries do.
     """
-    names = list(columns)
-    ends = df.select(F.struct(*[
-        F.struct(F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi")).alias(c)
-        for c in names
-    ])).scalar()
-    marks = []
-    for c in names:
-        lo, hi, x = ends[c]["lo"], ends[c]["hi"], F.col(c).cast("double")
-        # One value only: half a unit to each side, as plotting libraries do.
-        lo, hi = F.when(hi > lo, lo).otherwise(lo - 0.5), F.when(hi > lo, hi).otherwise(hi + 0.5)
-        ordinal = F.least(F.floor((x - lo) / ((hi - lo) / bins)), F.lit(bins - 1)).cast("int")
-        marks.append(F.when(x.isNotNull(), F.struct(
-            F.lit(c).alias("column"), ordinal.alias("ordinal"), lo.alias("lo"), hi.alias("hi")
-        )))
+    long = to_long(df, columns)
+    lo, hi = F.min("value"), F.max("value")
+    ends = long.groupBy("column").agg(
+        F.when(hi > lo, lo).otherwise(lo - 0.5).alias("lo"), F.when(hi > lo, hi).otherwise(hi + 0.5).alias("hi")
+    )
     width = (F.col("hi") - F.col("lo")) / bins
+    ordinal = F.least(F.floor((F.col("value") - F.col("lo")) / width), F.lit(bins - 1)).cast("int")
     return (
-        df.select(F.explode(F.array_compact(F.array(*marks))).alias("m"))
-        .groupBy("m.column", "m.ordinal", "m.lo", "m.hi")
+        join_groups(long, ends, ["column"])
+        .groupBy("column", ordinal.alias("ordinal"), "lo", "hi")
         .agg(F.count(F.lit(1)).alias("n"))
         .select(
             "column", "ordinal",
@@ -56,40 +49,17 @@ def box_stats(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) ->
 
     Whiskers stop at the outermost data points within 1.5 interquartile ranges of the box.
     """
-    names, keys = list(columns), list(by)
-    rows = non_null(df, keys).select(*keys, *[F.col(c).cast("double").alias(c) for c in names])
-    quart = exact_percentiles(rows, names, {"q1": 0.25, "median": 0.5, "q3": 0.75}, keys)
-    q = inline_by_group(quart, keys)
-    aggs = []
-    for c in names:
-        q1, q3 = q[f"{c}_q1"], q[f"{c}_q3"]
-        low, high, x = q1 - (q3 - q1) * 1.5, q3 + (q3 - q1) * 1.5, F.col(c)
-        inside = (x >= low) & (x <= high)
-        aggs += [
-            F.count(x).alias(f"{c}_n"),
-            F.min(F.when(inside, x)).alias(f"{c}_low"),
-            F.max(F.when(inside, x)).alias(f"{c}_high"),
-            F.count_if(~inside).alias(f"{c}_out"),
-        ]
-    reach = rows.groupBy(*keys).agg(*aggs)
-    if keys:
-        both = reach.join(quart, keys)
-    else:
-        both = reach.withColumns({c: q[c] for c in quart.columns})
-    boxes = F.array(*[
-        F.struct(
-            F.lit(c).alias("column"),
-            F.col(f"{c}_n").alias("n"),
-            F.col(f"{c}_q1").alias("q1"),
-            F.col(f"{c}_median").alias("median"),
-            F.col(f"{c}_q3").alias("q3"),
-            F.col(f"{c}_low").alias("whisker_low"),
-            F.col(f"{c}_high").alias("whisker_high"),
-            F.col(f"{c}_out").alias("outliers"),
-        )
-        for c in names
-    ])
-    return both.select(*keys, F.explode(boxes).alias("box")).select(*keys, "box.*")
+    slot = [*by, "column"]
+    long = to_long(non_null(df, by), columns, by)
+    quartiles = percentiles_long(long, slot, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    x, reach = F.col("value"), (F.col("q3") - F.col("q1")) * 1.5
+    inside = (x >= F.col("q1") - reach) & (x <= F.col("q3") + reach)
+    return join_groups(long, quartiles, slot).groupBy(*slot, "q1", "median", "q3").agg(
+        F.count(x).alias("n"),
+        F.min(F.when(inside, x)).alias("whisker_low"),
+        F.max(F.when(inside, x)).alias("whisker_high"),
+        F.count_if(~inside).alias("outliers"),
+    )
 
 
 def scatter_points(df: DataFrame, columns: Sequence[str], fraction: float = 1.0, seed: int = 42) -> DataFrame:

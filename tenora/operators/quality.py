@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenora.operators.aggregate import null_counts
-from tenora.operators.quantiles import exact_percentiles
+from tenora.operators.lookup import to_long
+from tenora.operators.quantiles import percentiles_long
 from tenora.operators.select import columns_of, replace_sentinels
 
 
@@ -30,21 +31,16 @@ def describe_text(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 
 def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, count, mean, std, min, q25, q50, q75, max), quartiles exact and interpolated."""
-    names = list(columns or columns_of(df, "numeric"))
-    rows = df.select(*[F.col(c).cast("double").alias(c) for c in names])
-    stats = ("count", "mean", "std", "min", "max")
-    fn = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-    moments = rows.select(F.struct(*[fn[s](c).alias(f"{c}_{s}") for c in names for s in stats])).scalar()
-    quart = exact_percentiles(rows, names, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    cells = F.array(*[
-        F.struct(
-            F.lit(c).alias("column"),
-            *[F.col("m")[f"{c}_{s}"].alias(s) for s in stats],
-            *[F.col(f"{c}_{q}").alias(q) for q in ("q25", "q50", "q75")],
-        )
-        for c in names
-    ])
-    return quart.withColumn("m", moments).select(F.explode(cells).alias("d")).select("d.*")
+    long = to_long(df, list(columns or columns_of(df, "numeric")))
+    moments = long.groupBy("column").agg(
+        F.count("value").alias("count"),
+        F.avg("value").alias("mean"),
+        F.stddev_samp("value").alias("std"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
+    )
+    quartiles = percentiles_long(long, ["column"], {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return moments.join(quartiles, "column")
 
 
 def dataset_shape(df: DataFrame) -> DataFrame:

@@ -8,18 +8,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_INLINE_GROUPS = 4096
+from tenora.operators.lookup import join_groups, to_long
 
 
-def exact_percentiles(
-    df: DataFrame,
-    columns: Sequence[str],
+def percentiles_long(
+    rows: DataFrame,
+    slot: Sequence[str],
     probabilities: Mapping[str, float],
-    by: Sequence[str] = (),
+    value: str = "value",
     accuracy: int = 10_000,
     few_groups: bool = True,
 ) -> DataFrame:
-    """One row per group with ``<column>_<suffix>`` for every suffix in ``probabilities``.
+    """One row per ``slot`` with a column per suffix in ``probabilities``.
 
     The built-in exact percentile keeps every distinct value of a group in one buffer. Here a first pass
     builds a bounded quantile sketch per group and brackets each wanted rank; a second pass counts what
@@ -27,77 +27,69 @@ def exact_percentiles(
     order statistics. Groups up to ``accuracy`` rows use all values as candidates. A rank outside its
     bracket raises instead of giving a wrong value.
 
-    ``few_groups`` inlines the brackets as one bounded lookup (checked); turn it off to group by
-    high-cardinality keys, which joins the brackets on the keys instead.
+    ``few_groups`` broadcasts the brackets after checking how many there are; turn it off to group by
+    high-cardinality keys, which joins them on the keys instead.
     """
-    keys, names = list(by), list(probabilities)
+    slot, names = list(slot), list(probabilities)
     probs = [float(probabilities[s]) for s in names]
-    for k in keys:
-        df = df.filter(F.col(k).isNotNull())
-    df = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
-
     margin = 4.0 / accuracy
     cuts = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
-    bracket = F.array(*[
-        F.struct(
-            F.count(c).alias("n"),
-            F.percentile_approx(c, cuts, accuracy).alias("cuts"),
-        )
-        for c in columns
-    ])
-    sketch = df.groupBy(*keys).agg(bracket.alias("_b"))
-    if not keys or few_groups:
-        from tenora.operators.lookup import inline_by_group
-
-        rows = df.withColumn("_b", inline_by_group(sketch, keys)["_b"])
-    else:
-        rows = df.join(sketch, keys)
-
+    brackets = rows.groupBy(*slot).agg(
+        F.count(value).alias("n"), F.percentile_approx(value, cuts, accuracy).alias("cuts")
+    )
+    v = F.col(value)
     marks = []
-    for i, c in enumerate(columns):
-        b = F.col("_b")[i]
-        for j in range(len(probs)):
-            low = F.when(b["n"] > accuracy, b["cuts"][j]).otherwise(F.lit(float("-inf")))
-            high = F.when(b["n"] > accuracy, b["cuts"][len(probs) + j]).otherwise(F.lit(float("inf")))
-            value = F.when(F.col(c) >= low, F.col(c))
-            marks.append(
-                F.when(
-                    F.col(c).isNotNull() & (F.col(c) <= high),
-                    F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), b["n"].alias("n"), value.alias("v")),
-                )
-            )
-    slot = [*keys, "i", "j"]
+    for j in range(len(probs)):
+        low = F.when(F.col("n") > accuracy, F.col("cuts")[j]).otherwise(F.lit(float("-inf")))
+        high = F.when(F.col("n") > accuracy, F.col("cuts")[len(probs) + j]).otherwise(F.lit(float("inf")))
+        marks.append(F.when(v <= high, F.struct(F.lit(j).alias("j"), F.when(v >= low, v).alias("v"))))
     counted = (
-        rows.select(*keys, F.explode(F.array_compact(F.array(*marks))).alias("m"))
-        .groupBy(*keys, "m.i", "m.j", "m.n", "m.v")
+        join_groups(rows, brackets, slot, few_groups)
+        .select(*slot, "n", F.explode(F.array_compact(F.array(*marks))).alias("m"))
+        .groupBy(*slot, "n", "m.j", "m.v")
         .agg(F.count(F.lit(1)).alias("k"))
     )
     upto = F.sum("k").over(
-        Window.partitionBy(*slot)
+        Window.partitionBy(*slot, "j")
         .orderBy(F.col("v").asc_nulls_first())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    prob = F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("j") + 1)
-    position = prob * (F.col("n") - 1)
+    position = F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("j") + 1) * (F.col("n") - 1)
 
     def at(rank: Column) -> Column:
         hit = (F.col("upto") > rank) & (F.col("upto") - F.col("k") <= rank)
         return F.max(F.when(hit, F.col("v")))
 
-    found = counted.withColumn("upto", upto).groupBy(*slot, "n").agg(
+    found = counted.withColumn("upto", upto).groupBy(*slot, "n", "j").agg(
         at(F.floor(position)).alias("a"), at(F.ceil(position)).alias("z")
     )
-    value = F.when(
+    solved = F.when(
         F.col("a").isNotNull() & F.col("z").isNotNull(),
         F.col("a") + (F.col("z") - F.col("a")) * (position - F.floor(position)),
     ).otherwise(F.raise_error(F.lit("percentile rank outside its bracket; raise accuracy")).cast("double"))
-    solved = found.withColumn("value", value)
-    wide = [
-        F.max(F.when((F.col("i") == i) & (F.col("j") == j), F.col("value"))).alias(f"{c}_{s}")
-        for i, c in enumerate(columns)
-        for j, s in enumerate(names)
-    ]
-    return solved.groupBy(*keys).agg(*wide)
+    return found.withColumn("solved", solved).groupBy(*slot).agg(*[
+        F.max(F.when(F.col("j") == j, F.col("solved"))).alias(s) for j, s in enumerate(names)
+    ])
+
+
+def exact_percentiles(
+    df: DataFrame,
+    columns: Sequence[str],
+    probabilities: Mapping[str, float],
+    by: Sequence[str] = (),
+    accuracy: int = 10_000,
+    few_groups: bool = True,
+) -> DataFrame:
+    """Wide form: one row per group with ``<column>_<suffix>`` for every column and suffix."""
+    keys, names = list(by), list(probabilities)
+    for k in keys:
+        df = df.filter(F.col(k).isNotNull())
+    long = percentiles_long(
+        to_long(df, columns, keys), [*keys, "column"], probabilities, accuracy=accuracy, few_groups=few_groups
+    )
+    return long.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("column") == c, F.col(s))).alias(f"{c}_{s}") for c in columns for s in names
+    ])
 
 
 def medians(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), **kw) -> DataFrame:
