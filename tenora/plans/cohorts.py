@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenora.functions.binning import group_by_edges
@@ -49,7 +49,10 @@ TENURE_EDGES = [0, 12, 24, 36, 48, 60, 72]
 TENURE_LABELS = ["0-12", "13-24", "25-36", "37-48", "49-60", "61-72"]
 
 CLUSTER, STATUS = "Cluster", "Customer_Status"
-_churned = F.col(STATUS) == "Churned"
+
+
+def _churned() -> Column:
+    return F.col(STATUS) == "Churned"
 
 
 def in_focus(df: DataFrame, focus: int = 1) -> DataFrame:
@@ -64,7 +67,7 @@ def cluster_stats(df: DataFrame) -> DataFrame:
         .groupBy(CLUSTER)
         .agg(
             F.count(F.lit(1)).alias("n"),
-            percent_where(_churned).alias("churn_pct"),
+            percent_where(_churned()).alias("churn_pct"),
             mean_of("Churn_Score").alias("churn_score_avg"),
             mean_of("CLTV").alias("cltv_avg"),
             mean_of("Tenure_in_Months").alias("tenure_avg"),
@@ -107,7 +110,7 @@ def cltv_by_status(df: DataFrame, size: int = 1000) -> DataFrame:
 
 
 def churned_share_in_range(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
-    return share_in_range(df, column, _churned, low, high)
+    return share_in_range(df, column, _churned(), low, high)
 
 
 def customer_bins(df: DataFrame) -> DataFrame:
@@ -173,7 +176,7 @@ def offer_distribution(df: DataFrame, values: Sequence | None = None) -> DataFra
 
 def _churn_and_means(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
     return group_stats(
-        df, by, {c: ["mean"] for c in columns}, [percent_where(_churned).alias("churn_pct")]
+        df, by, {c: ["mean"] for c in columns}, [percent_where(_churned()).alias("churn_pct")]
     )
 
 
@@ -275,7 +278,7 @@ def focus_crosstab(
 
 
 def churned_by_method(df: DataFrame, focus: int = 1) -> DataFrame:
-    return value_shares(in_focus(df, focus).filter(_churned), "Payment_Method")
+    return value_shares(in_focus(df, focus).filter(_churned()), "Payment_Method")
 
 
 # --- satisfaction -------------------------------------------------------------------------------------

@@ -32,7 +32,7 @@ def build_session(app_name: str = "tenora", master: str | None = None, **conf: s
     return builder.getOrCreate()
 
 
-_LOCK = threading.Lock()
+_LOCK = threading.RLock()  # a build may itself read another shared table
 _TABLES: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 _LOCAL_SCRATCH: dict[str, str] = {}
 

@@ -84,28 +84,23 @@ def infer_types(text: DataFrame, rows: str = "all") -> DataFrame:
         text = text.limit(1)
     elif rows != "all":
         raise ValueError("rows must be 'all' or 'first'")
-    steps = [name for name, _ in TYPE_LADDER]
-
-    def failures(c: str, cast: str):
-        return F.count_if(F.col(c).isNotNull() & F.col(c).try_cast(cast).isNull())
-
-    once = text.agg(*[
-        F.struct(
-            F.count(c).alias("non_null"),
-            *[failures(c, cast).alias(f"bad_{i}") for i, (_, cast) in enumerate(TYPE_LADDER)],
-        ).alias(c)
-        for c in text.columns
-    ])
+    value = F.col("value")
     cells = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.lit(i).alias("position"), F.col(f"`{c}`").alias("s"))
+        F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.col(f"`{c}`").alias("value"))
         for i, c in enumerate(text.columns)
     ])
-    rows_ = once.select(F.explode(cells).alias("x")).select("x.column", "x.position", "x.s.*")
+    failures = [
+        F.count_if(value.isNotNull() & value.try_cast(cast).isNull()).alias(f"bad_{i}")
+        for i, (_, cast) in enumerate(TYPE_LADDER)
+    ]
+    seen = text.select(F.explode(cells).alias("cell")).select("cell.*").groupBy("position", "column").agg(
+        F.count(value).alias("non_null"), *failures
+    )
     kind = F.when(F.col("non_null") == 0, F.lit("string"))
-    for i, name in enumerate(steps):
+    for i, (name, _) in enumerate(TYPE_LADDER):
         kind = kind.when(F.col(f"bad_{i}") == 0, F.lit(name))
-    return rows_.withColumn("type", kind.otherwise(F.lit("string"))).select(
-        "column", "position", "type", "non_null", *[f"bad_{i}" for i in range(len(steps))]
+    return seen.withColumn("type", kind.otherwise(F.lit("string"))).select(
+        "column", "position", "type", "non_null", *[f"bad_{i}" for i in range(len(TYPE_LADDER))]
     )
 
 
