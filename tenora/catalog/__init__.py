@@ -4,5 +4,5 @@ from tenora.catalog.registry import CATALOG
 
 
 def load() -> dict:
-    from tenora.catalog import basics, reports, tables  # noqa: F401
+    from tenora.catalog import basics, reports, segments, tables  # noqa: F401
     return CATALOG
