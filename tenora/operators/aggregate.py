@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import combinations_with_replacement, product
+from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -114,15 +114,16 @@ def correlation_matrix(
 ) -> DataFrame:
     """Pearson matrix in long form (x, y, r). Each pair is computed once, in a single aggregation."""
     rows = df.na.drop(subset=list(columns)) if listwise else df
-    pairs = list(combinations_with_replacement(columns, 2))
+    pairs = list(combinations(columns, 2))
+    with_itself = [F.when(F.stddev_pop(F.col(c).cast("double")) > 0, 1.0).alias(f"{c}|{c}") for c in columns]
     wide = non_null(rows, by).groupBy(*by).agg(
-        *[guarded_corr(a, b).alias(f"{a}|{b}") for a, b in pairs]
+        *with_itself, *[guarded_corr(a, b).alias(f"{a}|{b}") for a, b in pairs]
     )
     cells = [
         F.struct(
             F.lit(a).alias("x"),
             F.lit(b).alias("y"),
-            F.col(f"`{a}|{b}`" if (a, b) in pairs else f"`{b}|{a}`").alias("r"),
+            F.col(f"`{b}|{a}`" if (b, a) in pairs else f"`{a}|{b}`").alias("r"),
         )
         for a, b in product(columns, repeat=2)
     ]

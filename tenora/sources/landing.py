@@ -14,12 +14,13 @@ from tenora.sources.sinks import export_typed
 
 # Files whose name contains one of these are outputs of earlier runs, not sources.
 GENERATED_WORDS = ("transformed", "cleaned")
-# The type ladder, narrowest first, as (type to declare, cast that must succeed).
+# The type ladder, narrowest first, as (type to declare, cast that must succeed, shape of the
+# text). Text without the shape fails at once, without trying the cast.
 TYPE_LADDER = (
-    ("smallint", "smallint"),
-    ("int", "int"),
-    ("decimal(18,3)", "decimal(38,9)"),
-    ("date", "date"),
+    ("smallint", "smallint", r"^\s*[+-]?[0-9]+\s*$"),
+    ("int", "int", r"^\s*[+-]?[0-9]+\s*$"),
+    ("decimal(18,3)", "decimal(38,9)", r"^\s*[+-]?[0-9.]+([eE][+-]?[0-9]+)?\s*$"),
+    ("date", "date", r"^\s*[0-9]+-"),
 )
 
 
@@ -90,14 +91,15 @@ def infer_types(text: DataFrame, rows: str = "all") -> DataFrame:
         for i, c in enumerate(text.columns)
     ])
     failures = [
-        F.count_if(value.isNotNull() & value.try_cast(cast).isNull()).alias(f"bad_{i}")
-        for i, (_, cast) in enumerate(TYPE_LADDER)
+        F.count_if(value.isNotNull() & ~F.when(value.rlike(shape), value.try_cast(cast).isNotNull()).otherwise(False))
+        .alias(f"bad_{i}")
+        for i, (_, cast, shape) in enumerate(TYPE_LADDER)
     ]
     seen = text.select(F.explode(cells).alias("cell")).select("cell.*").groupBy("position", "column").agg(
         F.count(value).alias("non_null"), *failures
     )
     kind = F.when(F.col("non_null") == 0, F.lit("string"))
-    for i, (name, _) in enumerate(TYPE_LADDER):
+    for i, (name, _, _) in enumerate(TYPE_LADDER):
         kind = kind.when(F.col(f"bad_{i}") == 0, F.lit(name))
     return seen.withColumn("type", kind.otherwise(F.lit("string"))).select(
         "column", "position", "type", "non_null", *[f"bad_{i}" for i in range(len(TYPE_LADDER))]
@@ -117,14 +119,14 @@ def load_typed(spark: SparkSession, paths: str | Sequence[str], schema: T.Struct
 
 
 def load_with_rejects(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """Typed rows, and the rows that do not fit with their text in ``_rejected``."""
-    wide = T.StructType([*schema.fields, T.StructField("_rejected", T.StringType())])
-    rows = (
-        spark.read.schema(wide).option("header", True).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_rejected").option("columnPruning", False).csv(path)
-    )
-    broken = F.col("_rejected").isNotNull()
-    return rows.filter(~broken).drop("_rejected"), rows.filter(broken)
+    """Typed rows, and the rows (still as text) in which some value does not fit its type."""
+    text = spark.read.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])).option(
+        "header", True).csv(path)
+    broken = F.lit(False)
+    for f in schema.fields:
+        broken = broken | (F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull())
+    typed = text.filter(~broken).select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
+    return typed, text.filter(broken)
 
 
 def import_folder(
