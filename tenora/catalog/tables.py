@@ -8,7 +8,7 @@ from tenora.catalog.profile_sql import with_profile, with_raw
 from tenora.catalog.registry import register
 from tenora.plans import normalize as N
 from tenora.plans.profile import FLAG_COLUMNS, WIDE_COLUMNS, profile, raw_customers, read_table
-from tenora.session import scratch_root, shared_table
+from tenora.session import scratch_path, shared_table
 from tenora.sources import landing as L
 from tenora.sources import sinks as K
 from tenora.sources.audit import latest_status
@@ -191,9 +191,7 @@ def _(spark, sf):
 
 def _landing_folder(spark, sf) -> str:
     """Raw customer rows written once as CSV files whose headers contain spaces."""
-    import hashlib
-
-    folder = f"{scratch_root(spark)}/landing-{hashlib.md5(sf.encode()).hexdigest()[:12]}"
+    folder = scratch_path(spark, "landing-files", sf)
 
     def build():
         raw = raw_customers(profile(spark, sf))
@@ -267,7 +265,7 @@ def _(spark, sf):
     wide = profile(spark, sf)
     flags = encode_binary(raw_customers(wide), ["Gender", *FLAG_COLUMNS])
     joined = flags.join(wide.select("Customer_ID", "Cluster"), "Customer_ID")
-    path = f"{scratch_root(spark)}/transformed-{abs(hash(sf))}"
+    path = scratch_path(spark, "transformed", sf)
     K.write_transformed(joined, path)
     return spark.read.option("header", True).option("inferSchema", True).csv(path).select(
         "Customer_ID", "Gender", *FLAG_COLUMNS, "Contract", "Cluster")
@@ -278,7 +276,7 @@ def _(spark, sf):
     "FROM orders"))
 def _(spark, sf):
     orders = read_table(spark, sf, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("date"))
-    path = f"{scratch_root(spark)}/export-{abs(hash(sf))}"
+    path = scratch_path(spark, "export", sf)
     K.export_typed(orders, path)
     return K.read_export(spark, path)
 

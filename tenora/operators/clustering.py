@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tenora.functions.rates import mean_of, share_of
 from tenora.operators.aggregate import non_null
-from tenora.operators.lookup import join_groups, to_long
+from tenora.operators.lookup import join_groups, sorted_categories, to_long
 
 
 def as_vector(df: DataFrame, column: str) -> DataFrame:
@@ -190,5 +190,5 @@ def variances(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def label_encode(df: DataFrame, column: str, name: str) -> DataFrame:
     """Alphabetical ordinal of a text category (few distinct values)."""
-    categories = df.select(F.array_sort(F.collect_set(column))).scalar()
-    return df.withColumn(name, (F.array_position(categories, F.col(column)) - 1).cast("int"))
+    position = F.array_position(sorted_categories(df, column), F.col(column))
+    return df.withColumn(name, (position - 1).cast("int"))

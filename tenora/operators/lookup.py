@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 4096
@@ -39,6 +39,17 @@ def bounded_broadcast(small: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> Data
     return F.broadcast(gathered.select(F.explode(checked).alias("row")).select("row.*"))
 
 
+def sorted_categories(df: DataFrame, column: str, limit: int = MAX_BROADCAST_ROWS) -> Column:
+    """Sorted array of the distinct non-null values as one scalar; more than ``limit`` raise an error."""
+    values = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(limit + 1)
+    gathered = values.agg(F.array_sort(F.collect_list(column)).alias("values"))
+    return gathered.select(
+        F.when(F.size("values") <= limit, F.col("values")).otherwise(
+            F.raise_error(F.lit(f"more than {limit} categories in {column}"))
+        )
+    ).scalar()
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], few_groups: bool = True) -> DataFrame:
     """Inner join of rows with one-row-per-group results."""
     return rows.join(bounded_broadcast(groups) if few_groups else groups, list(keys))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -157,12 +157,22 @@ FACT_IDS = {
 
 
 def normalize(
-    wide: DataFrame, current: Mapping[str, DataFrame] | None = None, how: str = "left", with_ids: bool = True
+    wide: DataFrame,
+    current: Mapping[str, DataFrame] | None = None,
+    how: str = "left",
+    with_ids: bool = True,
+    store: Callable[[str, DataFrame], DataFrame] | None = None,
 ) -> dict[str, DataFrame]:
-    """All eleven tables. ``current`` holds the lookup tables of an earlier load, whose ids are kept."""
+    """All eleven tables. ``current`` holds the lookup tables of an earlier load, whose ids are kept.
+
+    ``store(name, table)`` may write each lookup table and return it read back; the customer tables then
+    join the stored lookups instead of deriving them again from the wide rows.
+    """
     current = current or {}
     t = {name: build_lookup(wide, name, current.get(name)) for name in LOOKUPS}
     t["Clusters"] = build_clusters(wide, current.get("Clusters"))
+    if store is not None:
+        t = {name: store(name, table) for name, table in t.items()}
     t["CustomerInfo"] = customer_info(wide, t["Locations"], t["Clusters"], how)
     t["CustomerServices"] = customer_services(wide, t["InternetServices"], how)
     t["CustomerChurnHistory"] = customer_churn_history(wide, t["ChurnReasons"])

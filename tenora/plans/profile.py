@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tenora.operators.lookup import sorted_categories
 from tenora.session import shared_table
 
 # The part type whose presence in the last order switches a service on.
@@ -116,7 +117,7 @@ def customer_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     first_of_all = orders.select(F.min(order_day)).scalar()
     last_of_all = orders.select(F.max(order_day)).scalar()
-    segments = customer.select(F.array_sort(F.collect_set("c_mktsegment"))).scalar()
+    segments = sorted_categories(customer, "c_mktsegment")
 
     key, nationkey = F.col("c_custkey"), F.col("c_nationkey")
     last_day = F.col("last.o_orderdate").cast("date")

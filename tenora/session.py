@@ -50,6 +50,14 @@ def scratch_root(spark: SparkSession) -> str | None:
     return None
 
 
+def scratch_path(spark: SparkSession, name: str, source: str) -> str:
+    """Path for files a job writes and reads back; fails where no shared folder is known."""
+    root = scratch_root(spark)
+    if root is None:
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+    return f"{root}/{name}-{hashlib.md5(source.encode()).hexdigest()[:12]}"
+
+
 def shared_table(
     spark: SparkSession,
     name: str,

@@ -96,6 +96,16 @@ def test_normalised_tables_round_trip_and_hold_constraints(spark, wide):
     assert left.exceptAll(back.select("Customer_ID", *same)).count() == 0
 
 
+def test_stored_lookups_give_the_same_tables(spark, wide, tmp_path):
+    def store(name, table):
+        table.write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    lazy, stored = N.normalize(wide), N.normalize(wide, store=store)
+    for name in ("Locations", "CustomerInfo", "CustomerContract"):
+        assert lazy[name].exceptAll(stored[name]).count() == 0
+
+
 def test_second_load_keeps_lookup_ids(spark, wide):
     first = N.build_lookup(wide.filter("Contract <> 'F'"), "ContractTypes")
     second = N.build_lookup(wide, "ContractTypes", first)
