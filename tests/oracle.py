@@ -47,7 +47,14 @@ def _rows(names, rows):
     )
 
 
-def compare(spark, con, query, sf_dir) -> str | None:
+def _close(g, w) -> bool:
+    """Equal but for one unit in the sixth digit, which a mean exactly half-way between two may differ by."""
+    return all(
+        a == b or (isinstance(a, float) and isinstance(b, float) and abs(a - b) < 1.5e-6) for a, b in zip(g, w)
+    )
+
+
+def compare(spark, con, query, sf_dir, close: bool = False) -> str | None:
     """None when equal, else what differs."""
     df = query.build(spark, sf_dir)
     got = _rows(df.columns, [tuple(r) for r in df.collect()])
@@ -58,5 +65,5 @@ def compare(spark, con, query, sf_dir) -> str | None:
         return f"columns {sorted(df.columns)} != {sorted(names)}"
     if len(got) != len(want):
         return f"rows {len(got)} != {len(want)}; first {got[:2]} / {want[:2]}"
-    bad = [(g, w) for g, w in zip(got, want) if g != w]
+    bad = [(g, w) for g, w in zip(got, want) if g != w and not (close and _close(g, w))]
     return f"{len(bad)} of {len(got)} rows differ; first {bad[0]}" if bad else None

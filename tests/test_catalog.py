@@ -16,7 +16,7 @@ def duck():
 
 @pytest.mark.parametrize("name", [n for n, q in CATALOG.items() if q.sql])
 def test_matches_sql(spark, duck, name):
-    assert compare(spark, duck, CATALOG[name], SF) is None
+    assert compare(spark, duck, CATALOG[name], SF, close=True) is None
 
 
 @pytest.mark.parametrize("name", ["factor_projection", "principal_components", "segmented_embeddings"])
