@@ -10,7 +10,7 @@ from tenora.catalog.profile_sql import with_profile, with_raw
 from tenora.catalog.registry import register
 from tenora.operators import clustering as C
 from tenora.operators.projection import FactorAnalysis
-from tenora.operators.select import binary_text_columns, encode_binary, standardize
+from tenora.operators.select import encode_binary, standardize
 from tenora.plans.profile import FLAG_COLUMNS, profile, raw_customers, read_table
 from tenora.plans.segmentation import SearchSpace, Segmenter, principal_components
 
@@ -30,7 +30,7 @@ def _unioned(parts) -> str:
 def _(spark, sf):
     names = ["Gender", *FLAG_COLUMNS]
     raw = raw_customers(profile(spark, sf)).select("Customer_ID", *names)
-    return encode_binary(raw, [c for c in names if c in binary_text_columns(raw) or c in names])
+    return encode_binary(raw, names)
 
 
 @register("standardised_floats", "M2", with_profile(
@@ -141,7 +141,7 @@ def _embedding_columns(spark, sf):
 @register("factor_projection", "M7 M9")
 def _(spark, sf):
     segmenter = Segmenter(_embedding_columns(spark, sf), "vec_id", "label")
-    scaled = segmenter._scaling(segmenter.df).transform(segmenter.df).select("vec_id", "scaled")
+    scaled = segmenter.scaling(segmenter.df).transform(segmenter.df).select("vec_id", "scaled")
     model = FactorAnalysis(inputCol="scaled", outputCol="reduced", k=5).fit(scaled)
     cells = vector_to_array("reduced")
     return model.transform(scaled).select("vec_id", *[cells[i].alias(f"f{i + 1}") for i in range(5)])
@@ -155,9 +155,7 @@ def _(spark, sf):
 @register("segmented_embeddings", "M3 M7 M8 M10 M13")
 def _(spark, sf):
     segmenter = Segmenter(_embedding_columns(spark, sf), "vec_id", "label")
-    space = SearchSpace(reducers=("pca",), n_components=(10,), n_clusters=(9,), restarts=3)
-    segmenter.best_model = segmenter._refit(segmenter.df, ("pca", 10, 9), space)
-    return segmenter.predict().select("vec_id", "label", "Cluster")
+    return segmenter.fit_one("pca", 10, 9, SearchSpace(restarts=3)).predict().select("vec_id", "label", "Cluster")
 
 
 @register("segmentation_search", "M11 M17 M18")

@@ -196,12 +196,12 @@ def _landing_folder(spark, sf) -> str:
     def build():
         raw = raw_customers(profile(spark, sf))
         spaced = raw.toDF(*[c.replace("_", " ") for c in raw.columns])
-        spaced.write.mode("overwrite").option("header", True).csv(f"{folder}/telco_customers.csv")
-        spaced.limit(1).write.mode("overwrite").option("header", True).csv(f"{folder}/telco_customers_transformed.csv")
+        spaced.write.mode("overwrite").option("header", True).csv(f"{folder}/raw_customers.csv")
+        spaced.limit(1).write.mode("overwrite").option("header", True).csv(f"{folder}/raw_customers_transformed.csv")
         return raw.limit(0)
 
     shared_table(spark, "landing", sf, build)
-    return f"{folder}/telco_customers.csv"
+    return f"{folder}/raw_customers.csv"
 
 
 _RAW_COLUMNS = [c for c in WIDE_COLUMNS if c != "Cluster"]

@@ -11,6 +11,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, StandardScaler, UnivariateFeatureSelector, VectorAssembler, VectorSlicer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,7 +106,7 @@ class Segmenter:
 
     # --- fitting --------------------------------------------------------------------------------------
 
-    def _scaling(self, df: DataFrame) -> PipelineModel:
+    def scaling(self, df: DataFrame) -> PipelineModel:
         assembler = VectorAssembler(inputCols=self.features, outputCol="features", handleInvalid="error")
         scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
         return PipelineModel([assembler, scaler.fit(assembler.transform(df))])
@@ -141,7 +142,7 @@ class Segmenter:
 
     def _fold_scores(self, data: DataFrame, fold: int, space: SearchSpace) -> list[dict]:
         train, test = data.filter(F.col("_fold") != fold), data.filter(F.col("_fold") == fold)
-        scaling = self._scaling(train)
+        scaling = self.scaling(train)
         scaled = scaling.transform(train).select("scaled").persist()
         scored_on = "scaled" if space.score_on == "scaled" else "features"
         held = scaling.transform(test).select("features", "scaled").persist()
@@ -193,7 +194,7 @@ class Segmenter:
 
     def _refit(self, data: DataFrame, candidate: tuple[str, int, int], space: SearchSpace) -> PipelineModel:
         reducer, size, k = candidate
-        scaling = self._scaling(data)
+        scaling = self.scaling(data)
         scaled = scaling.transform(data).select("scaled").persist()
         narrowed = SearchSpace((reducer,), (size,), (k,), space.folds, space.restarts, space.seed)
         stages = self._reducers(scaled, narrowed)[reducer, size]
@@ -203,6 +204,12 @@ class Segmenter:
         scaled.unpersist()
         return PipelineModel([*scaling.stages, *stages, model])
 
+    def fit_one(self, reducer: str, n_components: int, n_clusters: int, space: SearchSpace | None = None) -> Segmenter:
+        """Fit one chosen candidate on all rows, without a search."""
+        self.best_params = {"reducer": reducer, "n_components": n_components, "n_clusters": n_clusters}
+        self.best_model = self._refit(self.df, (reducer, n_components, n_clusters), space or SearchSpace())
+        return self
+
     # --- use ------------------------------------------------------------------------------------------
 
     def _model(self) -> PipelineModel:
@@ -251,8 +258,6 @@ def principal_components(df: DataFrame, key: str, features: Sequence[str], k: in
         inputCol="_features", outputCol="_scaled", withMean=True, withStd=True
     ).fit(rows).transform(rows)
     model = PCA(k=k, inputCol="_scaled", outputCol="_pc").fit(scaled)
-    from pyspark.ml.functions import vector_to_array
-
     cells = vector_to_array("_pc")
     shown = [c for c in (CLUSTER,) if c in df.columns]
     points = model.transform(scaled).select(key, *[cells[i].alias(f"pc{i + 1}") for i in range(k)], *shown)

@@ -12,8 +12,8 @@ CSV = 'Customer ID,Monthly Charge,Joined On,Note,Empty\n1,10.5,2024-01-02,"a, b"
 def folder(tmp_path):
     src = tmp_path / "in_cleaned"  # only file names are filtered, not folders
     src.mkdir()
-    (src / "telco.csv").write_text(CSV)
-    (src / "telco_transformed.csv").write_text(CSV)
+    (src / "people.csv").write_text(CSV)
+    (src / "people_transformed.csv").write_text(CSV)
     (src / "other.csv").write_text("a\n1\n")
     (src / "notes.txt").write_text("x")
     return src
@@ -21,15 +21,15 @@ def folder(tmp_path):
 
 def test_discovery_registry_and_missing_files(spark, folder):
     files = L.discover(spark, str(folder))
-    assert {r["file_name"] for r in files.collect()} == {"telco.csv", "other.csv"}
-    names = L.registry_frame(spark, {"telco.csv": "Customers", "gone.csv": "Gone"})
+    assert {r["file_name"] for r in files.collect()} == {"people.csv", "other.csv"}
+    names = L.registry_frame(spark, {"people.csv": "Customers", "gone.csv": "Gone"})
     assert [r["table_name"] for r in L.mapped_files(files, names).collect()] == ["Customers"]
     assert [r["file_name"] for r in L.missing_files(files, names).collect()] == ["gone.csv"]
     assert L.has_sources(files, names) and not L.has_sources(files, L.registry_frame(spark, {"no.csv": "N"}))
 
 
 def test_type_ladder_looks_at_all_rows(spark, folder):
-    text = L.read_text(spark, str(folder / "telco.csv"))
+    text = L.read_text(spark, str(folder / "people.csv"))
     assert text.columns == ["Customer_ID", "Monthly_Charge", "Joined_On", "Note", "Empty"]
     kinds = {r["column"]: r["type"] for r in L.infer_types(text).collect()}
     assert kinds == {
@@ -50,21 +50,21 @@ def test_typed_load_fails_whole_and_reject_variant_splits(spark, tmp_path):
 
 
 def test_positional_staging_keeps_quoted_commas(spark, folder):
-    got = L.read_positional(spark, str(folder / "telco.csv"), 5).orderBy("col3").first()
+    got = L.read_positional(spark, str(folder / "people.csv"), 5).orderBy("col3").first()
     assert (got["col1"], got["col4"], got["col5"]) == ("1", "a, b", None)
-    assert dict(L.read_inferred(spark, str(folder / "telco.csv")).dtypes)["Customer_ID"] == "int"
+    assert dict(L.read_inferred(spark, str(folder / "people.csv")).dtypes)["Customer_ID"] == "int"
 
 
 def test_import_folder_logs_and_exports(spark, folder, tmp_path):
     log = AuditLog(spark, str(tmp_path / "log"))
     target = str(tmp_path / "out")
-    done = L.import_folder(spark, str(folder), {"telco.csv": "Customers", "gone.csv": "Gone"}, target, log)
+    done = L.import_folder(spark, str(folder), {"people.csv": "Customers", "gone.csv": "Gone"}, target, log)
     assert list(done) == ["Customers"]
     table = spark.read.parquet(done["Customers"])
     assert table.count() == 3 and dict(table.dtypes)["Monthly_Charge"] == "decimal(18,3)"
     assert K.read_export(spark, f"{target}/export/Customers").schema == table.schema
     latest = {(r["FileName"], r["Status"]) for r in log.latest().collect()}
-    assert latest == {("telco.csv", "Success"), ("gone.csv", "Failed"), (None, "Success")}
+    assert latest == {("people.csv", "Success"), ("gone.csv", "Failed"), (None, "Success")}
 
 
 def test_failed_import_is_logged_with_its_condition(spark, tmp_path):

@@ -59,7 +59,7 @@ def test_guards(blobs):
 
 def test_inertia_falls_as_k_grows(blobs):
     s = Segmenter(blobs, "id", "target", exclude=["flat"])
-    rows = s._scaling(blobs).transform(blobs).select(F.col("scaled").alias("reduced"))
+    rows = s.scaling(blobs).transform(blobs).select(F.col("scaled").alias("reduced"))
     cost = [s._kmeans(rows, k, SearchSpace(restarts=2)).summary.trainingCost for k in (2, 3, 5)]
     assert cost[0] >= cost[1] >= cost[2]
 
