@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from tenora.operators.lookup import join_groups, to_long
 
 
+SKETCH_PARTS = 16
+
+
 def percentiles_long(
     rows: DataFrame,
     slot: Sequence[str],
@@ -22,10 +25,13 @@ def percentiles_long(
     """One row per ``slot`` with a column per suffix in ``probabilities``.
 
     The built-in exact percentile keeps every distinct value of a group in one buffer. Here a first pass
-    builds a bounded quantile sketch per group and brackets each wanted rank; a second pass counts what
-    lies below the bracket and groups the few values inside it; a running count over those finds the exact
-    order statistics. Groups up to ``accuracy`` rows use all values as candidates. A rank outside its
-    bracket raises instead of giving a wrong value.
+    builds bounded quantile sketches per group and brackets each wanted rank; a second pass counts what
+    lies below and above the bracket and groups the few values inside it; a running count over those finds
+    the exact order statistics. Groups up to ``accuracy`` rows use all values as candidates. A rank outside
+    its bracket raises instead of giving a wrong value.
+
+    The sketches of a group are merged in ``SKETCH_PARTS`` tasks. Each part yields its own bracket, and the
+    widest bounds of all parts enclose the rank in the whole group.
 
     ``few_groups`` broadcasts the brackets after checking how many there are; turn it off to group by
     high-cardinality keys, which joins them on the keys instead.
@@ -34,25 +40,28 @@ def percentiles_long(
     probs = [float(probabilities[s]) for s in names]
     margin = 4.0 / accuracy
     cuts = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
-    brackets = rows.groupBy(*slot).agg(
+    m = len(probs)
+    parts = rows.groupBy(*slot, (F.spark_partition_id() % SKETCH_PARTS).alias("part")).agg(
         F.count(value).alias("n"), F.percentile_approx(value, cuts, accuracy).alias("cuts")
     )
+    low = F.array(*[F.min(F.col("cuts")[j]) for j in range(m)])
+    high = F.array(*[F.max(F.col("cuts")[m + j]) for j in range(m)])
+    brackets = parts.groupBy(*slot).agg(F.when(F.sum("n") > accuracy, F.struct(low.alias("low"), high.alias("high"))).alias("b"))
     v = F.col(value)
     marks = []
-    for j in range(len(probs)):
-        low = F.when(F.col("n") > accuracy, F.col("cuts")[j]).otherwise(F.lit(float("-inf")))
-        high = F.when(F.col("n") > accuracy, F.col("cuts")[len(probs) + j]).otherwise(F.lit(float("inf")))
-        marks.append(F.when(v <= high, F.struct(F.lit(j).alias("j"), F.when(v >= low, v).alias("v"))))
+    for j in range(m):
+        # side -1: below the bracket, 1: above it, 0: a candidate; no bracket means all are candidates.
+        side = F.when(v < F.col("b.low")[j], -1).when(v > F.col("b.high")[j], 1).otherwise(0)
+        marks.append(F.struct(F.lit(j).alias("j"), side.alias("side")))
     counted = (
         join_groups(rows, brackets, slot, few_groups)
-        .select(*slot, "n", F.explode(F.array_compact(F.array(*marks))).alias("m"))
-        .groupBy(*slot, "n", "m.j", "m.v")
+        .select(*slot, v.alias("v"), F.explode(F.array(*marks)).alias("m"))
+        .groupBy(*slot, "m.j", "m.side", F.when(F.col("m.side") == 0, F.col("v")).alias("v"))
         .agg(F.count(F.lit(1)).alias("k"))
     )
+    group = Window.partitionBy(*slot, "j")
     upto = F.sum("k").over(
-        Window.partitionBy(*slot, "j")
-        .orderBy(F.col("v").asc_nulls_first())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        group.orderBy("side", "v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     position = F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("j") + 1) * (F.col("n") - 1)
 
@@ -60,7 +69,7 @@ def percentiles_long(
         hit = (F.col("upto") > rank) & (F.col("upto") - F.col("k") <= rank)
         return F.max(F.when(hit, F.col("v")))
 
-    found = counted.withColumn("upto", upto).groupBy(*slot, "n", "j").agg(
+    found = counted.withColumns({"upto": upto, "n": F.sum("k").over(group)}).groupBy(*slot, "n", "j").agg(
         at(F.floor(position)).alias("a"), at(F.ceil(position)).alias("z")
     )
     solved = F.when(
