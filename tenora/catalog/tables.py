@@ -8,7 +8,7 @@ from tenora.catalog.profile_sql import with_profile, with_raw
 from tenora.catalog.registry import register
 from tenora.plans import normalize as N
 from tenora.plans.profile import FLAG_COLUMNS, WIDE_COLUMNS, profile, raw_customers, read_table
-from tenora.session import scratch_path, shared_table
+from tenora.session import scratch_path, shared_files
 from tenora.sources import landing as L
 from tenora.sources import sinks as K
 from tenora.sources.audit import latest_status
@@ -191,16 +191,12 @@ def _(spark, sf):
 
 def _landing_folder(spark, sf) -> str:
     """Raw customer rows written once as CSV files whose headers contain spaces."""
-    folder = scratch_path(spark, "landing-files", sf)
-
-    def build():
+    def write(folder):
         raw = raw_customers(profile(spark, sf))
         spaced = raw.toDF(*[c.replace("_", " ") for c in raw.columns])
-        spaced.write.mode("overwrite").option("header", True).csv(f"{folder}/raw_customers.csv")
-        spaced.limit(1).write.mode("overwrite").option("header", True).csv(f"{folder}/raw_customers_transformed.csv")
-        return raw.limit(0)
+        spaced.write.option("header", True).csv(f"{folder}/raw_customers.csv")
 
-    shared_table(spark, "landing", sf, build)
+    folder = shared_files(spark, "landing", sf, write)
     return f"{folder}/raw_customers.csv"
 
 
@@ -265,7 +261,7 @@ def _(spark, sf):
     wide = profile(spark, sf)
     flags = encode_binary(raw_customers(wide), ["Gender", *FLAG_COLUMNS])
     joined = flags.join(wide.select("Customer_ID", "Cluster"), "Customer_ID")
-    path = scratch_path(spark, "transformed", sf)
+    path = scratch_path(spark, "transformed")
     K.write_transformed(joined, path)
     return spark.read.option("header", True).option("inferSchema", True).csv(path).select(
         "Customer_ID", "Gender", *FLAG_COLUMNS, "Contract", "Cluster")
@@ -276,7 +272,7 @@ def _(spark, sf):
     "FROM orders"))
 def _(spark, sf):
     orders = read_table(spark, sf, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("date"))
-    path = scratch_path(spark, "export", sf)
+    path = scratch_path(spark, "export")
     K.export_typed(orders, path)
     return K.read_export(spark, path)
 

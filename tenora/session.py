@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
-import tempfile
 import threading
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,29 +32,43 @@ def build_session(app_name: str = "tenora", master: str | None = None, **conf: s
 
 
 _LOCK = threading.RLock()  # a build may itself read another shared table
-_TABLES: dict[tuple[str, str, str], tuple[str, StructType]] = {}
-_LOCAL_SCRATCH: dict[str, str] = {}
+_SHARED: dict[tuple[str, str, str], tuple[str, StructType | None]] = {}
 
 
-def scratch_root(spark: SparkSession) -> str | None:
-    """Folder for intermediate tables: the session's checkpoint dir, or a temp folder in local mode only."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.conf.get("spark.app.id")
-    if configured:
-        return f"{configured.rstrip('/')}/{app}"
-    if spark.conf.get("spark.master", "").startswith("local"):
-        if app not in _LOCAL_SCRATCH:
-            _LOCAL_SCRATCH[app] = tempfile.mkdtemp(prefix="tenora-")
-        return _LOCAL_SCRATCH[app]
-    return None
+def scratch_root(spark: SparkSession) -> str:
+    """Folder for intermediate tables: under the session's checkpoint folder, else under its warehouse folder.
 
+    Both are shared by all executors. One folder per application, so it can be deleted when the application ends.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/scratch-{spark.conf.get('spark.app.id')}"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path at each call, so nothing an earlier frame still reads is ever overwritten."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:16]}"
+
+
+def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """Write a frame to a new scratch table and read it back.
 
-def scratch_path(spark: SparkSession, name: str, source: str) -> str:
-    """Path for files a job writes and reads back; fails where no shared folder is known."""
-    root = scratch_root(spark)
-    if root is None:
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-    return f"{root}/{name}-{hashlib.md5(source.encode()).hexdigest()[:12]}"
+    Later readers get column pruning and pushed filters instead of replaying the plan, and losing an executor costs
+    one file read instead of the whole lineage.
+    """
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def shared_files(spark: SparkSession, name: str, source: str, write: Callable[[str], None]) -> str:
+    """Folder that ``write(path)`` filled, once per application and source."""
+    key = (spark.conf.get("spark.app.id"), name, source)
+    with _LOCK:
+        if key not in _SHARED:
+            path = scratch_path(spark, name)
+            write(path)
+            _SHARED[key] = (path, None)
+        return _SHARED[key][0]
 
 
 def shared_table(
@@ -66,26 +79,16 @@ def shared_table(
     partition_by: str | None = None,
     refresh: bool = False,
 ) -> DataFrame:
-    """Write ``build()`` once per application under the scratch area and read it back.
+    """Store ``build()`` once per application and source, and read it back; ``refresh`` rebuilds it.
 
-    Later readers get column pruning, pushed filters and partition pruning instead of replaying the
-    joins, and losing an executor costs one file read instead of the whole lineage. On a cluster without a
-    checkpoint folder the plan stays lazy. ``refresh`` rebuilds after the source changed.
+    A refresh writes to a new path, so frames from before it stay readable. The same in every mode of deployment.
     """
-    root = scratch_root(spark)
-    if root is None:
-        return build()
     key = (spark.conf.get("spark.app.id"), name, source)
     with _LOCK:
-        if refresh or key not in _TABLES:
-            digest = hashlib.md5(source.encode()).hexdigest()[:12]
-            version = sum(1 for k in _TABLES if k[:2] == key[:2])
-            path = f"{root}/{name}-{digest}-{version}"
+        if refresh or key not in _SHARED:
+            path = scratch_path(spark, name)
             frame = build()
-            writer = frame.write.mode("overwrite")
-            if partition_by:
-                writer = writer.partitionBy(partition_by)
-            writer.parquet(path)
-            _TABLES[key] = (path, spark.read.parquet(path).schema)
-    path, schema = _TABLES[key]
+            (frame.write.partitionBy(partition_by) if partition_by else frame.write).parquet(path)
+            _SHARED[key] = (path, spark.read.parquet(path).schema)
+        path, schema = _SHARED[key]
     return spark.read.schema(schema).parquet(path)

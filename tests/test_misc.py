@@ -53,3 +53,8 @@ def test_shared_table_is_written_once_and_refreshed_on_request(spark):
     for refresh, rows in ((False, 1), (False, 1), (True, 2)):
         assert shared_table(spark, "counted", "here", build, refresh=refresh).count() == rows
     assert len(calls) == 2
+
+
+def test_frames_from_before_two_refreshes_stay_readable(spark):
+    frames = [shared_table(spark, "kept", "here", lambda n=n: spark.range(n), refresh=True) for n in (1, 2, 3)]
+    assert [f.count() for f in frames] == [1, 2, 3]
