@@ -124,8 +124,9 @@ def fit(points: np.ndarray, parts: int, wanted: float = WANTED_RECALL) -> Model:
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(vec_id, v) with vectors in double precision, without those that are null, zero or hold null, NaN or infinity."""
-    cells = F.transform(F.col(vector), lambda x: x.cast("double"))
+    """(vec_id, v) with vectors of float or double, without those that are null, zero or hold null, NaN or infinity."""
+    kind = vectors.schema[vector].dataType.simpleString()
+    cells = F.col(vector) if kind == "array<float>" else F.col(vector).cast("array<double>")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(F.col(key).alias("vec_id"), cells.alias("v")).filter(F.col("v").isNotNull())
     return rows.filter(~bad & F.exists("v", lambda x: x != 0))
@@ -163,10 +164,12 @@ def search(
 
     ``queries`` is a condition on ``vec_id``. Candidates are all rows but those with the query's own id. Vectors that are
     null, zero or hold null or non-finite numbers take no part; shorter vectors count as padded with zeros. Copies of a
-    vector under other ids are all candidates. Rows that repeat an id are one candidate each.
+    vector under other ids are all candidates. Rows that repeat an id are one candidate each; a repeated query is asked
+    once, with its smallest vector.
 
     A part with more vectors than the mean is cut into blocks of about the mean, and its queries into blocks too, so a
-    task holds one block of each, however many vectors are alike.
+    task holds one block of each, however many vectors are alike. A query first meets its most probable part; the last
+    score it needs from there bounds what its other parts return.
     """
     rows = stored(spark, usable(vectors, key, vector), "vectors")
     total, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
@@ -182,56 +185,69 @@ def search(
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(list(order), pa.list_(pa.int32()))], ["vec_id", "v", "parts"])
 
-    kind = rows.schema["vec_id"].dataType.simpleString()
-    routed = stored(spark, rows.mapInArrow(assign, f"vec_id {kind}, v array<double>, parts array<int>"), "routed")
+    kind, cells = rows.schema["vec_id"].dataType.simpleString(), rows.schema["v"].dataType.simpleString()
+    routed = stored(spark, rows.mapInArrow(assign, f"vec_id {kind}, v {cells}, parts array<int>"), "routed")
     index = routed.select("vec_id", "v", F.get("parts", F.lit(0)).alias("part"))
-    asked = routed.filter(queries).select("vec_id", "v", F.explode("parts").alias("part"))
-
-    def blocks(df: DataFrame, size: int) -> dict[int, int]:
-        """Blocks per part; at most one row per part comes to the driver."""
-        return {r[0]: math.ceil(r[1] / size) for r in df.groupBy("part").count().collect()}
-
+    asked = routed.filter(queries).groupBy("vec_id").agg(F.min(F.struct("v", "parts")).alias("q")).select(
+        "vec_id", "q.v", F.posexplode("q.parts").alias("probe", "part"))
     mean = min(INDEX_ROWS, max(1, math.ceil(total / parts)))
-    of_index, of_queries = blocks(index, mean), blocks(asked, QUERY_ROWS)
+    own, of_index = hash32(F.lit("block"), F.col("vec_id")), _blocks(index, mean)
 
     def count_of(numbers: dict[int, int]):
-        return F.element_at(F.array(*[F.lit(max(1, numbers.get(p, 1))) for p in range(parts)]), F.col("part") + 1)
-
-    own = hash32(F.lit("block"), F.col("vec_id"))
-    # each vector meets every block of its part's queries, and each query every block of its parts' vectors
-    left = index.withColumn("block", (own % count_of(of_index)).cast("int")).withColumn(
-        "asked", F.explode(F.sequence(F.lit(0), count_of(of_queries) - 1)))
-    right = asked.withColumn("asked", (own % count_of(of_queries)).cast("int")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), count_of(of_index) - 1)))
-    cell = ["part", "block", "asked"]
+        return F.element_at(F.array(*[F.lit(numbers.get(p, 1)) for p in range(parts)]), F.col("part") + 1)
 
     def best(have: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(have) and len(ask):
             order = np.argsort(have["vec_id"].to_numpy(), kind="stable")
             ids, points = have["vec_id"].to_numpy()[order], _matrix(have["v"].to_numpy()[order], width)
-            names = ask["vec_id"].to_numpy()
             for at in range(0, len(ask), 256):
-                mine = names[at : at + 256]
-                out += _top(mine, _matrix(ask["v"].to_numpy()[at : at + 256], width), ids, points, nearest)
+                some = ask.iloc[at : at + 256]
+                out += _top(some["vec_id"].to_numpy(), _matrix(some["v"].to_numpy(), width), some["bound"].to_numpy(),
+                            ids, points, nearest)
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(best, f"query_id {kind}, vec_id {kind}, score double")
+    def met(ask: DataFrame) -> DataFrame:
+        """Every query with its part's vectors: each vector meets all blocks of queries, each query all of vectors."""
+        of_queries = _blocks(ask, QUERY_ROWS)
+        left = index.withColumn("block", (own % count_of(of_index)).cast("int")).withColumn(
+            "asked", F.explode(F.sequence(F.lit(0), count_of(of_queries) - 1)))
+        right = ask.withColumn("asked", (own % count_of(of_queries)).cast("int")).withColumn(
+            "block", F.explode(F.sequence(F.lit(0), count_of(of_index) - 1)))
+        cell = ["part", "block", "asked"]
+        return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(
+            best, f"query_id {kind}, vec_id {kind}, score double")
+
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= nearest).select(
-        "query_id", "rank", "vec_id", "score")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= nearest)
+
+    lowest = F.lit(float("-inf"))
+    first = stored(spark, ranked(met(asked.filter("probe = 0").withColumn("bound", lowest))), "first-part")
+    bounds = first.filter(F.col("rank") == nearest).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
+    others = stored(spark, asked.filter("probe > 0").join(bounds, "vec_id", "left").fillna(float("-inf"), ["bound"]), "others")
+    found = first.drop("rank").union(met(others))
+    return ranked(found).select("query_id", "rank", "vec_id", "score")
+
+
+def _blocks(df: DataFrame, size: int) -> dict[int, int]:
+    """Blocks of about ``size`` rows per part; at most one row per part comes to the driver."""
+    return {r[0]: math.ceil(r[1] / size) for r in df.groupBy("part").count().collect()}
 
 
-def _top(names, queries: np.ndarray, ids, points: np.ndarray, nearest: int) -> list[tuple]:
-    """The best of one block for each query. Ranked by a matrix product, decided by sums in one fixed order."""
+def _top(names, queries: np.ndarray, bounds: np.ndarray, ids, points: np.ndarray, nearest: int) -> list[tuple]:
+    """The best of one block for each query, none below its bound. Ranked by a matrix product, decided by sums in one
+    fixed order, so equal vectors have equal scores."""
     near, out = queries @ points.T, []
     near[names[:, None] == ids[None, :]] = -np.inf
     slack = _SLACK * np.linalg.norm(queries, axis=1) * max(1e-300, float(np.linalg.norm(points, axis=1).max()))
     for i, name in enumerate(names):
         row = near[i]
         floor = np.partition(row, -nearest)[-nearest] if len(row) > nearest else -np.inf
-        at = np.nonzero((row >= floor - slack[i]) & (row > -np.inf))[0]
+        at = np.nonzero((row >= max(floor, bounds[i]) - slack[i]) & (row > -np.inf))[0]
         score = (points[at] * queries[i]).sum(axis=1)
         for j in np.lexsort((ids[at], -score))[:nearest]:
-            out.append((name, ids[at[j]], score[j]))
+            if score[j] >= bounds[i]:
+                out.append((name, ids[at[j]], score[j]))
     return out
