@@ -111,7 +111,7 @@ def train(
         idf[gram] = np.log((1 + rows) / (1 + n)) + 1
 
     chance = hash32(F.lit("lang"), F.md5("text")) / float(2**32)
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = F.broadcast(known.groupBy("lang").agg(F.count("*").alias("n")))  # far smaller than the model, a row per language
     picked = known.join(sizes, "lang").filter(chance < sample / F.col("n")).select("lang", "text").distinct()
 
     def centres(pdf: pd.DataFrame) -> pd.DataFrame:
