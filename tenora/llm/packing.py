@@ -8,7 +8,10 @@ different bins are ever computed. Pieces then find their place by their rank amo
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,35 +25,87 @@ from tenora.session import stored
 CAPACITY = 2048
 #: Closes every document.
 END_ID = 0
-#: Distinct words whose ids a task remembers at once.
-_REMEMBERED = 200_000
+#: Distinct runs of characters whose ids a worker remembers at once; documents tokenised together.
+_REMEMBERED, _TOGETHER = 600_000, 64
+#: Runs that the tokenizer never joins with each other: letters, and other visible characters of ASCII but the apostrophe.
+_LETTERS, _OTHERS = "a-zß-öø-ÿ", "!-&(-@\\[-`{-~"
+_RUNS = re.compile(f"[{_LETTERS}]+|[{_OTHERS}]+")
+_PLAIN = re.compile(f"[{_LETTERS}{_OTHERS} \n]*")
 
 
-class WordTokenizer:
-    """Ids of whole texts, tokenising every distinct word once.
+class WordTokenizer(dict):
+    """Ids of whole texts, tokenising every distinct run of characters once.
 
-    For tokenizers that drop white space and never join across it, a text's ids are those of its words. Texts are cut at
-    space and newline only; the tokenizer still sees any other white space. Special tokens in a text are ordinary text.
+    Made for tokenizers that lower case, drop white space, and never join across it or between letters and other
+    characters. A text of Latin letters and ASCII is cut into such runs, and any other text at its spaces and newlines,
+    so the ids of the text are those of its parts. The runs' ids always come from the tokenizer. Special tokens in a
+    text are ordinary text. As a dictionary it numbers the runs.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, list[int]] = {}
-
-    def ids(self, text: str) -> np.ndarray:
-        if len(self.known) > _REMEMBERED:
-            self.known.clear()
-        known, words = self.known, text.replace("\n", " ").split(" ")
-        new = list({w for w in words if w not in known})
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            known[w] = e.ids
-        flat: list[int] = []
-        for w in words:
-            flat += known[w]
-        return np.array(flat, dtype="<u4")
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = [c for c in map(chr, range(256)) if re.fullmatch(f"[{_LETTERS}]", c)]
+        self.spelt = str.maketrans({c: as_bytes.pre_tokenize_str(c)[0][0] for c in letters})
+        self._forget()
+
+    def _forget(self) -> None:
+        self.clear()
+        self.new: list[str] = []
+        self.ids, self.starts = np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
+
+    def __missing__(self, run: str) -> int:
+        self.new.append(run)
+        self[run] = number = len(self)
+        return number
+
+    def _learn(self) -> None:
+        found, model, spelt, encode = [], self.tokenizer.model, self.spelt, self.tokenizer.encode
+        for run in self.new:
+            if run.isascii() and run.isalpha() and run.islower():
+                found.append([t.id for t in model.tokenize(run)])
+            elif run.isalpha() and _RUNS.fullmatch(run):
+                found.append([t.id for t in model.tokenize(run.translate(spelt))])
+            else:
+                found.append(encode(run, add_special_tokens=False).ids)
+        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), dtype="<u4", count=int(lengths.sum()))])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
+        self.new = []
+
+    @staticmethod
+    def runs(text: str) -> list[str]:
+        try:
+            text.encode("latin-1")  # where lower case is the same, letter by letter, everywhere
+        except UnicodeEncodeError:
+            return text.replace("\n", " ").split(" ")
+        low = text.lower()
+        return _RUNS.findall(low) if _PLAIN.fullmatch(low) else text.replace("\n", " ").split(" ")
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        if len(self) > _REMEMBERED:
+            self._forget()
+        cut = [self.runs(t) for t in texts]
+        sizes = np.cumsum([0, *map(len, cut)])
+        number = np.fromiter(map(self.__getitem__, chain.from_iterable(cut)), dtype=np.int64, count=int(sizes[-1]))
+        if self.new:
+            self._learn()
+        first = self.starts[number]
+        lengths = self.starts[number + 1] - first
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        at = np.arange(ends[-1]) + np.repeat(first - ends[:-1], lengths)
+        return np.split(self.ids[at], ends[sizes[1:-1]])
+
+
+@functools.cache
+def _tokenizer(path: str) -> WordTokenizer:
+    """One per worker, so what it remembers lasts over tasks."""
+    return WordTokenizer(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
@@ -65,18 +120,20 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     names = schema.names
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokenizer(tokenizer)
+        words, end = _tokenizer(tokenizer), np.array([END_ID], dtype="<u4")
         for batch in batches:
-            row, piece, start, length, ids = [], [], [], [], []
-            for i, t in enumerate(batch.column(1)):
-                own = np.append(words.ids(t.as_py() or ""), np.array([END_ID], dtype="<u4"))
-                for k, at in enumerate(range(0, len(own), capacity)):
-                    part = own[at : at + capacity]
-                    row.append(i), piece.append(k), start.append(at), length.append(len(part)), ids.append(part.tobytes())
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                pa.array(length, pa.int64()), pa.array(ids, pa.binary()),
-            ], names)
+            for first in range(0, batch.num_rows, _TOGETHER):
+                part = batch.slice(first, _TOGETHER)
+                row, piece, start, length, ids = [], [], [], [], []
+                for i, own in enumerate(words.batch([t or "" for t in part.column(1).to_pylist()])):
+                    own = np.append(own, end)
+                    for k, at in enumerate(range(0, len(own), capacity)):
+                        row.append(i), piece.append(k), start.append(at)
+                        length.append(min(capacity, len(own) - at)), ids.append(own[at : at + capacity].tobytes())
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()),
+                    pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary()),
+                ], names)
 
     return docs.select(F.col(key), F.col(text).cast("string")).mapInArrow(cut, schema)
 
