@@ -8,7 +8,6 @@ different bins are ever computed. Pieces then find their place by their rank amo
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -25,8 +24,8 @@ from tenora.session import stored
 CAPACITY = 2048
 #: Closes every document.
 END_ID = 0
-#: Distinct runs of characters whose ids a worker remembers at once; documents tokenised together.
-_REMEMBERED, _TOGETHER = 600_000, 64
+#: Distinct runs of characters whose ids a task remembers at once; documents tokenised together.
+_REMEMBERED, _TOGETHER = 250_000, 64
 #: Runs that the tokenizer never joins with each other: letters, and other visible characters of ASCII but the apostrophe.
 _LETTERS, _OTHERS = "a-zß-öø-ÿ", "!-&(-@\\[-`{-~"
 _RUNS = re.compile(f"[{_LETTERS}]+|[{_OTHERS}]+")
@@ -102,12 +101,6 @@ class WordTokenizer(dict):
         return np.split(self.ids[at], ends[sizes[1:-1]])
 
 
-@functools.cache
-def _tokenizer(path: str) -> WordTokenizer:
-    """One per worker, so what it remembers lasts over tasks."""
-    return WordTokenizer(path)
-
-
 def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids) of every document: its ids, then END_ID, cut only where longer than ``capacity``.
 
@@ -120,7 +113,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     names = schema.names
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = _tokenizer(tokenizer), np.array([END_ID], dtype="<u4")
+        words, end = WordTokenizer(tokenizer), np.array([END_ID], dtype="<u4")
         for batch in batches:
             for first in range(0, batch.num_rows, _TOGETHER):
                 part = batch.slice(first, _TOGETHER)
