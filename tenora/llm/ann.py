@@ -153,6 +153,8 @@ def train(spark: SparkSession, rows: DataFrame, total: int, width: int, sample:
             pa.array(model.weights.ravel()), pa.array([model.probes] * model.weights.size, pa.int32())], ["w", "probes"])
 
     found = chosen.repartition(1).sortWithinPartitions("v").mapInArrow(learn, "w double, probes int").collect()
+    if not found:
+        return Model(np.zeros((width + 1, 1)), 1)
     return Model(np.array([r[0] for r in found]).reshape(width + 1, -1), found[0][1])
 
 

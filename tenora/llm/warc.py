@@ -167,7 +167,7 @@ class _Unzipped:
         return b"".join(parts)
 
 
-def _records(source: _Unzipped) -> Iterator[dict]:
+def _records(source: _Unzipped, chunk_bytes: int) -> Iterator[dict]:
     """Chunk rows of all records of a segment."""
     while (head := source.until(b"\r\n\r\n")) is not None:
         lines = head.decode("utf-8", "surrogatepass").split("\r\n")[1:]
@@ -185,7 +185,7 @@ def _records(source: _Unzipped) -> Iterator[dict]:
         }
         digest, chunk, start = hashlib.sha256(), 0, 0
         while True:
-            data = source.take(min(CHUNK_BYTES, left))
+            data = source.take(min(chunk_bytes, left))
             left -= len(data)
             digest.update(data)
             yield row | {"chunk": chunk, "chunk_start": start, "data": data, "digest_so_far": digest.copy().hexdigest(), "last": not left}
@@ -195,7 +195,7 @@ def _records(source: _Unzipped) -> Iterator[dict]:
         source.take(4)
 
 
-def read(manifest: DataFrame) -> DataFrame:
+def read(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The chunk table of all archives a manifest lists, a task for every few segments."""
     schema = pa.schema([
         *[(n, pa.string()) for n in ("record_id", "page_id", "url", "record_type", "refers_to")], ("declared_bytes", pa.int64()),
@@ -208,10 +208,10 @@ def read(manifest: DataFrame) -> DataFrame:
                 store, where = fs.FileSystem.from_uri(path)
                 rows, size = [], 0
                 with store.open_input_file(where) as file:
-                    for row in _records(_Unzipped(file, first, end)):
+                    for row in _records(_Unzipped(file, first, end), chunk_bytes):
                         rows.append(row)
                         size += len(row["data"])
-                        if size >= 4 * CHUNK_BYTES or len(rows) >= 1000:
+                        if size >= 4 * chunk_bytes or len(rows) >= 1000:
                             yield pa.RecordBatch.from_pylist(rows, schema)
                             rows, size = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema)
