@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tenora.session import stored
-
 #: A word, by code points.
 WORD = r"[^\x20\x09-\x0D]+"
 #: ``rank_rows`` numbers at most this many rows in one piece of a task, or a MAX_HEAVY-th of all rows if that is more.
@@ -17,6 +15,16 @@ PIECE_ROWS = 64
 MAX_HEAVY = 65_536
 
 
+#: Rows of whole texts in one Arrow batch.
+TEXT_ROWS = 500
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same frame, with the session's Arrow batches cut to TEXT_ROWS rows, as whole texts may be very long."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    return df
+
+
 def word_count(text: Column) -> Column:
     """Number of words, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -60,6 +68,3 @@ def rank_rows(
         numbered.join(offsets, [*keys, "piece_"])
         .withColumn("rank_", F.col("before_") + F.col("at_")).drop("piece_", "at_", "before_")
     )
-
-
-__all__ = ["WORD", "word_count", "hash32", "rank_rows", "stored"]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenora.llm.common import hash32
+from tenora.llm.common import hash32, small_batches
 
 BITS = 13
 #: Texts per language that centroids are fitted on, about; the choice follows a hash.
@@ -92,7 +92,7 @@ def train(
     Document frequencies are counted over all rows. Centroids are fitted on about ``sample`` distinct texts of each
     language, one task per language. The model (k vectors per language) comes to the driver and goes to every task.
     """
-    known = docs.filter(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+    known = small_batches(docs).filter(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(1 << BITS, dtype=np.int64), 0
@@ -138,7 +138,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", min_cosin
         names, scores = ([UNKNOWN] * len(texts), np.zeros(len(texts))) if model is None else model.predict(list(texts))
         return pd.DataFrame({"lang": names, "score": scores})
 
-    found = docs.select(F.struct("*").alias("row"), predicted(F.col(text).cast("string")).alias("p"))
+    found = small_batches(docs).select(F.struct("*").alias("row"), predicted(F.col(text).cast("string")).alias("p"))
     return found.select(
         "row", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"),
         ((F.col("p.lang") == UNKNOWN) | (F.col("p.score") < min_cosine)).alias("rejected"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tenora.llm.common import hash32, rank_rows
+from tenora.llm.common import hash32, rank_rows, small_batches
 from tenora.session import stored
 
 CAPACITY = 2048
@@ -128,7 +128,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
                     pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary()),
                 ], names)
 
-    return docs.select(F.col(key), F.col(text).cast("string")).mapInArrow(cut, schema)
+    return small_batches(docs).select(F.col(key), F.col(text).cast("string")).mapInArrow(cut, schema)
 
 
 def fullest(counts: dict[int, int], room: int) -> list[tuple[int, int]]:

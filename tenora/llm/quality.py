@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenora.llm.common import hash32
+from tenora.llm.common import hash32, small_batches
 
 BITS = 16
 #: Labelled rows the classifier is fitted on, about; the choice follows a hash of the id.
@@ -105,18 +105,19 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Model:
     if len(set(labels[held])) < 2 or len(set(labels[~held])) < 2:
         held = np.zeros(len(labels), dtype=bool)
     at = np.concatenate([r[0] for r in rows])
-    value = np.concatenate([r[1] for r in rows]).astype(np.float64)
-    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    value = np.concatenate([r[1] for r in rows])
+    row, n = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows]), len(rows)
+    rows.clear()  # the sample is held once
     weights, bias, square, square_b = np.zeros(1 << BITS), 0.0, np.full(1 << BITS, 1e-12), 1e-12
     share = np.where(labels == 1, 0.5 / max(1, (labels[~held] == 1).sum()), 0.5 / max(1, (labels[~held] == 0).sum()))
     share[held] = 0.0
     for _ in range(PASSES):
-        score = np.bincount(row, value * weights[at], len(rows)) + bias
+        score = np.bincount(row, value * weights[at], n) + bias
         miss = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - labels) * share
         slope = np.bincount(at, value * miss[row], 1 << BITS) + RIDGE * weights / (1 << BITS)
         square, square_b = square + slope**2, square_b + miss.sum() ** 2
         weights, bias = weights - slope / np.sqrt(square), bias - 0.2 * miss.sum() / np.sqrt(square_b)
-    score = np.bincount(row, value * weights[at], len(rows)) + bias
+    score = np.bincount(row, value * weights[at], n) + bias
     use = held if held.any() else ~held
     a, b, scale = 1.0, 0.0, max(1e-9, float(np.abs(score[use]).mean()))
     x, y = score[use] / scale, labels[use]
@@ -142,7 +143,7 @@ def train(
         F.min(label).cast("int").alias("y"))
     share = min(1.0, sample / max(1, known.count()))
     chosen = F.broadcast(known.filter(hash32(F.lit("quality"), F.col("id")) < int(share * 2**32)))
-    rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(chosen, "id").groupBy("id", "y").agg(
+    rows = small_batches(docs).select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(chosen, "id").groupBy("id", "y").agg(
         F.min("text").alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +194,7 @@ def judge(docs: DataFrame, model: Model | None, text: str = "text", threshold: f
 
     n = F.col("n_words")
     return (
-        docs.select(F.struct("*").alias("row"), measured(F.col(text).cast("string")).alias("m")).select("row", "m.*")
+        small_batches(docs).select(F.struct("*").alias("row"), measured(F.col(text).cast("string")).alias("m")).select("row", "m.*")
         .withColumn("base_failed", (n < MIN_WORDS) | (F.col("n_repeat_words") > MAX_REPEATED * n))
         .withColumn("probability", 1 / (1 + F.exp(-F.col("log_odds"))))
         .withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("probability"), F.lit(1.0)) >= threshold))
