@@ -70,9 +70,10 @@ def read_inferred(spark: SparkSession, path: str) -> DataFrame:
 
 
 def split_cells(lines: DataFrame, column: str, separator: str = ",") -> DataFrame:
-    """One row per delimited cell with its position."""
+    """One row per delimited cell with its position; the separator is literal text, not a pattern."""
     others = [c for c in lines.columns if c != column]
-    return lines.select(*others, F.posexplode(F.split(column, separator)).alias("pos", "cell"))
+    literal = "".join(c if c.isalnum() or c.isspace() else f"[{c}]" if c not in "\\^[]" else f"\\{c}" for c in separator)
+    return lines.select(*others, F.posexplode(F.split(column, literal)).alias("pos", "cell"))
 
 
 def infer_types(text: DataFrame, rows: str = "all") -> DataFrame:

@@ -106,3 +106,11 @@ def test_reports_tables_and_sql(spark, tmp_path):
     assert fetch(spark, "SELECT count(*) AS n FROM {t}", t=df).first()["n"] == 1
     with pytest.raises(FileNotFoundError):
         K.load_model(spark, str(tmp_path / "nothing"))
+
+
+def test_split_is_literal(spark):
+    from tenora.sources.landing import split_cells
+
+    for mark in ("|", ".", "\\", "^", "[", "||", ","):
+        cells = split_cells(spark.createDataFrame([(f"a{mark}b",)], "line string"), "line", mark).collect()
+        assert [c.cell for c in cells] == ["a", "b"], mark
