@@ -27,7 +27,8 @@ CENTROIDS = 4
 MIN_COSINE = 0.1
 UNKNOWN = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
-_PART, _ROWS = 1 << 18, 256
+#: Bytes whose runs, and texts whose dense vectors, are held at once.
+_PART, _ROWS = 1 << 18, 32
 
 
 def grams(text: str | None) -> np.ndarray:
