@@ -7,7 +7,7 @@ trained on, and whole texts are scored in Arrow batches against fixed thresholds
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -99,6 +99,15 @@ def features(data: bytes, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return at.astype(np.int32), total[at].astype(np.float32)
 
 
+def _sums(bins: np.ndarray, n: int, weigh: Callable[[slice], np.ndarray]) -> np.ndarray:
+    """Totals per bin of ``weigh(part)``, a part of the entries at a time."""
+    total = np.zeros(n)
+    for at in range(0, len(bins), _PART):
+        part = slice(at, at + _PART)
+        total += np.bincount(bins[part], weigh(part), n)
+    return total
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Model:
     """Fit on four of five rows by adaptive gradient steps and calibrate on the fifth (all, if one class is missing there)."""
     held = np.arange(len(labels)) % 5 == 4
@@ -112,12 +121,12 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Model:
     share = np.where(labels == 1, 0.5 / max(1, (labels[~held] == 1).sum()), 0.5 / max(1, (labels[~held] == 0).sum()))
     share[held] = 0.0
     for _ in range(PASSES):
-        score = np.bincount(row, value * weights[at], n) + bias
+        score = _sums(row, n, lambda p: value[p] * weights[at[p]]) + bias
         miss = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - labels) * share
-        slope = np.bincount(at, value * miss[row], 1 << BITS) + RIDGE * weights / (1 << BITS)
+        slope = _sums(at, 1 << BITS, lambda p: value[p] * miss[row[p]]) + RIDGE * weights / (1 << BITS)
         square, square_b = square + slope**2, square_b + miss.sum() ** 2
         weights, bias = weights - slope / np.sqrt(square), bias - 0.2 * miss.sum() / np.sqrt(square_b)
-    score = np.bincount(row, value * weights[at], n) + bias
+    score = _sums(row, n, lambda p: value[p] * weights[at[p]]) + bias
     use = held if held.any() else ~held
     a, b, scale = 1.0, 0.0, max(1e-9, float(np.abs(score[use]).mean()))
     x, y = score[use] / scale, labels[use]
