@@ -25,7 +25,7 @@ CAPACITY = 2048
 #: Closes every document.
 END_ID = 0
 #: Distinct runs of characters whose ids a task remembers at once; documents tokenised together.
-_REMEMBERED, _TOGETHER = 250_000, 64
+_REMEMBERED, _TOGETHER = 60_000, 64
 #: Runs that the tokenizer never joins with each other: letters, and other visible characters of ASCII but the apostrophe.
 _LETTERS, _OTHERS = "a-zß-öø-ÿ", "!-&(-@\\[-`{-~"
 _RUNS = re.compile(f"[{_LETTERS}]+|[{_OTHERS}]+")
