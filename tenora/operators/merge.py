@@ -46,9 +46,14 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFra
 
 
 def update_by_key(target: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``target`` with a match take the changed columns; others stay. ``changes`` is unique by key."""
+    """Rows of ``target`` with a match take the changed columns; others stay, and no row is ever added.
+
+    Of several changes for one key the least counts, comparing the changed columns in their order (null first).
+    """
     names = [c for c in changes.columns if c not in keys]
-    news = changes.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in names], F.lit(True).alias("_hit"))
+    least = F.min(F.struct(*names)) if names else F.lit(None)
+    single = changes.groupBy(*keys).agg(least.alias("_least"))
+    news = single.select(*keys, *[F.col(f"_least.{c}").alias(f"_new_{c}") for c in names], F.lit(True).alias("_hit"))
     both = target.join(news, list(keys), "left")
     return both.select(*[
         F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in names else F.col(c)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import types as T
 
 from tenora.functions.text import sanitize_header
 from tenora.sources.audit import EXPORT_FAILED, FAILED, IMPORT_FAILED, STARTED, SUCCESS, AuditLog
-from tenora.sources.sinks import export_typed
+from tenora.sources.sinks import export_typed, publish, published
 
 # Files whose name contains one of these are outputs of earlier runs, not sources.
 GENERATED_WORDS = ("transformed", "cleaned")
@@ -130,6 +131,11 @@ def load_with_rejects(spark: SparkSession, path: str, schema: T.StructType) -> t
     return typed, text.filter(broken)
 
 
+def imported(spark: SparkSession, target: str, table: str) -> DataFrame:
+    """The current version of a table that ``import_folder`` wrote."""
+    return published(spark, f"{target}/{table}", [table])[table]
+
+
 def import_folder(
     spark: SparkSession,
     folder: str,
@@ -138,10 +144,10 @@ def import_folder(
     log: AuditLog,
     infer_rows: str = "all",
 ) -> dict[str, str]:
-    """Import every mapped file of ``folder`` into ``target/<table>`` and export it beside.
+    """Import every mapped file of ``folder`` as a new version under ``target/<table>`` and export it beside.
 
-    Files of one table are read together. A table that fails is logged and left as it was; the others go on.
-    Returns the tables written with their paths.
+    Files of one table are read together. A table that fails is logged and its current version stays, as readers
+    (``imported``) see a version only once it is whole; the others go on. Returns the tables written with their paths.
     """
     names = registry_frame(spark, registry)
     files = discover(spark, folder)
@@ -159,13 +165,14 @@ def import_folder(
         log.event(STARTED, None, shown, table)
         try:
             schema = schema_from(infer_types(read_text(spark, paths), infer_rows))
-            load_typed(spark, paths, schema).write.mode("overwrite").parquet(f"{target}/{table}")
+            version = uuid.uuid4().hex
+            publish({table: load_typed(spark, paths, schema)}, f"{target}/{table}", version)
         except Exception as e:
             log.error(e, f"import {table}", "import_folder")
             log.event(IMPORT_FAILED, str(e)[:4000], shown, table)
             continue
         log.event(SUCCESS, None, shown, table)
-        written[table] = f"{target}/{table}"
+        written[table] = f"{target}/{table}/versions/{version}/{table}"
         try:
             export_typed(spark.read.parquet(written[table]), f"{target}/export/{table}")
         except Exception as e:

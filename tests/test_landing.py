@@ -77,6 +77,19 @@ def test_failed_import_is_logged_with_its_condition(spark, tmp_path):
     assert [r["Operation"] for r in log.errors().collect()] == ["import T"]
 
 
+def test_failed_import_keeps_the_earlier_table(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    log, target, names = AuditLog(spark, str(tmp_path / "log")), str(tmp_path / "out"), {"t.csv": "T"}
+    (src / "t.csv").write_text("a\n1\n")
+    assert list(L.import_folder(spark, str(src), names, target, log)) == ["T"]
+    (src / "t.csv").write_text("a\n1\n99999\n")
+    assert L.import_folder(spark, str(src), names, target, log, infer_rows="first") == {}
+    assert [r.a for r in L.imported(spark, target, "T").collect()] == [1]
+    assert list(L.import_folder(spark, str(src), names, target, log)) == ["T"]
+    assert sorted(r.a for r in L.imported(spark, target, "T").collect()) == [1, 99999]
+
+
 def test_no_sources_stops_and_logs(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
