@@ -160,6 +160,6 @@ def _(spark, sf):
 
 @register("segmentation_search", "M11 M17 M18")
 def _(spark, sf):
-    segmenter = Segmenter(profile(spark, sf), "Customer_ID", "Churn_Score", exclude=["Churn_Label"], features=FEATURES)
+    segmenter = Segmenter(profile(spark, sf), "Customer_ID", "Churn_Score", exclude=["Churn_Label"])
     segmenter.fit(SearchSpace(restarts=1))
     return spark.createDataFrame(segmenter.scores, "reducer string, n_components int, n_clusters int, fold int, silhouette double")

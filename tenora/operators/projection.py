@@ -51,7 +51,8 @@ def fit_factors(
     """
     tiny = 1e-12
     d = len(covariance)
-    k = min(k, d)
+    if k > d:
+        raise ValueError(f"{k} factors asked of {d} features")
     variance = np.diag(covariance)
     noise = np.ones(d)
     loadings, before = np.zeros((k, d)), -np.inf

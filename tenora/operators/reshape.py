@@ -22,9 +22,14 @@ def unstack(
 ) -> DataFrame:
     """Long to wide. An absent cell is null unless ``fill`` is given.
 
-    With ``values`` the plan stays lazy; without it Spark reads the distinct values first (its own limit
-    on pivot width applies).
+    With ``values`` the plan stays lazy, and a label outside them raises while the query runs, so no cell is
+    ever lost (null labels are left out). Without it Spark reads the distinct values first (its own limit on
+    pivot width applies).
     """
+    if values is not None:
+        label = F.col(column)
+        message = F.concat(F.lit(f"{column} has a value that is not listed: "), label.cast("string"))
+        df = df.withColumn(column, F.when(label.isNull() | label.isin(list(values)), label).otherwise(F.raise_error(message)))
     agg = F.first(value) if isinstance(value, str) else value
     wide = df.groupBy(*index).pivot(column, list(values) if values is not None else None).agg(agg)
     cells = [c for c in wide.columns if c not in index]

@@ -128,9 +128,16 @@ def dedupe_columns(df: DataFrame) -> DataFrame:
     return positional.select(*keep)
 
 
-def sample_rows(df: DataFrame, fraction: float = 1.0, seed: int = 42) -> DataFrame:
-    """Seeded sample; the whole frame at 1.0. Keys travel with the rows."""
-    return df if fraction >= 1.0 else df.sample(False, fraction, seed)
+def sample_rows(df: DataFrame, fraction: float = 1.0, seed: int = 42, keys: Sequence[str] = ()) -> DataFrame:
+    """Seeded sample; the whole frame at 1.0.
+
+    Rows are chosen by a hash of ``keys`` (all columns if none are named), so every action and every partitioning
+    sees the same rows, and equal keys stay together.
+    """
+    if fraction >= 1.0:
+        return df
+    place = F.pmod(F.xxhash64(*(keys or df.columns), F.lit(seed)), F.lit(1_000_000))
+    return df.filter(place < int(fraction * 1_000_000))
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from itertools import product
 from multiprocessing.pool import ThreadPool
 
@@ -40,6 +40,7 @@ class SearchSpace:
     n_clusters: Sequence[int] = (5, 7, 9)
     folds: int = 3
     restarts: int = 10
+    max_iter: int = 300
     seed: int = 42
     score_on: str = "scaled"
     parallelism: int = 8
@@ -74,7 +75,7 @@ class Segmenter:
     scores: list[dict] = field(default_factory=list)
 
     def __post_init__(self) -> None:
-        self.df = sample_rows(self.df, self.sample, self.seed)
+        self.df = sample_rows(self.df, self.sample, self.seed, [self.key])
         if not self.features:
             out = {self.key, self.target, CLUSTER, *self.exclude}
             self.features = [c for c in columns_of(self.df, "numeric") if c not in out]
@@ -113,19 +114,20 @@ class Segmenter:
 
     def _reducers(self, scaled: DataFrame, space: SearchSpace) -> dict[tuple[str, int], list]:
         """Fitted stages per (reducer, size). Smaller principal subspaces are slices of the largest one."""
-        d = len(self.features)
-        sizes = [min(k, d) for k in space.n_components]
+        sizes = list(space.n_components)
+        if max(sizes) > len(self.features):
+            raise ValueError(f"{max(sizes)} components asked of {len(self.features)} features")
         fitted: dict[tuple[str, int], list] = {}
         if "pca" in space.reducers:
             pca = PCA(k=max(sizes), inputCol="scaled", outputCol="components").fit(scaled)
-            for asked, k in zip(space.n_components, sizes):
+            for k in sizes:
                 cut = VectorSlicer(inputCol="components", outputCol="reduced", indices=list(range(k)))
-                fitted["pca", asked] = [pca, cut]
+                fitted["pca", k] = [pca, cut]
         if "factors" in space.reducers:
             covariance = covariance_matrix(scaled, "scaled")
-            for asked, k in zip(space.n_components, sizes):
+            for k in sizes:
                 factors = FactorAnalysis(inputCol="scaled", outputCol="reduced", k=k)
-                fitted["factors", asked] = [factors.fit_covariance(*covariance)]
+                fitted["factors", k] = [factors.fit_covariance(*covariance)]
         return fitted
 
     @staticmethod
@@ -134,7 +136,8 @@ class Segmenter:
         best = None
         for seed in range(space.seed, space.seed + space.restarts):
             model = KMeans(
-                featuresCol="reduced", predictionCol=CLUSTER, k=k, seed=seed, initMode="k-means||"
+                featuresCol="reduced", predictionCol=CLUSTER, k=k, seed=seed, initMode="k-means||",
+                maxIter=space.max_iter,
             ).fit(reduced)
             if best is None or model.summary.trainingCost < best.summary.trainingCost:
                 best = model
@@ -196,7 +199,7 @@ class Segmenter:
         reducer, size, k = candidate
         scaling = self.scaling(data)
         scaled = scaling.transform(data).select("scaled").persist()
-        narrowed = SearchSpace((reducer,), (size,), (k,), space.folds, space.restarts, space.seed)
+        narrowed = replace(space, reducers=(reducer,), n_components=(size,), n_clusters=(k,))
         stages = self._reducers(scaled, narrowed)[reducer, size]
         reduced = PipelineModel(stages).transform(scaled).select("reduced").persist()
         model = self._kmeans(reduced, k, space)

@@ -34,7 +34,7 @@ class AuditLog:
         number = state = None
         if isinstance(error, PySparkException):
             number, state = error.getCondition(), error.getSqlState()
-        row = (number or type(error).__name__, state, procedure, str(error)[:4000], operation)
+        row = (number or type(error).__name__, state, procedure, str(error), operation)
         self._append(row, ERROR_SCHEMA, "ErrorTime", self.errors_path)
 
     def imports(self) -> DataFrame:

@@ -20,7 +20,7 @@ GENERATED_WORDS = ("transformed", "cleaned")
 TYPE_LADDER = (
     ("smallint", "smallint", r"^\s*[+-]?[0-9]+\s*$"),
     ("int", "int", r"^\s*[+-]?[0-9]+\s*$"),
-    ("decimal(18,3)", "decimal(38,9)", r"^\s*[+-]?[0-9.]+([eE][+-]?[0-9]+)?\s*$"),
+    ("decimal(18,3)", "decimal(18,3)", r"^\s*[+-]?[0-9.]+([eE][+-]?[0-9]+)?\s*$"),
     ("date", "date", r"^\s*[0-9]+-"),
 )
 
@@ -39,8 +39,8 @@ def registry_frame(spark: SparkSession, registry: Mapping[str, str]) -> DataFram
 
 
 def mapped_files(files: DataFrame, registry: DataFrame) -> DataFrame:
-    """Files with a table; unmapped files are skipped. The registry is a hand-written list, so it is broadcast."""
-    return files.join(F.broadcast(registry), "file_name")
+    """Files with a table; unmapped files are skipped."""
+    return files.join(registry, "file_name")
 
 
 def missing_files(files: DataFrame, registry: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def missing_files(files: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def has_sources(files: DataFrame, registry: DataFrame) -> bool:
-    return not files.join(F.broadcast(registry), "file_name", "left_semi").isEmpty()
+    return not files.join(registry, "file_name", "left_semi").isEmpty()
 
 
 def read_text(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -59,7 +59,10 @@ def read_text(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
 
 def read_positional(spark: SparkSession, path: str, n: int = 50) -> DataFrame:
-    """All-text staging with columns ``col1`` ... ``coln``; quoted fields stay whole."""
+    """All-text staging with columns ``col1`` ... ``coln``; quoted fields stay whole. A wider header is an error."""
+    width = len(spark.read.option("header", True).csv(path).columns)
+    if width > n:
+        raise ValueError(f"the file has {width} columns, more than {n}")
     schema = T.StructType([T.StructField(f"col{i + 1}", T.StringType()) for i in range(n)])
     return spark.read.schema(schema).option("header", True).csv(path)
 
@@ -169,12 +172,12 @@ def import_folder(
             publish({table: load_typed(spark, paths, schema)}, f"{target}/{table}", version)
         except Exception as e:
             log.error(e, f"import {table}", "import_folder")
-            log.event(IMPORT_FAILED, str(e)[:4000], shown, table)
+            log.event(IMPORT_FAILED, str(e), shown, table)
             continue
         log.event(SUCCESS, None, shown, table)
         written[table] = f"{target}/{table}/versions/{version}/{table}"
         try:
             export_typed(spark.read.parquet(written[table]), f"{target}/export/{table}")
         except Exception as e:
-            log.event(EXPORT_FAILED, str(e)[:4000], shown, table)
+            log.event(EXPORT_FAILED, str(e), shown, table)
     return written

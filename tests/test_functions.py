@@ -176,3 +176,11 @@ def test_too_many_groups_fail_loudly_instead_of_dropping(spark):
     with pytest.raises(Exception, match="few_groups"):
         exact_percentiles(df, ["v"], {"m": 0.5}, ["g"]).count()
     assert exact_percentiles(df, ["v"], {"m": 0.5}, ["g"], few_groups=False).count() == 5000
+
+
+def test_unstack_raises_on_a_label_that_is_not_listed(spark):
+    long = spark.createDataFrame([(1, "F", 50.0), (1, "Z", 50.0), (2, None, 1.0)], "i int, c string, v double")
+    assert unstack(long, ["i"], "c", "v", ["F", "Z"]).columns == ["i", "F", "Z"]
+    assert unstack(long, ["i"], "c", "v", ["F", "Z"]).count() == 2
+    with pytest.raises(Exception, match="not listed: Z"):
+        unstack(long, ["i"], "c", "v", ["F"]).collect()

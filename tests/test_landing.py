@@ -127,3 +127,16 @@ def test_split_is_literal(spark):
     for mark in ("|", ".", "\\", "^", "[", "||", ","):
         cells = split_cells(spark.createDataFrame([(f"a{mark}b",)], "line string"), "line", mark).collect()
         assert [c.cell for c in cells] == ["a", "b"], mark
+
+
+def test_positional_staging_rejects_a_wider_header(spark, tmp_path):
+    (tmp_path / "wide.csv").write_text("a,b,c\n1,2,3\n")
+    assert L.read_positional(spark, str(tmp_path / "wide.csv"), 3).first()["col3"] == "3"
+    with pytest.raises(ValueError, match="3 columns"):
+        L.read_positional(spark, str(tmp_path / "wide.csv"), 2)
+
+
+def test_numbers_too_long_for_the_declared_decimal_stay_text(spark):
+    rows = spark.createDataFrame([("1234567890123456", "123456789012345.5"), ("1", "2")], "long_id string, fits string")
+    found = {r["column"]: r["type"] for r in L.infer_types(rows).collect()}
+    assert found == {"long_id": "string", "fits": "decimal(18,3)"}

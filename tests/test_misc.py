@@ -13,6 +13,8 @@ def test_row_ids_are_unique_and_samples_keep_keys(spark):
     assert sample_rows(df, 1.0) is df
     part = sample_rows(df, 0.3, 42)
     assert 200 < part.count() < 400 and part.join(df, "id", "left_anti").count() == 0
+    other = sample_rows(df.repartition(3), 0.3, 42, ["id"])  # the same rows in any partitioning
+    assert part.exceptAll(other).count() == 0 and other.exceptAll(part).count() == 0
 
 
 def test_sentinels_only_touch_text_columns(spark):

@@ -125,3 +125,8 @@ def test_principal_components(blobs):
     points, ratios = principal_components(blobs, "id", ["a", "b", "c", "d"])
     assert points.columns == ["id", "pc1", "pc2", "pc3"] and points.count() == 150
     assert ratios == sorted(ratios, reverse=True) and sum(ratios) <= 1.0 + 1e-9
+
+
+def test_more_components_than_features_are_refused(spark, blobs):
+    with pytest.raises(ValueError, match="15 components"):
+        Segmenter(blobs, "id", "target", exclude=["flat"]).fit_one("pca", 15, 2)
