@@ -17,6 +17,7 @@ from tenora.plans.segmentation import SearchSpace, Segmenter, principal_componen
 FEATURES = [
     "Age", "Number_of_Dependents", "Number_of_Referrals", "Tenure_in_Months", "Satisfaction_Score", "CLTV", *FLOATS,
 ]
+#: Columns of an empty embeddings table.
 DIMENSIONS = 64
 
 
@@ -134,8 +135,13 @@ def _(spark, sf):
 
 
 def _embedding_columns(spark, sf):
+    """One column a dimension, as many as the vectors have; vectors of different lengths raise."""
     rows = read_table(spark, sf, "embeddings")
-    return rows.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(DIMENSIONS)])
+    least, most = rows.agg(F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    if least != most:
+        raise ValueError(f"embeddings have {least} to {most} dimensions")
+    size = DIMENSIONS if most is None else most
+    return rows.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(size)])
 
 
 @register("factor_projection", "M7 M9")
@@ -155,11 +161,11 @@ def _(spark, sf):
 @register("segmented_embeddings", "M3 M7 M8 M10 M13")
 def _(spark, sf):
     segmenter = Segmenter(_embedding_columns(spark, sf), "vec_id", "label")
-    return segmenter.fit_one("pca", 10, 9, SearchSpace(restarts=3)).predict().select("vec_id", "label", "Cluster")
+    return segmenter.fit(SearchSpace()).predict().select("vec_id", "label", "Cluster")
 
 
 @register("segmentation_search", "M11 M17 M18")
 def _(spark, sf):
     segmenter = Segmenter(profile(spark, sf), "Customer_ID", "Churn_Score", exclude=["Churn_Label"])
-    segmenter.fit(SearchSpace(restarts=1))
+    segmenter.fit(SearchSpace())
     return spark.createDataFrame(segmenter.scores, "reducer string, n_components int, n_clusters int, fold int, silhouette double")
