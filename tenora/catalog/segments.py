@@ -108,7 +108,7 @@ def _silhouette_sql(distance: str) -> str:
 @register("silhouette_euclidean", "M12", (
     f"WITH {_silhouette_sql('list_distance(a.v, b.v)')} SELECT vec_id, label, round(s, 6) AS silhouette FROM z"))
 def _(spark, sf):
-    return C.silhouettes_euclidean(read_table(spark, sf, "embeddings"), "vec_id", "embedding", "label", blocks=4)
+    return C.silhouettes_euclidean(read_table(spark, sf, "embeddings"), "vec_id", "embedding", "label")
 
 
 @register("silhouette_squared", "M12", (

@@ -32,3 +32,12 @@ def test_embeddings_are_taken_whole(spark, tmp_path):
     assert len(_embedding_columns(spark, f"{tmp_path}/same").columns) == 72
     with pytest.raises(ValueError, match="60 to 70"):
         _embedding_columns(spark, f"{tmp_path}/mixed")
+
+
+def test_silhouette_blocks_follow_the_rows(spark, monkeypatch):
+    from tenora.catalog import segments
+
+    asked = []
+    monkeypatch.setattr(segments.C, "silhouettes_euclidean", lambda *args, **kwargs: asked.append(kwargs) or args[0])
+    load()["silhouette_euclidean"].build(spark, SF)
+    assert asked == [{}]
