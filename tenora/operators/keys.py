@@ -4,12 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tenora.session import scratch_path, stored
+
 BUCKETS = 4096
 
 
+def numbered(
+    spark: SparkSession, df: DataFrame, order: Sequence[Column | str] = (), id_column: str = "row_id", start: int = 1
+) -> DataFrame:
+    """Every row of ``df`` with consecutive numbers in ``order``, for tables of any size and any repetition of keys.
+
+    The rows are stored, dealt to ranges of the order, sorted inside each range and stored again; a row's number is its
+    place in its file plus the rows of the files before it, so no window ever holds the rows of one key. Rows that tie
+    are told apart by their place in the first stored layout, and without ``order`` that layout is the order. The
+    frame returned reads stored files only: every action sees the same numbers. Only the row counts of the files (one
+    file a partition) meet in one task and are broadcast.
+    """
+    name, place = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+    rows = stored(spark, df, "unnumbered")
+    if order:
+        marked = rows.select("*", name.alias("_file"), place.alias("_place"))
+        ties = [F.col("_file"), F.col("_place")]
+        path = scratch_path(spark, "ranges")
+        marked.repartitionByRange(*order, *ties).sortWithinPartitions(*order, *ties).drop("_file", "_place").write.parquet(path)
+        rows = spark.read.schema(rows.schema).parquet(path)
+    placed = rows.select("*", name.alias("_file"), place.alias("_place"))
+    part, chunk = F.regexp_extract("_file", r"part-(\d+)", 1).cast("long"), F.regexp_extract("_file", r"-c(\d+)", 1).cast("long")
+    counts = placed.groupBy("_file").agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(Window.orderBy(part, chunk).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("_file", F.coalesce(before, F.lit(0)).alias("_before"))
+    number = F.col("_before") + F.col("_place") + start
+    return placed.join(F.broadcast(offsets), "_file").select(*df.columns, number.cast("long").alias(id_column))
+
+
 def append_small_keys(
     target: DataFrame, fresh: DataFrame, order: Sequence[str], id_column: str
 ) -> DataFrame:
