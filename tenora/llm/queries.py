@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenora.llm import ann, chat, langid, mixing, packing, quality, sharding, simhash, urlfilter, warc
+from tenora.llm import (
+    ann, chat, importance, langid, mixing, packing, quality, sharding, simhash, urlfilter, warc,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +76,10 @@ def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(spark, _table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_mix_sources": mix,
     "op2_simhash_groups": near_duplicates,
@@ -85,6 +91,7 @@ QUERIES = {
     "op8_url_rules": url_filter,
     "op9_chat_format": chat_format,
     "op10_nearest_vectors": nearest_vectors,
+    "op11_importance_resampling": importance_resampling,
 }
 
 SQL = {
@@ -92,4 +99,5 @@ SQL = {
     "op4_warc_round_trip": warc.SQL,
     "op8_url_rules": urlfilter.SQL,
     "op9_chat_format": chat.SQL,
+    "op11_importance_resampling": importance.SQL,
 }
