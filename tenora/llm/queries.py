@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenora.llm import (
-    ann, chat, importance, langid, mixing, packing, quality, sharding, simhash, urlfilter, warc,
+    ann, chat, importance, langid, mixing, packing, periodic, quality, sharding, simhash, urlfilter, warc,
 )
 
 
@@ -80,6 +80,10 @@ def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.planted_runs(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mix_sources": mix,
     "op2_simhash_groups": near_duplicates,
@@ -92,6 +96,7 @@ QUERIES = {
     "op9_chat_format": chat_format,
     "op10_nearest_vectors": nearest_vectors,
     "op11_importance_resampling": importance_resampling,
+    "op12_periodic_runs": periodic_runs,
 }
 
 SQL = {
