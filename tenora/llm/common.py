@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tenora.session import stored
+
 #: A word, by code points.
 WORD = r"[^\x20\x09-\x0D]+"
 #: ``rank_rows`` numbers at most this many rows in one piece of a task, or a MAX_HEAVY-th of all rows if that is more.
@@ -25,6 +27,17 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def settled(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """``stored``, whose shuffle files are deleted as soon as the table is written, so disk never holds several steps'."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, "false")
+    spark.conf.set(setting, "true")
+    try:
+        return stored(spark, df, name)
+    finally:
+        spark.conf.set(setting, before)
+
+
 def word_count(text: Column) -> Column:
     """Number of words, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenora.llm import (
-    ann, chat, importance, langid, mixing, packing, periodic, quality, sharding, simhash, urlfilter, warc,
+    ann, chat, importance, langid, mixing, packing, periodic, quality, repeats, sharding, simhash, urlfilter,
+    warc,
 )
 
 
@@ -84,6 +85,11 @@ def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.planted_runs(_table(spark, sf_dir, "documents"))
 
 
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.without_repeats(spark, _table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"), "longest")
+
+
 QUERIES = {
     "op1_mix_sources": mix,
     "op2_simhash_groups": near_duplicates,
@@ -97,6 +103,7 @@ QUERIES = {
     "op10_nearest_vectors": nearest_vectors,
     "op11_importance_resampling": importance_resampling,
     "op12_periodic_runs": periodic_runs,
+    "op13_repeated_passages": repeated_passages,
 }
 
 SQL = {
