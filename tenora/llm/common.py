@@ -38,6 +38,14 @@ def settled(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(setting, before)
 
 
+def discard(spark: SparkSession, table: DataFrame) -> None:
+    """Delete a table that ``settled`` wrote, once nothing reads it any more."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = hadoop(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def word_count(text: Column) -> Column:
     """Number of words, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -16,136 +16,250 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tenora.llm.common import settled, small_batches
+from tenora.llm.common import discard, settled, small_batches
 
 #: Words of the shortest window that counts as a repeat.
 LEAST = 13
-#: Words hashed together; a longer text is cut into stretches that overlap by a window.
-_TOGETHER = 1 << 17
+#: Bytes of text, or words of one long text, that are hashed together.
+_TOGETHER = 1 << 21
 #: Stands for an unknown id, which is larger than all others.
 _UNKNOWN = (1 << 63) - 1
 
-_FACTORS = np.random.default_rng(13).integers(1, 1 << 63, (3, 4096), dtype=np.uint64) | np.uint64(1)
+_RNG = np.random.default_rng(13)
+_FACTORS = _RNG.integers(1, 1 << 63, (3, 4096), dtype=np.uint64) | np.uint64(1)
+_BYTE_FACTORS = _RNG.integers(1, 1 << 63, (2, 4096), dtype=np.uint64) | np.uint64(1)
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[32, *range(9, 14)]] = True
 
 
 def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()  # bytes: the six white spaces only
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """Two independent 64-bit hashes of each word, as (2, n)."""
-    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    each = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, number)), dtype="<u8").reshape(-1, 2)
-    return np.ascontiguousarray(each[np.fromiter(map(number.__getitem__, words), np.int64, len(words))].T)
+def _scrambled(total: np.ndarray) -> np.ndarray:
+    total = (total ^ (total >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return total ^ (total >> np.uint64(29))
+
+
+def _factors(table: np.ndarray, size: int) -> np.ndarray:
+    turns = np.arange(size, dtype=np.uint64) // np.uint64(table.shape[1])
+    return np.resize(table, (size,)) if size <= table.shape[1] else np.resize(table, (size,)) * (turns * np.uint64(2) + np.uint64(1))
+
+
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, hashes as (2, n), the words with one space after each) of the words in a stretch of bytes.
+
+    The two 64-bit hashes of a word are independent: sums of its bytes by random factors of their places.
+    """
+    word = ~_SPACE[data]
+    before = np.concatenate([[False], word[:-1]])
+    starts = np.flatnonzero(word & ~before)
+    ends = np.flatnonzero(np.concatenate([before[1:] & ~word[1:], word[-1:]])) + 1
+    size = ends - starts
+    spaced = np.full(int(size.sum()) + len(size), 32, dtype=np.uint8)
+    begin = np.cumsum(size + 1) - size - 1
+    place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    letters = data[word]
+    spaced[place + np.repeat(begin, size)] = letters
+    if not len(size):
+        return starts, np.zeros((2, 0), dtype=np.uint64), spaced
+    longest, at = int(size.max()), np.cumsum(size) - size
+    hashes = np.stack([
+        _scrambled(np.add.reduceat((letters + np.uint64(1)) * f[place], at) + f[size])
+        for f in (_factors(_BYTE_FACTORS[k:k + 1], longest + 1) for k in (0, 1))])
+    return starts, hashes, spaced
 
 
 def window_hashes(words: np.ndarray, starts: np.ndarray, size: int, family: int) -> np.ndarray:
     """64-bit hashes of the windows of ``size`` words at ``starts``; families are independent of each other."""
-    factors = np.resize(_FACTORS[family], size) * (np.arange(size, dtype=np.uint64) // np.uint64(4096) * np.uint64(2) + np.uint64(1))
+    factors = _factors(_FACTORS[family:family + 1], size)
     total = np.zeros(len(starts), dtype=np.uint64)
     for k in range(size):
         total += words[starts + k] * factors[k]
-    total ^= total >> np.uint64(32)
-    total *= np.uint64(0x9E3779B97F4A7C15)
-    return total ^ (total >> np.uint64(29))
+    return _scrambled(total)
 
 
 def first_size(least: int) -> int:
     return (least + 1) // 2
 
 
-def representatives(words: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the first-level windows that stand for a window of ``least`` words; texts end at ``ends``."""
+def _standing(words: np.ndarray, ends: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For k = 0, 1, ...: (first-level hashes, least windows, which of them the first-level window k words in stands for).
+
+    Texts end at ``ends``; of equal smallest hashes all stand for the window.
+    """
     size, n = first_size(least), len(words)
     if n < least:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        return
     hashes = window_hashes(words, np.arange(n - size + 1), size, 0)
-    inside, starts = least - size + 1, n - least + 1
-    smallest = np.minimum.reduce([hashes[k:k + starts] for k in range(inside)])
-    left = ends[np.searchsorted(ends, np.arange(starts), side="right")] - np.arange(starts)
-    whole, chosen = left >= least, np.zeros(len(hashes), dtype=bool)
+    inside, starts = least - size + 1, np.arange(n - least + 1)
+    smallest = np.minimum.reduce([hashes[k:k + len(starts)] for k in range(inside)])
+    whole = ends[np.searchsorted(ends, starts, side="right")] - starts >= least
     for k in range(inside):
-        chosen[k:k + starts] |= whole & (hashes[k:k + starts] == smallest)
+        yield hashes, starts, whole & (hashes[k:k + len(starts)] == smallest)
+
+
+def representatives(words: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of the first-level windows that stand for a window of ``least`` words; texts end at ``ends``."""
+    chosen, hashes = np.zeros(len(words), dtype=bool), np.zeros(0, dtype=np.uint64)
+    for k, (hashes, starts, stands) in enumerate(_standing(words, ends, least)):
+        chosen[k:k + len(starts)] |= stands
     places = np.flatnonzero(chosen)
     return places, hashes[places]
 
 
-def _stretches(batch: pa.RecordBatch, text: int, least: int) -> Iterator[tuple[list[int], list[int], list[bytes], np.ndarray]]:
-    """(rows, offsets, words, ends): stretches of the batch's texts that are hashed together."""
-    rows, offsets, words, ends = [], [], [], []
-    for i in range(batch.num_rows):
-        own = _words(batch.column(text)[i].as_py())
-        for at in range(0, max(0, len(own) - least + 1), _TOGETHER):
-            part = own[at:at + _TOGETHER + least - 1]
-            if words and len(words) + len(part) > _TOGETHER:
-                yield rows, offsets, words, np.array(ends)
-                rows, offsets, words, ends = [], [], [], []
-            words.extend(part)
-            rows.append(i), offsets.append(at), ends.append(len(words))
-    if words:
-        yield rows, offsets, words, np.array(ends)
+def represented(words: np.ndarray, ends: np.ndarray, least: int, places: np.ndarray) -> np.ndarray:
+    """Starts of the windows of ``least`` words that a first-level window at one of ``places`` (flags) stands for."""
+    found = np.zeros(len(words), dtype=bool)
+    for k, (_, starts, stands) in enumerate(_standing(words, ends, least)):
+        found[:len(starts)] |= stands & places[k:k + len(starts)]
+    return np.flatnonzero(found)
+
+
+def _pieces(text: bytes) -> Iterator[np.ndarray]:
+    """A text in pieces of about _TOGETHER bytes, cut at white space."""
+    data, at = np.frombuffer(text, dtype=np.uint8), 0
+    while at < len(data):
+        end = at + _TOGETHER
+        while end < len(data) and not (gaps := np.flatnonzero(_SPACE[data[end:end + _TOGETHER]])).size:
+            end += _TOGETHER
+        end = min(len(data), end + (int(gaps[0]) if end < len(data) else 0))
+        yield data[at:end]
+        at = end
+
+
+def _texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[bytes]]]:
+    """(first row, words of each row, hashes of all words, digest of each row's words) of groups of texts."""
+    column = column.cast(pa.large_binary()).fill_null(b"")
+    sizes = np.diff(np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset)) if len(column) else []
+    at = 0
+    while at < len(sizes):
+        if sizes[at] > _TOGETHER:
+            digest, found = xxhash.xxh3_128(), []
+            for piece in _pieces(column[at].as_py()):
+                _, hashes, spaced = word_hashes(piece)
+                digest.update(spaced), found.append(hashes)
+            hashes = np.concatenate(found, axis=1)
+            yield at, np.array([hashes.shape[1]]), hashes, [digest.digest()]
+            at += 1
+            continue
+        upto = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), _TOGETHER, side="right")))
+        part = np.frombuffer(b" ".join(column[at:upto].to_pylist()), dtype=np.uint8)
+        bounds = np.concatenate([[0], np.cumsum(sizes[at:upto] + 1)])
+        starts, hashes, spaced = word_hashes(part)
+        cut = np.searchsorted(starts, bounds)
+        gaps = np.flatnonzero(spaced == 32) + 1
+        edges = np.concatenate([[0], gaps])[cut]
+        view = memoryview(spaced)
+        yield at, np.diff(cut), hashes, [xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+        at = upto
+
+
+def _stretches(first: int, counts: np.ndarray, hashes: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(rows, offsets, hashes, ends): what is searched together, a group of texts or a part of a long one.
+
+    Parts of a text overlap by one word less than a window, so every window lies in exactly one of them.
+    """
+    if len(counts) > 1 or counts[0] <= _TOGETHER:
+        yield np.arange(first, first + len(counts)), np.zeros(len(counts), dtype=np.int64), hashes, np.cumsum(counts)
+        return
+    for at in range(0, int(counts[0]) - least + 1, _TOGETHER):
+        part = hashes[:, at:at + _TOGETHER + least - 1]
+        yield np.array([first]), np.array([at]), part, np.array([part.shape[1]])
 
 
 def _first_level(docs: DataFrame, least: int) -> DataFrame:
-    """(h, id, at): the representative windows of every text."""
+    """The representative windows of every text as (h, id, at), and one row (id, t, words, n) for each text."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for rows, offsets, words, ends in _stretches(batch, 1, least):
-                place, h = representatives(word_hashes(words)[0], ends, least)
-                part = np.searchsorted(ends, place, side="right")
-                begins = np.concatenate([[0], ends[:-1]])
-                at = place - begins[part] + np.array(offsets)[part]
+            for first, counts, hashes, digests in _texts(batch.column(2)):
+                none, own = pa.nulls(len(counts), pa.int64()), slice(first, first + len(counts))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(ids[np.array(rows)[part]]), pa.array(at.astype(np.int32))], ["h", "id", "at"])
+                    [none, batch.column(0)[own], none.cast(pa.int32()), batch.column(1)[own], pa.array(digests, pa.binary()), pa.array(counts)], names)
+                for rows, offsets, part, ends in _stretches(first, counts, hashes, least):
+                    place, h = representatives(part[0], ends, least)
+                    text = np.searchsorted(ends, place, side="right")
+                    begins = np.concatenate([[0], ends[:-1]])
+                    at = place - begins[text] + offsets[text]
+                    none = pa.nulls(len(at), pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(h.view(np.int64)), pa.array(ids[rows[text]]), pa.array(at.astype(np.int32)), none,
+                         pa.nulls(len(at), pa.binary()), none], names)
 
-    return docs.select("id", "text").mapInArrow(find, "h long, id long, at int")
+    names = ["h", "id", "at", "t", "words", "n"]
+    return docs.select("id", "t", "text").mapInArrow(find, "h long, id long, at int, t long, words binary, n long")
 
 
-def _least_windows(suspects: DataFrame, least: int) -> DataFrame:
-    """(id, t, at, a, b): windows of ``least`` words that hold one of the text's repeated first-level windows."""
-    inside = least - first_size(least)
+def _columns(rows: np.ndarray, ids: np.ndarray, ts: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([
+        pa.array(ids[rows]), pa.array(ts[rows]), pa.array(at.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)),
+    ], ["id", "t", "at", "a", "b"])
 
+
+_WINDOWS = "id long, t long, at int, a long, b long"
+
+
+def _least_windows(suspects: DataFrame, least: int) -> DataFrame:
+    """(id, t, at, a, b): windows of ``least`` words for which one of the text's repeated first-level windows stands."""
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, ts = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-            for i in range(batch.num_rows):
-                words = _words(batch.column(2)[i].as_py())
-                if len(words) < least:
-                    continue
-                places = np.asarray(batch.column(3)[i].values.to_numpy(zero_copy_only=False), dtype=np.int64)
-                edge = np.zeros(len(words) + 2, dtype=np.int32)
-                places = places[places <= len(words)]
-                np.add.at(edge, np.maximum(places - inside, 0), 1)
-                np.add.at(edge, places + 1, -1)
-                starts = np.flatnonzero(np.cumsum(edge[:len(words) - least + 1]))
-                hashes = word_hashes(words)
-                for k in range(0, len(starts), _TOGETHER):
-                    at = starts[k:k + _TOGETHER]
-                    a, b = (window_hashes(hashes[f - 1], at, least, f).view(np.int64) for f in (1, 2))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), ids[i])), pa.array(np.full(len(at), ts[i])), pa.array(at.astype(np.int32)),
-                         pa.array(a), pa.array(b)], ["id", "t", "at", "a", "b"])
+            for first, counts, hashes, _ in _texts(batch.column(2)):
+                for rows, offsets, part, ends in _stretches(first, counts, hashes, least):
+                    begins, flags = np.concatenate([[0], ends[:-1]]), np.zeros(part.shape[1], dtype=bool)
+                    asked = batch.column(3).take(pa.array(rows))
+                    text = np.repeat(np.arange(len(rows)), asked.value_lengths().to_numpy())
+                    place = asked.flatten().to_numpy() - offsets[text] + begins[text]
+                    flags[place[(place >= begins[text]) & (place < ends[text])]] = True
+                    at = represented(part[0], ends, least, flags)
+                    text = np.searchsorted(ends, at, side="right")
+                    a, b = (window_hashes(part[f - 1], at, least, f) for f in (1, 2))
+                    yield _columns(rows[text], ids, ts, at - begins[text] + offsets[text], a, b)
 
-    return suspects.select("id", "t", "text", "places").mapInArrow(find, "id long, t long, at int, a long, b long")
+    return suspects.select("id", "t", "text", "places").mapInArrow(find, _WINDOWS)
 
 
-def _repeated(windows: DataFrame, keys: list[str]) -> DataFrame:
-    """The windows that occur in two documents, with ``least_id``, the smallest id of a document that has them."""
-    seen = windows.groupBy(*keys).agg(F.min("id").alias("least_id"), F.max("id").alias("most_id"))
-    return windows.join(seen.filter("least_id < most_id").drop("most_id"), keys)
+def _mixed(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray, family: int) -> np.ndarray:
+    return window_hashes(np.concatenate([a, b, c, d]).reshape(4, -1).T.ravel(), 4 * np.arange(len(a)), 4, family)
 
 
 def _doubled(windows: DataFrame, size: int) -> DataFrame:
-    """Windows of twice the size whose two halves are among ``windows``."""
-    second = windows.select("id", "t", (F.col("at") - size).alias("at"), F.col("a").alias("a2"), F.col("b").alias("b2"))
-    both = windows.join(second, ["id", "t", "at"])
-    return both.select("id", "t", "at", F.xxhash64("a", "b", "a2", "b2").alias("a"), F.xxhash64("b2", "a2", "b", "a", F.lit(1)).alias("b"))
+    """(id, t, at, a, b): windows of twice the size whose two halves are among a text's ``windows``."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, ts = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            for first in range(0, batch.num_rows, 256):
+                part = batch.column(2).slice(first, 256)
+                row = np.repeat(np.arange(len(part)), part.value_lengths().to_numpy())
+                flat = part.flatten()
+                at, a, b = (flat.field(k).to_numpy() for k in range(3))
+                place = (row << 32) + at
+                order = np.argsort(place)
+                place, row, at, a, b = place[order], row[order], at[order], a[order].view(np.uint64), b[order].view(np.uint64)
+                half = np.searchsorted(place, place + size)
+                one = np.flatnonzero(place[np.minimum(half, len(place) - 1)] == place + size)
+                two = half[one]
+                found = (_mixed(a[one], b[one], a[two], b[two], f) for f in (1, 2))
+                yield _columns(first + row[one], ids, ts, at[one], *found)
+
+    return windows.select("id", "t", "windows").mapInArrow(find, _WINDOWS)
+
+
+def _repeated(windows: DataFrame) -> DataFrame:
+    """(id, t, windows): each text's windows (at, a, b, later) that occur in two documents.
+
+    ``later`` says that one of them has a smaller id. A text's windows are at most as many as its words.
+    """
+    seen = windows.groupBy("a", "b").agg(F.min("id").alias("least_id"), F.max("id").alias("most_id"))
+    kept = windows.join(seen.filter("least_id < most_id").hint("shuffle_hash"), ["a", "b"])  # one row a key
+    return kept.groupBy("id", "t").agg(F.collect_list(F.struct("at", "a", "b", (F.col("least_id") < F.col("id")).alias("later"))).alias("windows"))
 
 
 def _marked(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -155,62 +269,75 @@ def _marked(docs: DataFrame, key: str, text: str) -> DataFrame:
     return small_batches(docs).select(known.alias("id"), F.xxhash64(whole).alias("t"), F.col(key).alias("key"), whole.alias("text"))
 
 
-@F.pandas_udf(T.StructType().add("words", T.BinaryType()).add("n", T.LongType()))
-def _measured(texts):
-    import pandas as pd
-
-    own = [_words(t) for t in texts]
-    return pd.DataFrame({"words": [xxhash.xxh3_128_digest(b" ".join(w)) for w in own], "n": [len(w) for w in own]})
-
-
-def levels(spark: SparkSession, docs: DataFrame, least: int = LEAST, longest: int | None = None) -> Iterator[tuple[int, DataFrame]]:
+def levels(
+    spark: SparkSession, texts: DataFrame, first: DataFrame, own: DataFrame, least: int = LEAST, longest: int | None = None,
+) -> Iterator[tuple[int, DataFrame]]:
     """(size, windows) for the least size and its doublings, until none repeats or ``longest`` is passed.
 
-    ``docs`` has (id, t, text), one row for each different sequence of words. Windows are (id, t, at, a, b, least_id).
+    ``texts`` has (id, t, text), ``first`` its settled ``_first_level``, which is deleted, and ``own`` the (id, t) of one
+    row for each different sequence of words. Windows are those of ``_repeated``; a level's table is deleted when the
+    one after the next is asked for.
     """
-    first = settled(spark, _first_level(docs, least), "first-windows")
-    places = _repeated(first, ["h"]).groupBy("id").agg(F.collect_set("at").alias("places"))
-    suspects = settled(spark, docs.select("id", "t", "text").join(places, "id"), "suspects")
-    size = least
-    windows = settled(spark, _repeated(_least_windows(suspects, least), ["a", "b"]), "windows")
+    places = first.filter("h is not null").select("h", "id", "at")
+    seen = places.groupBy("h").agg(F.min("id").alias("least_id"), F.max("id").alias("most_id"))
+    several = seen.filter("least_id < most_id").select("h").hint("shuffle_hash")  # one row a key
+    places = settled(spark, places.join(several, "h").groupBy("id").agg(F.collect_list("at").alias("places")), "places")
+    discard(spark, first)
+    asked = own.join(places, "id")
+    suspects = settled(spark, texts.select("id", "t", "text").join(asked, ["id", "t"]).dropDuplicates(["id", "t"]), "suspects")
+    size, before = least, suspects
+    windows = settled(spark, _repeated(_least_windows(suspects, least)), "windows")
     while not windows.isEmpty():
         yield size, windows
+        discard(spark, before)
         if longest is not None and 2 * size > longest:
             return
-        windows = settled(spark, _repeated(_doubled(windows, size), ["a", "b"]), "windows")
+        before, windows = windows, settled(spark, _repeated(_doubled(windows, size)), "windows")
         size *= 2
 
 
+def _covered(later: DataFrame, least: int) -> DataFrame:
+    """(id, t, spans): the words that windows starting at the places ``at`` cover, as sorted (start, length)."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for places in batch.column(2):
+                at = np.sort(places.values.to_numpy())
+                opens = np.flatnonzero(np.diff(at, prepend=at[0] - least - 1) > least)
+                ends = at[np.append(opens[1:], len(at)) - 1] + least
+                found.append([{"start": s, "length": e - s} for s, e in zip(at[opens].tolist(), ends.tolist())])
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kind)], ["id", "t", "spans"])
+
+    return later.mapInArrow(join, "id long, t long, spans array<struct<start:int,length:int>>")
+
+
 def spans(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
     """(id, t, spans, longest) of every document with words to remove; spans are sorted (start, length) without overlap.
 
     ``id`` is the key, the largest long if null, and ``t`` the hash of the text. See ``without_repeats``.
     """
     marked = _marked(docs, key, text)
-    told = settled(spark, marked.select("id", "t", _measured("text").alias("m")).select("id", "t", "m.*"), "measured")
+    first = settled(spark, _first_level(marked, least), "first-windows")
+    told = first.filter("h is null").select("id", "t", "words", "n")
     one = told.groupBy("words").agg(F.min("id").alias("least_id"))
     told = settled(spark, told.join(one, "words").select("id", "t", "n", "least_id").distinct(), "classes")
     own = told.filter(F.col("id") == F.col("least_id")).select("id", "t")
-    unique = marked.join(own, ["id", "t"], "left_semi").select("id", "t", "text").dropDuplicates(["id", "t"])
-    single = settled(spark, unique, "different-texts")
-    found, sizes = None, None
-    for size, windows in levels(spark, single, least):
-        later = windows.filter("least_id < id")
-        found = later.select("id", "t", "at") if found is None else found
-        reached = later.select("id", "t", F.lit(size).alias("longest")).distinct()
+    parts, sizes = None, None
+    for size, windows in levels(spark, marked, first, own, least):
+        later = windows.select("id", "t", F.expr("transform(filter(windows, w -> w.later), w -> w.at)").alias("at")).filter("size(at) > 0")
+        if parts is None:
+            parts = settled(spark, _covered(later, least), "parts")
+        reached = settled(spark, later.select("id", "t", F.lit(size).alias("longest")), "reached")
         sizes = reached if sizes is None else sizes.union(reached)
     copies = told.filter((F.col("id") > F.col("least_id")) & (F.col("n") >= least))
     doubled = F.length(F.bin(F.floor(F.col("n") / least))) - 1  # how often the window can be doubled
     whole = copies.select(
         "id", "t", F.array(F.struct(F.lit(0).cast("int").alias("start"), F.col("n").cast("int").alias("length"))).alias("spans"),
         (least * F.pow(F.lit(2.0), doubled)).cast("long").alias("longest"))
-    if found is None:
+    if parts is None:
         return settled(spark, whole, "spans")
-    order = Window.partitionBy("id", "t").orderBy("at")
-    opens = F.coalesce(F.col("at") > F.lag("at").over(order) + least, F.lit(True))
-    islands = found.withColumn("opens", opens.cast("int")).withColumn("island", F.sum("opens").over(order))
-    stretches = islands.groupBy("id", "t", "island").agg(F.min("at").alias("start"), (F.max("at") - F.min("at") + least).alias("length"))
-    parts = stretches.groupBy("id", "t").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("spans"))
     parts = parts.join(sizes.groupBy("id", "t").agg(F.max("longest").cast("long").alias("longest")), ["id", "t"])
     return settled(spark, parts.unionByName(whole), "spans")
 

@@ -75,17 +75,30 @@ def test_long_texts_are_cut_into_stretches(spark, monkeypatch):
     rows = [(1, " ".join(words)), (2, " ".join(words[100:9000] + ["x"] + words[9001:20_000])), (3, " ".join(words[29_980:]))]
     got = {r.doc_id: r for r in repeats.without_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i].n_removed for i in (1, 2, 3)] == [0, 19_899, 20] and got[2].text == "x" and got[2].longest == 13 * 512
-    own = [w.encode() for w in words]
-    hashes = repeats.word_hashes(own)[0]
-    whole = repeats.representatives(hashes, np.array([len(own)]), 13)
-    monkeypatch.setattr(repeats, "_TOGETHER", 700)
     import pyarrow as pa
 
-    batch, places = pa.record_batch({"text": [" ".join(words)]}), {}
-    for rows_, offsets, part, ends in repeats._stretches(batch, 0, 13):
-        place, h = repeats.representatives(repeats.word_hashes(part)[0], ends, 13)
-        places |= {offsets[0] + p: x for p, x in zip(place.tolist(), h.tolist())}
-    assert places == dict(zip(whole[0].tolist(), whole[1].tolist()))
+    def found(together):
+        monkeypatch.setattr(repeats, "_TOGETHER", together)
+        places, digests = {}, []
+        for first, counts, hashes, digest in repeats._texts(pa.array([" ".join(words), None, "a\nb " * 20])):
+            digests += digest
+            for rows_, offsets, part, ends in repeats._stretches(first, counts, hashes, 13):
+                place, h = repeats.representatives(part[0], ends, 13)
+                text = np.searchsorted(ends, place, side="right")
+                begins = np.concatenate([[0], ends[:-1]])
+                places |= {(r, p): x for r, p, x in zip(rows_[text].tolist(), (place - begins[text] + offsets[text]).tolist(), h.tolist())}
+        return places, digests
+
+    assert found(1 << 21) == found(700) == found(90)
+
+
+def test_word_hashes():
+    text = " é ab\tab\n\n" + "x" * 9000 + " " + "x" * 9001 + " ba \x0b"
+    starts, hashes, spaced = repeats.word_hashes(np.frombuffer(text.encode(), np.uint8))
+    own = text.encode().split()
+    assert spaced.tobytes() == b" ".join(own) + b" " and [text.encode()[i:].split()[0] for i in starts] == own
+    assert all(len(set(h.tolist())) == 5 and h[1] == h[2] for h in hashes)
+    assert repeats.word_hashes(np.frombuffer(b" \n", np.uint8))[1].shape == (2, 0)
 
 
 def test_empty_table(spark):
