@@ -196,20 +196,22 @@ def _first_level(docs: DataFrame, least: int) -> DataFrame:
     return docs.select("id", "t", "text").mapInArrow(find, "h long, id long, at int, t long, words binary, n long")
 
 
-def _columns(rows: np.ndarray, ids: np.ndarray, ts: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+def _columns(rows: np.ndarray, ids: np.ndarray, us: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([
-        pa.array(ids[rows]), pa.array(ts[rows]), pa.array(at.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)),
-    ], ["id", "t", "at", "a", "b"])
+        pa.array(ids[rows]), pa.array(us[rows]), pa.array(at.astype(np.int32)), pa.array(a.view(np.int64)),
+        pa.array((b >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+    ], ["id", "u", "at", "a", "b"])
 
 
-_WINDOWS = "id long, t long, at int, a long, b long"
+#: A window's text (id, u), place and hash of 96 bits.
+_WINDOWS = "id long, u long, at int, a long, b int"
 
 
 def _least_windows(suspects: DataFrame, least: int) -> DataFrame:
-    """(id, t, at, a, b): windows of ``least`` words for which one of the text's repeated first-level windows stands."""
+    """(id, u, at, a, b): windows of ``least`` words for which one of the text's repeated first-level windows stands."""
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, ts = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            ids, us = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             for first, counts, hashes, _ in _texts(batch.column(2)):
                 for rows, offsets, part, ends in _stretches(first, counts, hashes, least):
                     begins, flags = np.concatenate([[0], ends[:-1]]), np.zeros(part.shape[1], dtype=bool)
@@ -220,9 +222,9 @@ def _least_windows(suspects: DataFrame, least: int) -> DataFrame:
                     at = represented(part[0], ends, least, flags)
                     text = np.searchsorted(ends, at, side="right")
                     a, b = (window_hashes(part[f - 1], at, least, f) for f in (1, 2))
-                    yield _columns(rows[text], ids, ts, at - begins[text] + offsets[text], a, b)
+                    yield _columns(rows[text], ids, us, at - begins[text] + offsets[text], a, b)
 
-    return suspects.select("id", "t", "text", "places").mapInArrow(find, _WINDOWS)
+    return suspects.select("id", "u", "text", "places").mapInArrow(find, _WINDOWS)
 
 
 def _mixed(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray, family: int) -> np.ndarray:
@@ -230,11 +232,11 @@ def _mixed(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray, family: i
 
 
 def _doubled(windows: DataFrame, size: int) -> DataFrame:
-    """(id, t, at, a, b): windows of twice the size whose two halves are among a text's ``windows``."""
+    """(id, u, at, a, b): windows of twice the size whose two halves are among a text's ``windows``."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, ts = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            ids, us = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             for first in range(0, batch.num_rows, 256):
                 part = batch.column(2).slice(first, 256)
                 row = np.repeat(np.arange(len(part)), part.value_lengths().to_numpy())
@@ -242,24 +244,31 @@ def _doubled(windows: DataFrame, size: int) -> DataFrame:
                 at, a, b = (flat.field(k).to_numpy() for k in range(3))
                 place = (row << 32) + at
                 order = np.argsort(place)
-                place, row, at, a, b = place[order], row[order], at[order], a[order].view(np.uint64), b[order].view(np.uint64)
+                place, row, at, a, b = place[order], row[order], at[order], a[order].view(np.uint64), b[order].astype(np.uint64)
                 half = np.searchsorted(place, place + size)
                 one = np.flatnonzero(place[np.minimum(half, len(place) - 1)] == place + size)
                 two = half[one]
                 found = (_mixed(a[one], b[one], a[two], b[two], f) for f in (1, 2))
-                yield _columns(first + row[one], ids, ts, at[one], *found)
+                yield _columns(first + row[one], ids, us, at[one], *found)
 
-    return windows.select("id", "t", "windows").mapInArrow(find, _WINDOWS)
+    return windows.select("id", "u", "windows").mapInArrow(find, _WINDOWS)
 
 
-def _repeated(windows: DataFrame) -> DataFrame:
-    """(id, t, windows): each text's windows (at, a, b, later) that occur in two documents.
+def _in_two(spark: SparkSession, windows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, least_id): the hashes that occur in two documents, with the smallest id of one; a row a key."""
+    seen = windows.groupBy(*keys).agg(F.min("id").alias("least_id"), F.max("id").alias("most_id"))
+    return settled(spark, seen.filter("least_id < most_id").drop("most_id"), "keys").hint("shuffle_hash")
+
+
+def _repeated(spark: SparkSession, windows: DataFrame) -> DataFrame:
+    """(id, u, windows): each text's windows (at, a, b, later) that occur in two documents.
 
     ``later`` says that one of them has a smaller id. A text's windows are at most as many as its words.
     """
-    seen = windows.groupBy("a", "b").agg(F.min("id").alias("least_id"), F.max("id").alias("most_id"))
-    kept = windows.join(seen.filter("least_id < most_id").hint("shuffle_hash"), ["a", "b"])  # one row a key
-    return kept.groupBy("id", "t").agg(F.collect_list(F.struct("at", "a", "b", (F.col("least_id") < F.col("id")).alias("later"))).alias("windows"))
+    later = (F.col("least_id") < F.col("id")).alias("later")
+    kept = windows.join(_in_two(spark, windows, ["a", "b"]), ["a", "b"]).select("id", "u", "at", "a", "b", later)
+    by_text = kept.repartition("id", "u").groupBy("id", "u")
+    return settled(spark, by_text.agg(F.collect_list(F.struct("at", "a", "b", "later")).alias("windows")), "windows")
 
 
 def _marked(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -274,30 +283,29 @@ def levels(
 ) -> Iterator[tuple[int, DataFrame]]:
     """(size, windows) for the least size and its doublings, until none repeats or ``longest`` is passed.
 
-    ``texts`` has (id, t, text), ``first`` its settled ``_first_level``, which is deleted, and ``own`` the (id, t) of one
-    row for each different sequence of words. Windows are those of ``_repeated``; a level's table is deleted when the
-    one after the next is asked for.
+    ``texts`` has (id, t, text), ``first`` its settled ``_first_level``, which is deleted, and ``own`` the (id, t, u) of
+    one row for each different sequence of words, (id, u) telling them apart. Windows are those of ``_repeated``; a
+    level's table is deleted when the one after the next is asked for.
     """
     places = first.filter("h is not null").select("h", "id", "at")
-    seen = places.groupBy("h").agg(F.min("id").alias("least_id"), F.max("id").alias("most_id"))
-    several = seen.filter("least_id < most_id").select("h").hint("shuffle_hash")  # one row a key
-    places = settled(spark, places.join(several, "h").groupBy("id").agg(F.collect_list("at").alias("places")), "places")
+    found = places.join(_in_two(spark, places, ["h"]), "h").select("id", "at").repartition("id")
+    places = settled(spark, found.groupBy("id").agg(F.collect_list("at").alias("places")), "places")
     discard(spark, first)
     asked = own.join(places, "id")
-    suspects = settled(spark, texts.select("id", "t", "text").join(asked, ["id", "t"]).dropDuplicates(["id", "t"]), "suspects")
-    size, before = least, suspects
-    windows = settled(spark, _repeated(_least_windows(suspects, least)), "windows")
+    suspects = texts.select("id", "t", "text").join(asked, ["id", "t"]).dropDuplicates(["id", "t"]).drop("t")
+    before = suspects = settled(spark, suspects, "suspects")
+    size, windows = least, _repeated(spark, _least_windows(suspects, least))
     while not windows.isEmpty():
         yield size, windows
         discard(spark, before)
         if longest is not None and 2 * size > longest:
             return
-        before, windows = windows, settled(spark, _repeated(_doubled(windows, size)), "windows")
+        before, windows = windows, _repeated(spark, _doubled(windows, size))
         size *= 2
 
 
 def _covered(later: DataFrame, least: int) -> DataFrame:
-    """(id, t, spans): the words that windows starting at the places ``at`` cover, as sorted (start, length)."""
+    """(id, u, spans): the words that windows starting at the places ``at`` cover, as sorted (start, length)."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,9 +316,9 @@ def _covered(later: DataFrame, least: int) -> DataFrame:
                 ends = at[np.append(opens[1:], len(at)) - 1] + least
                 found.append([{"start": s, "length": e - s} for s, e in zip(at[opens].tolist(), ends.tolist())])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kind)], ["id", "t", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kind)], ["id", "u", "spans"])
 
-    return later.mapInArrow(join, "id long, t long, spans array<struct<start:int,length:int>>")
+    return later.mapInArrow(join, "id long, u long, spans array<struct<start:int,length:int>>")
 
 
 def spans(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
@@ -322,14 +330,16 @@ def spans(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str =
     first = settled(spark, _first_level(marked, least), "first-windows")
     told = first.filter("h is null").select("id", "t", "words", "n")
     one = told.groupBy("words").agg(F.min("id").alias("least_id"))
-    told = settled(spark, told.join(one, "words").select("id", "t", "n", "least_id").distinct(), "classes")
-    own = told.filter(F.col("id") == F.col("least_id")).select("id", "t")
+    only = told.groupBy("id").agg((F.min("t") == F.max("t")).alias("only"))  # most ids have one text, which needs no hash
+    told = told.join(one, "words").join(only, "id").select("id", "t", "n", "least_id", F.when(~F.col("only"), F.col("t")).otherwise(0).alias("u"))
+    told = settled(spark, told.distinct(), "classes")
+    own = told.filter(F.col("id") == F.col("least_id")).select("id", "t", "u")
     parts, sizes = None, None
     for size, windows in levels(spark, marked, first, own, least):
-        later = windows.select("id", "t", F.expr("transform(filter(windows, w -> w.later), w -> w.at)").alias("at")).filter("size(at) > 0")
+        later = windows.select("id", "u", F.expr("transform(filter(windows, w -> w.later), w -> w.at)").alias("at")).filter("size(at) > 0")
         if parts is None:
             parts = settled(spark, _covered(later, least), "parts")
-        reached = settled(spark, later.select("id", "t", F.lit(size).alias("longest")), "reached")
+        reached = settled(spark, later.select("id", "u", F.lit(size).alias("longest")), "reached")
         sizes = reached if sizes is None else sizes.union(reached)
     copies = told.filter((F.col("id") > F.col("least_id")) & (F.col("n") >= least))
     doubled = F.length(F.bin(F.floor(F.col("n") / least))) - 1  # how often the window can be doubled
@@ -338,7 +348,8 @@ def spans(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str =
         (least * F.pow(F.lit(2.0), doubled)).cast("long").alias("longest"))
     if parts is None:
         return settled(spark, whole, "spans")
-    parts = parts.join(sizes.groupBy("id", "t").agg(F.max("longest").cast("long").alias("longest")), ["id", "t"])
+    parts = parts.join(sizes.groupBy("id", "u").agg(F.max("longest").cast("long").alias("longest")), ["id", "u"])
+    parts = parts.join(own, ["id", "u"]).drop("u")
     return settled(spark, parts.unionByName(whole), "spans")
 
 
