@@ -77,6 +77,33 @@ def posterior_matrix(loadings: np.ndarray, noise: np.ndarray) -> np.ndarray:
     return weighted.T @ np.linalg.inv(np.eye(len(loadings)) + weighted @ loadings.T)
 
 
+def scaled_covariance(point: np.ndarray, parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(covariance of the standardised features, mean, one over deviation, rows) from ``moments`` of some parts.
+
+    The deviation is the sample's, as in the built-in scaler; a constant feature is scaled by 0. The covariance is the
+    population's.
+    """
+    n = sum(p[0] for p in parts)
+    total, products = sum(p[1] for p in parts), sum(p[2] for p in parts)
+    covariance = products / max(n, 1) - np.outer(total, total) / max(n, 1) ** 2
+    variance = np.maximum(np.diag(covariance), 0.0) * n / max(n - 1, 1)
+    tiny = 1e-12 * np.maximum(np.diag(products) / max(n, 1), 1e-300)
+    scale = np.where(variance > tiny, 1 / np.sqrt(np.where(variance > tiny, variance, 1.0)), 0.0)
+    return covariance * scale[:, None] * scale[None, :], point + total / max(n, 1), scale, int(n)
+
+
+def leading_directions(covariance: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(d x k matrix of the leading eigenvectors, share of the variance of every eigenvector in falling order).
+
+    An eigenvector points so that its entry of largest size, the first of equals, is positive.
+    """
+    values, directions = np.linalg.eigh(covariance)
+    values, directions = np.maximum(values[::-1], 0.0), directions[:, ::-1]
+    largest = np.argmax(np.round(np.abs(directions), 9), axis=0)
+    directions = directions * np.where(directions[largest, np.arange(len(values))] < 0, -1.0, 1.0)
+    return directions[:, :k], values / max(values.sum(), 1e-300)
+
+
 class FactorAnalysis(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
     """Factor analysis of an already standardised vector column.
 

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 from itertools import product
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import PCA, StandardScaler, UnivariateFeatureSelector, VectorAssembler, VectorSlicer
+from pyspark.ml.feature import StandardScaler, UnivariateFeatureSelector, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +24,8 @@ from tenora.operators.clustering import (
     spread_metrics,
     variances,
 )
-from tenora.operators.projection import FactorAnalysis, covariance_matrix
+from tenora.operators.kmeans import NearestCentre, Reduction, fit_many, moments, silhouettes, spread_out, vectors
+from tenora.operators.projection import LinearProjection, fit_factors, leading_directions, posterior_matrix, scaled_covariance
 from tenora.operators.select import columns_of, sample_rows
 from tenora.sources.sinks import load_model, save_model
 
@@ -43,7 +44,6 @@ class SearchSpace:
     max_iter: int = 300
     seed: int = 42
     score_on: str = "scaled"
-    parallelism: int = 8
 
     def __post_init__(self) -> None:
         for name in ("reducers", "n_components", "n_clusters"):
@@ -73,6 +73,7 @@ class Segmenter:
     best_params: dict | None = None
     best_score: float | None = None
     scores: list[dict] = field(default_factory=list)
+    passes: int = 0
 
     def __post_init__(self) -> None:
         self.df = sample_rows(self.df, self.sample, self.seed, [self.key])
@@ -112,27 +113,22 @@ class Segmenter:
         scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
         return PipelineModel([assembler, scaler.fit(assembler.transform(df))])
 
-    def _reducers(self, scaled: DataFrame, space: SearchSpace) -> dict[tuple[str, int], list]:
-        """Fitted stages per (reducer, size). Smaller principal subspaces are slices of the largest one."""
+    def _reducers(self, covariance: np.ndarray, n_rows: int, space: SearchSpace) -> dict[tuple[str, int], np.ndarray]:
+        """A matrix per (reducer, size), from the covariance of the scaled features."""
         sizes = list(space.n_components)
         if max(sizes) > len(self.features):
             raise ValueError(f"{max(sizes)} components asked of {len(self.features)} features")
-        fitted: dict[tuple[str, int], list] = {}
+        found: dict[tuple[str, int], np.ndarray] = {}
         if "pca" in space.reducers:
-            pca = PCA(k=max(sizes), inputCol="scaled", outputCol="components").fit(scaled)
-            for k in sizes:
-                cut = VectorSlicer(inputCol="components", outputCol="reduced", indices=list(range(k)))
-                fitted["pca", k] = [pca, cut]
+            directions, _ = leading_directions(covariance, max(sizes))
+            found |= {("pca", k): directions[:, :k] for k in sizes}
         if "factors" in space.reducers:
-            covariance = covariance_matrix(scaled, "scaled")
-            for k in sizes:
-                factors = FactorAnalysis(inputCol="scaled", outputCol="reduced", k=k)
-                fitted["factors", k] = [factors.fit_covariance(*covariance)]
-        return fitted
+            found |= {("factors", k): posterior_matrix(*fit_factors(covariance, n_rows, k)) for k in sizes}
+        return found
 
     @staticmethod
     def _kmeans(reduced: DataFrame, k: int, space: SearchSpace) -> KMeansModel:
-        """Lowest-inertia model over the restarts."""
+        """Lowest-inertia model over the restarts, fitted one after another by the built-in estimator."""
         best = None
         for seed in range(space.seed, space.seed + space.restarts):
             model = KMeans(
@@ -143,74 +139,79 @@ class Segmenter:
                 best = model
         return best
 
-    def _fold_scores(self, data: DataFrame, fold: int, space: SearchSpace) -> list[dict]:
-        train, test = data.filter(F.col("_fold") != fold), data.filter(F.col("_fold") == fold)
-        scaling = self.scaling(train)
-        scaled = scaling.transform(train).select("scaled").persist()
-        scored_on = "scaled" if space.score_on == "scaled" else "features"
-        held = scaling.transform(test).select("features", "scaled").persist()
-        reducers = self._reducers(scaled, space)
-
-        def one(reduction: tuple[str, int]) -> list[dict]:
-            stages = PipelineModel(reducers[reduction])
-            rows, unseen = stages.transform(scaled).select("reduced").persist(), stages.transform(held).persist()
-            found = []
-            for k in space.n_clusters:
-                labelled = self._kmeans(rows, k, space).transform(unseen)
-                found.append({
-                    "reducer": reduction[0], "n_components": reduction[1], "n_clusters": k, "fold": fold,
-                    "silhouette": safe_silhouette(labelled, scored_on, CLUSTER),
-                })
-            rows.unpersist()
-            unseen.unpersist()
-            return found
-
-        with ThreadPool(space.parallelism) as pool:
-            parts = pool.map(inheritable_thread_target(data.sparkSession)(one), list(reducers))
-        scaled.unpersist()
-        held.unpersist()
-        return [row for part in parts for row in part]
-
     def fit(self, space: SearchSpace | None = None) -> Segmenter:
         """Score every candidate on every fold and refit the best one on all rows.
 
-        Folds come from a hash of the key: deterministic, balanced, and without ordering the rows globally.
+        Folds come from a hash of the key: deterministic, balanced, and without ordering the rows globally. All models
+        of all folds, restarts included, go through each pass over the rows together (``fit_many``).
         """
         space = space or SearchSpace()
         fold = F.pmod(F.xxhash64(F.col(self.key), F.lit(space.seed)), F.lit(space.folds)).cast("int")
-        data = self.df.select(self.key, *self.features).withColumn("_fold", fold).persist()
-        self.scores = [row for f in range(space.folds) for row in self._fold_scores(data, f, space)]
-
-        def mean_score(candidate: tuple[str, int, int]) -> float:
-            got = [
-                r["silhouette"] for r in self.scores
-                if (r["reducer"], r["n_components"], r["n_clusters"]) == candidate
-            ]
-            return sum(got) / len(got)
-
-        best = max(space.candidates(), key=mean_score)
-        self.best_params = dict(zip(("reducer", "n_components", "n_clusters"), best))
-        self.best_score = mean_score(best)
-        self.best_model = self._refit(data, best, space)
-        data.unpersist()
+        rows = spread_out(vectors(self.df.withColumn("_fold", fold), self.key, self.features, "_fold")).persist()
+        try:
+            point, parts = moments(rows, space.folds)
+            tried, scored_shift, scored_scale = [], [], []
+            for f in range(space.folds):
+                others = [p for g, p in enumerate(parts) if g != f] if space.folds > 1 else parts
+                reductions, shift, scale = self._reductions(point, others, space, f if space.folds > 1 else None)
+                tried += [(f, name, red) for name, red in reductions.items()]
+                scored_shift += [shift if space.score_on == "scaled" else 0 * shift] * len(reductions) * len(space.n_clusters)
+                scored_scale += [scale if space.score_on == "scaled" else 0 * scale + 1] * len(reductions) * len(space.n_clusters)
+            self.passes = fit_many(rows, [red for *_, red in tried], space.max_iter)
+            judged = [(f, name, k, red) for f, name, red in tried for k in space.n_clusters]
+            found = silhouettes(rows, [(red, red.best(k)) for *_, k, red in judged], scored_shift, scored_scale)
+            self.scores = [
+                {"reducer": name[0], "n_components": name[1], "n_clusters": k, "fold": f, "silhouette": s}
+                for (f, name, k, _), s in zip(judged, found)]
+
+            def mean_score(candidate: tuple[str, int, int]) -> float:
+                got = [
+                    r["silhouette"] for r in self.scores
+                    if (r["reducer"], r["n_components"], r["n_clusters"]) == candidate
+                ]
+                return sum(got) / len(got)
+
+            best = max(space.candidates(), key=mean_score)
+            self.best_params = dict(zip(("reducer", "n_components", "n_clusters"), best))
+            self.best_score = mean_score(best)
+            self.best_model = self._refit(rows, best, space, (point, parts))
+        finally:
+            rows.unpersist()
         return self
 
-    def _refit(self, data: DataFrame, candidate: tuple[str, int, int], space: SearchSpace) -> PipelineModel:
+    def _reductions(
+        self, point: np.ndarray, parts: list, space: SearchSpace, held_out: int | None = None
+    ) -> tuple[dict[tuple[str, int], Reduction], np.ndarray, np.ndarray]:
+        """(reductions with their models, mean, one over deviation) fitted on the rows of the given moments."""
+        covariance, mean, scale, n = scaled_covariance(point, parts)
+        models = [(k, seed) for k in space.n_clusters for seed in range(space.seed, space.seed + space.restarts)]
+        matrices = self._reducers(covariance, n, space)
+        return {
+            name: Reduction(mean, scale[:, None] * matrix, list(models), held_out, float((matrix * (covariance @ matrix)).sum(0).mean()))
+            for name, matrix in matrices.items()
+        }, mean, scale
+
+    def _refit(self, rows: DataFrame, candidate: tuple[str, int, int], space: SearchSpace, known: tuple) -> PipelineModel:
         reducer, size, k = candidate
-        scaling = self.scaling(data)
-        scaled = scaling.transform(data).select("scaled").persist()
         narrowed = replace(space, reducers=(reducer,), n_components=(size,), n_clusters=(k,))
-        stages = self._reducers(scaled, narrowed)[reducer, size]
-        reduced = PipelineModel(stages).transform(scaled).select("reduced").persist()
-        model = self._kmeans(reduced, k, space)
-        reduced.unpersist()
-        scaled.unpersist()
-        return PipelineModel([*scaling.stages, *stages, model])
+        reductions, mean, scale = self._reductions(*known, narrowed)
+        red = reductions[reducer, size]
+        fit_many(rows, [red], space.max_iter)
+        matrix = self._reducers(*scaled_covariance(*known)[::3], narrowed)[reducer, size]
+        return PipelineModel([
+            *self.scaling(self.df).stages,
+            LinearProjection(inputCol="scaled", outputCol="reduced", matrix=json.dumps(matrix.tolist())),
+            NearestCentre.of(red.best(k), "reduced", CLUSTER),
+        ])
 
     def fit_one(self, reducer: str, n_components: int, n_clusters: int, space: SearchSpace | None = None) -> Segmenter:
         """Fit one chosen candidate on all rows, without a search."""
         self.best_params = {"reducer": reducer, "n_components": n_components, "n_clusters": n_clusters}
-        self.best_model = self._refit(self.df, (reducer, n_components, n_clusters), space or SearchSpace())
+        rows = spread_out(vectors(self.df, self.key, self.features)).persist()
+        try:
+            self.best_model = self._refit(rows, (reducer, n_components, n_clusters), space or SearchSpace(), moments(rows, 1))
+        finally:
+            rows.unpersist()
         return self
 
     # --- use ------------------------------------------------------------------------------------------
@@ -254,14 +255,18 @@ class Segmenter:
 
 
 def principal_components(df: DataFrame, key: str, features: Sequence[str], k: int = 3) -> tuple[DataFrame, list[float]]:
-    """(key, pc1.., Cluster when present) of the standardised features, and the explained variance ratios."""
+    """(key, pc1.., Cluster when present) of the standardised features, and the explained variance ratios.
+
+    Each component points so that its weight of largest size, the first of equals, is positive.
+    """
+    rows = vectors(df, key, features)
+    covariance, mean, scale, _ = scaled_covariance(*moments(rows, 1))
+    directions, ratios = leading_directions(covariance, k)
     assembler = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="error")
-    rows = assembler.transform(df)
-    scaled = StandardScaler(
-        inputCol="_features", outputCol="_scaled", withMean=True, withStd=True
-    ).fit(rows).transform(rows)
-    model = PCA(k=k, inputCol="_scaled", outputCol="_pc").fit(scaled)
-    cells = vector_to_array("_pc")
+    centred = vector_to_array("_features")
+    shifted = F.zip_with(centred, F.array(*[F.lit(float(m)) for m in mean]), lambda x, m: x - m)
+    matrix = scale[:, None] * directions
+    cells = [F.aggregate(F.zip_with(shifted, F.array(*[F.lit(float(w)) for w in matrix[:, i]]), lambda x, w: x * w),
+                         F.lit(0.0), lambda s, x: s + x).alias(f"pc{i + 1}") for i in range(k)]
     shown = [c for c in (CLUSTER,) if c in df.columns]
-    points = model.transform(scaled).select(key, *[cells[i].alias(f"pc{i + 1}") for i in range(k)], *shown)
-    return points, [float(x) for x in model.explainedVariance]
+    return assembler.transform(df).select(key, *cells, *shown), [float(x) for x in ratios[:k]]
