@@ -105,9 +105,9 @@ def _(spark, sf):
 
 @register("distinct_value_counts", "A10 Q3", _union(
     f"SELECT '{c}' AS \"column\", count({c}) AS non_null, count(DISTINCT {c}) AS n_distinct FROM orders"
-    for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")))
+    for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")))
 def _(spark, sf):
-    return S.distinct_counts(read_table(spark, sf, "orders").drop("o_orderdate"))
+    return S.distinct_counts(read_table(spark, sf, "orders"))
 
 
 @register("derived_ratios", "P15 F13", with_profile(
@@ -356,13 +356,12 @@ def _(spark, sf):
     ", a AS (" + _union(
         f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS table_nulls, "
         f"count(*) FILTER (WHERE {c} IS NULL OR Customer_Status = 'Joined') AS file_nulls FROM raw_customers"
-        for c in ("Payment_Method", "Internet_Type", "Churn_Category", "Churn_Reason", "Offer", "City")) +
+        for c in WIDE_COLUMNS if c != "Cluster") +
     ") SELECT * FROM a WHERE table_nulls > 0 AND file_nulls > 0"))
 def _(spark, sf):
-    names = ["Payment_Method", "Internet_Type", "Churn_Category", "Churn_Reason", "Offer", "City"]
     raw = raw_customers(profile(spark, sf))
-    blanked = raw.select(*[F.when(F.col("Customer_Status") != "Joined", F.col(c)).alias(c) for c in names])
-    return Q.null_crosscheck(raw.select(*names), blanked, ("table_nulls", "file_nulls"))
+    blanked = raw.select(*[F.when(F.col("Customer_Status") != "Joined", F.col(c)).alias(c) for c in raw.columns])
+    return Q.null_crosscheck(raw, blanked, ("table_nulls", "file_nulls"))
 
 
 @register("merge_insert_only", "J8 N2", (
@@ -470,7 +469,7 @@ def _(spark, sf):
 
 # --- quality ------------------------------------------------------------------------------------------
 
-_TEXT = ["State", "City", "Offer", "Internet_Type", "Contract", "Payment_Method", "Customer_Status", "Churn_Reason"]
+_TEXT = [c for c in WIDE_COLUMNS if c not in (*NUMERIC, "Customer_ID", "Zip_Code")]
 
 
 @register("describe_text", "Q1", with_profile(_union(
@@ -478,7 +477,7 @@ _TEXT = ["State", "City", "Offer", "Internet_Type", "Contract", "Payment_Method"
     f"n AS freq FROM (SELECT {c} AS v, count(*) AS n FROM profile WHERE {c} IS NOT NULL GROUP BY {c}) "
     "ORDER BY n DESC, v LIMIT 1)" for c in _TEXT)))
 def _(spark, sf):
-    return Q.describe_text(profile(spark, sf), _TEXT)
+    return Q.describe_text(profile(spark, sf))
 
 
 def _describe_sql(columns, where="TRUE") -> str:

@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tenora.catalog.basics import FLOATS
+from tenora.catalog.basics import FLOATS, NUMERIC
 from tenora.catalog.profile_sql import with_profile, with_raw
 from tenora.catalog.registry import register
 from tenora.operators import clustering as C
-from tenora.operators.projection import FactorAnalysis
+from tenora.operators.kmeans import moments, vectors
+from tenora.operators.projection import FactorAnalysis, fit_factors, implied_covariance, scaled_covariance
 from tenora.operators.select import encode_binary, standardize
 from tenora.plans.profile import FLAG_COLUMNS, profile, raw_customers, read_table
 from tenora.plans.segmentation import SearchSpace, Segmenter, principal_components
 
-FEATURES = [
-    "Age", "Number_of_Dependents", "Number_of_Referrals", "Tenure_in_Months", "Satisfaction_Score", "CLTV", *FLOATS,
-]
+#: Every numeric column but the key, the target, its label and the cluster.
+FEATURES = ["Zip_Code", *[c for c in NUMERIC if c not in ("Churn_Score", "Churn_Label", "Cluster")]]
 #: Columns of an empty embeddings table.
 DIMENSIONS = 64
 
@@ -49,12 +49,16 @@ def _(spark, sf):
     return C.label_encode(orders, "o_orderpriority", "priority_code").drop("o_orderpriority")
 
 
+def _digits(v: str) -> tuple[str, str]:
+    """Leading digits and power of ten, the same however the sum was ordered and however large it is."""
+    return f"round({v} / pow(10, floor(log10({v}))), 6) AS digits", f"CAST(floor(log10({v})) AS INT) AS power"
+
+
 @register("feature_variances", "M5", with_profile(_unioned(
-    f"SELECT '{c}' AS feature, round(var_pop({c}), 4) AS variance FROM profile HAVING var_pop({c}) > 0.01"
-    for c in [*FEATURES[:5], *FLAG_COLUMNS])))
+    f"SELECT '{c}' AS feature, {", ".join(_digits("v"))} FROM (SELECT var_pop({c}) AS v FROM profile) WHERE v > 0.01" for c in FEATURES)))
 def _(spark, sf):
-    found = C.variances(profile(spark, sf), [*FEATURES[:5], *FLAG_COLUMNS]).filter(F.col("variance") > 0.01)
-    return found.withColumn("variance", F.round("variance", 4))
+    found = C.variances(profile(spark, sf), FEATURES).filter(F.col("variance") > 0.01)
+    return found.selectExpr("feature", *_digits("variance"))
 
 
 def _anova_sql(columns, label) -> str:
@@ -158,6 +162,49 @@ def _(spark, sf):
     return principal_components(profile(spark, sf), "Customer_ID", FEATURES)[0]
 
 
+def _z_sql(columns) -> str:
+    """Standardised by the sample's deviation, a constant column as 0."""
+    return ("s AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}" for c in columns) + " FROM profile), "
+            "z AS (SELECT Customer_ID, " + ", ".join(f"coalesce(({c} - m_{c}) / nullif(s_{c}, 0), 0) AS {c}" for c in columns) + " FROM profile, s)")
+
+
+@register("scaled_features", "M7", with_profile(
+    f", {_z_sql(FEATURES)} SELECT Customer_ID, " + ", ".join(f"round({c}, 6) AS {c}" for c in FEATURES) + " FROM z"))
+def _(spark, sf):
+    segmenter = Segmenter(profile(spark, sf), "Customer_ID", "Churn_Score", exclude=["Churn_Label"])
+    cells = vector_to_array("scaled")
+    rows = segmenter.scaling(segmenter.df).transform(segmenter.df)
+    return rows.select("Customer_ID", *[cells[segmenter.features.index(c)].alias(c) for c in FEATURES])
+
+
+@register("component_norms", "M8 M16", with_profile(
+    f", {_z_sql(FEATURES)} SELECT Customer_ID, round(" + " + ".join(f"{c} * {c}" for c in FEATURES) + ", 6) AS norm FROM z"))
+def _(spark, sf):
+    k = len(FEATURES)
+    points, _ = principal_components(profile(spark, sf), "Customer_ID", FEATURES, k)
+    squares = [F.col(f"pc{i + 1}") * F.col(f"pc{i + 1}") for i in range(k)]
+    return points.select("Customer_ID", sum(squares[1:], squares[0]).alias("norm"))
+
+
+@register("component_variances", "M16", with_profile(
+    ", r AS (SELECT abs(corr(Tenure_in_Months, CLTV)) AS r FROM profile) SELECT 1 AS component, round((1 + r) / 2, 6) AS ratio FROM r "
+    "UNION ALL SELECT 2, round((1 - r) / 2, 6) FROM r"))
+def _(spark, sf):
+    _, ratios = principal_components(profile(spark, sf), "Customer_ID", ["Tenure_in_Months", "CLTV"], 2)
+    return spark.createDataFrame(list(enumerate(ratios, 1)), "component int, ratio double")
+
+
+@register("factor_variances", "M9", (
+    "SELECT CAST(d AS INT) AS dimension, 1.0::DOUBLE AS variance FROM (SELECT unnest(range(max(len(embedding)))) AS d FROM embeddings)"))
+def _(spark, sf):
+    segmenter = Segmenter(_embedding_columns(spark, sf), "vec_id", "label")
+    covariance, _, _, n = scaled_covariance(*moments(vectors(segmenter.df, "vec_id", segmenter.features), 1))
+    implied = implied_covariance(*fit_factors(covariance, n, 5, tol=1e-9))
+    ratio = [float(x) for x in implied.diagonal() / covariance.diagonal()]
+    found = spark.createDataFrame(list(enumerate(ratio)), "dimension int, variance double")
+    return found.withColumn("variance", F.round("variance", 3))
+
+
 @register("segmented_embeddings", "M3 M7 M8 M10 M13")
 def _(spark, sf):
     segmenter = Segmenter(_embedding_columns(spark, sf), "vec_id", "label")

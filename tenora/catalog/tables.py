@@ -238,33 +238,34 @@ def _(spark, sf):
     return typed.withColumns({c: F.col(c).cast("double") for c in _TYPED})
 
 
+def _as_text(c: str) -> str:
+    return f"round({c}, 6)" if c in _TYPED else f"CAST({c} AS VARCHAR)"
+
+
 @register("landing_positional_rows", "S9", with_raw(
-    "SELECT CAST(Customer_ID AS VARCHAR) AS col1, Gender AS col2, Contract AS col35, Customer_Status AS col44 "
-    "FROM raw_customers"))
+    "SELECT " + ", ".join(f"{_as_text(c)} AS col{i}" for i, c in enumerate(_RAW_COLUMNS, 1)) + " FROM raw_customers"))
 def _(spark, sf):
     staged = L.read_positional(spark, _landing_folder(spark, sf), len(_RAW_COLUMNS))
-    return staged.select("col1", "col2", "col35", "col44")
+    floats = [f"col{i}" for i, c in enumerate(_RAW_COLUMNS, 1) if c in _TYPED]
+    return staged.withColumns({c: F.col(c).cast("double") for c in floats})
 
 
 @register("landing_inferred_rows", "S10", with_raw(
-    "SELECT Customer_ID, Age, Tenure_in_Months, round(Total_Revenue, 6) AS Total_Revenue, Offer FROM raw_customers"))
+    "SELECT " + ", ".join(f"round({c}, 6) AS {c}" if c in _TYPED else c for c in _RAW_COLUMNS) + " FROM raw_customers"))
 def _(spark, sf):
-    return L.read_inferred(spark, _landing_folder(spark, sf)).select(
-        "Customer_ID", "Age", "Tenure_in_Months", "Total_Revenue", "Offer")
+    return L.read_inferred(spark, _landing_folder(spark, sf))
 
 
 @register("transformed_dataset", "K1 M1 J6", with_profile(
-    "SELECT Customer_ID, Gender, " + ", ".join(FLAG_COLUMNS) + ", Contract, Cluster FROM profile"))
+    "SELECT " + ", ".join(f"round({c}, 6) AS {c}" if c in _TYPED else c for c in WIDE_COLUMNS) + " FROM profile"))
 def _(spark, sf):
     from tenora.operators.select import encode_binary
 
-    wide = profile(spark, sf)
-    flags = encode_binary(raw_customers(wide), ["Gender", *FLAG_COLUMNS])
-    joined = flags.join(wide.select("Customer_ID", "Cluster"), "Customer_ID")
+    wide = profile(spark, sf).withColumn("_cluster", F.col("Cluster"))  # the raw form has no cluster
+    flags = encode_binary(raw_customers(wide), ["Gender", *FLAG_COLUMNS]).withColumnRenamed("_cluster", "Cluster")
     path = scratch_path(spark, "transformed")
-    K.write_transformed(joined, path)
-    return spark.read.option("header", True).option("inferSchema", True).csv(path).select(
-        "Customer_ID", "Gender", *FLAG_COLUMNS, "Contract", "Cluster")
+    K.write_transformed(flags, path)
+    return spark.read.option("header", True).option("inferSchema", True).csv(path)
 
 
 @register("typed_export", "K2", (

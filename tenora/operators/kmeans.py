@@ -136,8 +136,10 @@ def _drawn(todo: list[tuple[int, int, Reduction]], step: int) -> tuple[Callable,
                     continue
                 chance = -np.log(_uniform(ids[own], red.models[m][1], step))
                 if step:
+                    far = _squared(z, red.centres[m]).min(1)
+                    far[far <= 1e-12 * (z * z).sum(1)] = 0.0  # the row is a centre, up to rounding: never drawn again
                     with np.errstate(divide="ignore"):
-                        chance = chance / _squared(z, red.centres[m]).min(1)
+                        chance = chance / far
                 i = int(np.argmin(chance))
                 if chance[i] < best[at]:
                     best[at], best[at + 1:end] = chance[i], z[i]

@@ -71,6 +71,11 @@ def fit_factors(
     return loadings, noise
 
 
+def implied_covariance(loadings: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """The covariance that a fitted factor model gives its features; its diagonal is that of the data at the optimum."""
+    return loadings.T @ loadings + np.diag(noise)
+
+
 def posterior_matrix(loadings: np.ndarray, noise: np.ndarray) -> np.ndarray:
     """d x k matrix that maps centred rows to the posterior mean of the factors."""
     weighted = loadings / noise

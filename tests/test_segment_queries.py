@@ -41,3 +41,13 @@ def test_silhouette_blocks_follow_the_rows(spark, monkeypatch):
     monkeypatch.setattr(segments.C, "silhouettes_euclidean", lambda *args, **kwargs: asked.append(kwargs) or args[0])
     load()["silhouette_euclidean"].build(spark, SF)
     assert asked == [{}]
+
+
+def test_queries_run_the_whole_search(spark):
+    got = load()["segmentation_search"].build(spark, SF)
+    cells = {(r.reducer, r.n_components, r.n_clusters, r.fold) for r in got.collect()}
+    assert len(cells) == got.count() == 2 * 3 * 3 * 3
+    assert all(-1.0 <= r.silhouette <= 1.0 for r in got.collect())
+    labelled = load()["segmented_embeddings"].build(spark, SF)
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet")
+    assert labelled.count() == rows.count() and labelled.select("Cluster").distinct().count() in (5, 7, 9)

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from tenora.operators.clustering import (
@@ -8,7 +9,15 @@ from tenora.operators.clustering import (
     silhouettes_euclidean,
     spread_metrics,
 )
-from tenora.operators.projection import FactorAnalysis, LinearProjection, fit_factors, posterior_matrix
+from tenora.operators.kmeans import NearestCentre, Reduction, fit_many, moments, silhouettes, vectors
+from tenora.operators.projection import (
+    FactorAnalysis,
+    LinearProjection,
+    fit_factors,
+    leading_directions,
+    posterior_matrix,
+    scaled_covariance,
+)
 from tenora.plans.segmentation import SearchSpace, Segmenter, principal_components
 
 
@@ -40,6 +49,53 @@ def test_search_recovers_blobs_keeps_keys_and_survives_reload(spark, blobs, tmp_
     assert all(abs(r["pct"] - 100) < 1e-9 for r in shares.collect())
 
 
+def test_many_models_agree_with_separate_fits(spark, blobs):
+    features = ["a", "b", "c", "d"]
+    s = Segmenter(blobs, "id", "target", features=features)
+    rows = vectors(blobs.withColumn("_fold", F.col("target").cast("int")), "id", features, "_fold")
+    point, parts = moments(rows, 3)
+    x = np.array([[r[c] for c in features] for r in blobs.collect()])
+    covariance, mean, scale, n = scaled_covariance(point, parts)
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    assert n == 150 and np.allclose(mean, x.mean(0)) and np.allclose(covariance, np.cov(z.T, bias=True))
+    reds = [Reduction(mean, scale[:, None] * np.eye(4), [(k, seed) for k in (2, 3, 5) for seed in range(42, 52)]),
+            Reduction(mean, scale[:, None] * np.eye(4), [(3, 1)], held_out=0)]
+    passes = fit_many(rows, reds)
+    assert passes == 5 + max(max(r.passes) for r in reds) + 1  # draws, moves, and one pass for the last inertia
+    scaled = s.scaling(blobs).transform(blobs).select(F.col("scaled").alias("reduced"))
+    for k in (2, 3, 5):
+        own = min(i for m, i in zip(reds[0].models, reds[0].inertia) if m[0] == k)
+        assert own <= 1.02 * s._kmeans(scaled, k, SearchSpace(restarts=3)).summary.trainingCost
+        centres = reds[0].best(k)
+        assert np.isclose(own, ((z[:, None] - centres) ** 2).sum(2).min(1).sum())
+    model = PipelineModel([s.scaling(blobs), NearestCentre.of(reds[0].best(3), "scaled", "Cluster")])
+    found = silhouettes(rows, [(reds[0], reds[0].best(3)), (reds[1], reds[1].best(3)), (reds[0], reds[0].centres[0][:1])], [mean] * 3, [scale] * 3)
+    assert np.isclose(found[0], safe_silhouette(model.transform(blobs), "scaled", "Cluster"))
+    assert found[2] == -1.0  # a single cluster
+    again = [Reduction(mean, scale[:, None] * np.eye(4), [(3, 43)])]
+    fit_many(rows.repartition(7), again)
+    assert np.allclose(again[0].centres[0], reds[0].centres[11])  # (3, 43): the same rows in any partitioning
+
+
+def test_fit_of_empty_and_tiny_frames(spark):
+    empty = vectors(spark.createDataFrame([], "id long, v array<double>"), "id", "v")
+    red = Reduction(np.zeros(2), np.eye(2), [(2, 1)])
+    fit_many(empty, [red])
+    assert len(red.centres[0]) == 0
+    same = vectors(spark.createDataFrame([(1, [1.0, 2.0])] * 3, "id long, v array<double>"), "id", "v")
+    red = Reduction(np.zeros(2), np.eye(2), [(2, 1)])
+    fit_many(same, [red])
+    assert red.centres[0].tolist() == [[1.0, 2.0]] and red.inertia == [0.0]
+
+
+def test_components_point_the_same_way(blobs):
+    points, ratios = principal_components(blobs, "id", ["a", "b"], 2)
+    r = np.corrcoef(np.array([[p["a"], p["b"]] for p in blobs.collect()]).T)[0, 1]
+    assert np.allclose(ratios, [(1 + abs(r)) / 2, (1 - abs(r)) / 2])
+    directions, _ = leading_directions(np.array([[1.0, -0.5], [-0.5, 1.0]]), 2)
+    assert np.allclose(directions, [[0.5**0.5, 0.5**0.5], [-(0.5**0.5), 0.5**0.5]])
+
+
 def test_feature_selection(blobs):
     kept = Segmenter(blobs, "id", "target").feature_selection("variance", 0.01).features
     assert kept == ["a", "b", "c", "d"]
