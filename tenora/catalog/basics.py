@@ -21,6 +21,7 @@ from tenora.operators.quantiles import exact_percentiles
 from tenora.plans import exploration as X
 from tenora.plans.profile import FLAG_COLUMNS, WIDE_COLUMNS, profile, raw_customers, read_table
 from tenora.sources.landing import split_cells
+from tenora.operators.keys import keep_ids, numbered
 from tenora.sources.query import fetch
 
 NUMERIC = [c for c in WIDE_COLUMNS if c not in (
@@ -279,7 +280,7 @@ def _(spark, sf):
     for c in ("Age", "CLTV", "Churn_Score"))))
 def _(spark, sf):
     means = profile(spark, sf).groupBy("Cluster").agg(*[mean_of(c).alias(c) for c in ("Age", "CLTV", "Churn_Score")])
-    return R.transpose(means, "Cluster", prefix="cluster_")
+    return R.transpose(means, "Cluster", prefix="cluster_", labels=CLUSTERS)
 
 
 # --- sort, limit, set operations, joins ---------------------------------------------------------------
@@ -378,6 +379,31 @@ def _(spark, sf):
     return both
 
 
+@register("row_ids", "P17", (
+    "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) AS row_id FROM orders"))
+def _(spark, sf):
+    orders = read_table(spark, sf, "orders")
+    order = [F.col("o_orderpriority").asc(), F.col("o_totalprice").desc(), F.col("o_orderkey").asc()]
+    return numbered(spark, orders, order).select("o_orderkey", "row_id")
+
+
+@register("sampled_rows", "P18 M18", (
+    "SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (ORDER BY substr(md5('42 ' || CAST(o_orderkey AS VARCHAR)), 1, 15), "
+    "o_orderkey) AS place FROM orders) WHERE place <= (SELECT round(0.3 * count(*)) FROM orders)"))
+def _(spark, sf):
+    return S.sample_exact(read_table(spark, sf, "orders"), 0.3, 42, ["o_orderkey"]).select("o_orderkey", "o_custkey")
+
+
+@register("ids_after_reload", "N2 N5", (
+    "WITH f AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS id FROM customer WHERE c_custkey % 10 <> 3) "
+    "SELECT c_custkey, id FROM f UNION ALL SELECT c_custkey, (SELECT count(*) FROM f) + row_number() OVER (ORDER BY c_custkey) "
+    "FROM customer WHERE c_custkey % 10 = 3"))
+def _(spark, sf):
+    customers = read_table(spark, sf, "customer").select("c_custkey")
+    first = keep_ids(None, customers.filter("c_custkey % 10 <> 3"), ["c_custkey"], "id")
+    return keep_ids(first, customers, ["c_custkey"], "id").select("c_custkey", "id")
+
+
 @register("merge_upsert", "J9", (
     "SELECT coalesce(s.s_suppkey, c.c_custkey) AS id, CASE WHEN c.c_custkey IS NOT NULL THEN c.c_name ELSE s.s_name END "
     "AS name, CASE WHEN c.c_custkey IS NOT NULL THEN c.c_acctbal ELSE s.s_acctbal END AS balance "

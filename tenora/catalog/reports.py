@@ -262,12 +262,12 @@ def _(spark, sf):
 
 @register("contract_distribution", "R18 A12 X2 P9 V4", crosstab_sql("Cluster", "Contract", CONTRACTS))
 def _(spark, sf):
-    return C.contract_distribution(profile(spark, sf))
+    return C.contract_distribution(profile(spark, sf), CONTRACTS)
 
 
 @register("offer_distribution", "R19 A12 X2 V4", crosstab_sql("Cluster", "Offer", OFFERS))
 def _(spark, sf):
-    return C.offer_distribution(profile(spark, sf))
+    return C.offer_distribution(profile(spark, sf), OFFERS)
 
 
 @register("contract_impact", "R20 A9", means_sql(
@@ -291,7 +291,7 @@ _BY_CLUSTER = ", ".join(
     f"SELECT 'Internet_Type' AS Service, Internet_Type AS Value, {_BY_CLUSTER} FROM profile "
     "WHERE Internet_Type IS NOT NULL GROUP BY Internet_Type"))
 def _(spark, sf):
-    return C.internet_type_by_cluster(profile(spark, sf))
+    return C.internet_type_by_cluster(profile(spark, sf), CLUSTERS)
 
 
 @register("services_adoption", "R23 P12 A3 X7 V4", with_profile(" UNION ALL ".join(
@@ -299,7 +299,7 @@ def _(spark, sf):
         f"round(avg({f}) FILTER (WHERE Cluster = {c}) * 100, 6) AS cluster_{c}" for c in CLUSTERS) + " FROM profile"
     for f in FLAGS)))
 def _(spark, sf):
-    return C.services_adoption(profile(spark, sf))
+    return C.services_adoption(profile(spark, sf), CLUSTERS)
 
 
 COMBO = "coalesce(array_to_string(list_sort([" + ", ".join(
@@ -380,7 +380,7 @@ def _(spark, sf):
 
 @register("payment_distribution", "R33 X1 V4", crosstab_sql("Cluster", "Payment_Method", PAYMENTS))
 def _(spark, sf):
-    return C.payment_distribution(profile(spark, sf))
+    return C.payment_distribution(profile(spark, sf), PAYMENTS)
 
 
 @register("churn_by_payment", "R34 A2 X2", with_profile("SELECT Cluster, " + ", ".join(
@@ -388,7 +388,7 @@ def _(spark, sf):
     f"nullif(count(*) FILTER (WHERE Payment_Method = '{p}'), 0), 6) AS churn_pct_{p}" for p in PAYMENTS
 ) + " FROM profile WHERE Payment_Method IS NOT NULL GROUP BY Cluster"))
 def _(spark, sf):
-    return C.churn_by_payment(profile(spark, sf))
+    return C.churn_by_payment(profile(spark, sf), PAYMENTS)
 
 
 @register("payment_metrics_focus", "R35 P15 A9 X8", means_sql(
@@ -401,13 +401,13 @@ def _(spark, sf):
 
 @register("payment_by_contract_focus", "R36 X1", crosstab_sql("Contract", "Payment_Method", PAYMENTS, "Cluster = 1"))
 def _(spark, sf):
-    return C.focus_crosstab(profile(spark, sf), "Contract", "Payment_Method")
+    return C.focus_crosstab(profile(spark, sf), "Contract", "Payment_Method", values=PAYMENTS)
 
 
 @register("payment_by_internet_focus", "R37 X1", crosstab_sql(
     "Internet_Type", "Payment_Method", PAYMENTS, "Cluster = 1"))
 def _(spark, sf):
-    return C.focus_crosstab(profile(spark, sf), "Internet_Type", "Payment_Method")
+    return C.focus_crosstab(profile(spark, sf), "Internet_Type", "Payment_Method", values=PAYMENTS)
 
 
 @register("churned_by_method_focus", "R38 P4 A11 A12", with_profile(
@@ -431,7 +431,7 @@ def _(spark, sf):
 
 @register("satisfaction_distribution", "R40 X1 V4", crosstab_sql("Cluster", "Satisfaction_Score", SCORES))
 def _(spark, sf):
-    return C.satisfaction_distribution(profile(spark, sf))
+    return C.satisfaction_distribution(profile(spark, sf), SCORES)
 
 
 @register("churn_by_satisfaction", "R41 A13 X6 V6", with_profile(
@@ -460,13 +460,13 @@ def _(spark, sf):
 @register("satisfaction_by_contract_focus", "R44 X1 V3", crosstab_sql(
     "Contract", "Satisfaction_Score", SCORES, "Cluster = 1"))
 def _(spark, sf):
-    return C.focus_crosstab(profile(spark, sf), "Contract", "Satisfaction_Score")
+    return C.focus_crosstab(profile(spark, sf), "Contract", "Satisfaction_Score", values=SCORES)
 
 
 @register("satisfaction_by_payment_focus", "R45 X1", crosstab_sql(
     "Payment_Method", "Satisfaction_Score", SCORES, "Cluster = 1"))
 def _(spark, sf):
-    return C.focus_crosstab(profile(spark, sf), "Payment_Method", "Satisfaction_Score")
+    return C.focus_crosstab(profile(spark, sf), "Payment_Method", "Satisfaction_Score", values=SCORES)
 
 
 @register("charges_by_satisfaction_focus", "R46 A3", means_sql("Satisfaction_Score", C.CHARGES, "Cluster = 1"))

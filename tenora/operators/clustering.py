@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from tenora.functions.rates import mean_of, share_of
 from tenora.operators.aggregate import non_null
-from tenora.operators.lookup import join_groups, sorted_categories, to_long
+from tenora.operators.keys import numbered
+from tenora.operators.lookup import join_groups, to_long
 
 
 def as_vector(df: DataFrame, column: str) -> DataFrame:
@@ -119,7 +120,7 @@ def spread_metrics(df: DataFrame, features: str, cluster: str) -> DataFrame:
     centres = centres.select("c", "n", vector_to_array("m").alias("m"))
     distance = squared_distance(vector_to_array("v"), F.col("m"))
     per_cluster = (
-        join_groups(rows, centres, ["c"])
+        rows.join(centres, "c")  # measured size decides how
         .withColumn("d2", distance)
         .groupBy("c", "n", "m")
         .agg(F.sum("d2").alias("within"), F.avg(F.sqrt("d2")).alias("scatter"))
@@ -189,6 +190,8 @@ def variances(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def label_encode(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Alphabetical ordinal of a text category (few distinct values)."""
-    position = F.array_position(sorted_categories(df, column), F.col(column))
-    return df.withColumn(name, (position - 1).cast("int"))
+    """Alphabetical ordinal of a text category, from 0; null stays null. Any number of categories."""
+    found = df.select(column).filter(F.col(column).isNotNull()).distinct()
+    codes = numbered(df.sparkSession, found, [column], "_code", start=0, unique=True)
+    coded = df.join(codes.withColumnRenamed(column, "_category"), F.col(column) == F.col("_category"), "left")
+    return coded.select(*[c for c in df.columns if c != name], F.col("_code").cast("int").alias(name))

@@ -34,15 +34,31 @@ def insert_missing(target: DataFrame, source: DataFrame, keys: Sequence[str], id
     return append_small_keys(target, fresh, keys, id_column)
 
 
+def _one_a_key(source: DataFrame, keys: Sequence[str], names: Sequence[str], what: str) -> DataFrame:
+    """(keys, names) of a source whose keys must be unique: a repeated key raises while the query runs."""
+    message = F.concat_ws(" ", F.lit(f"{what} has several rows for"), *[F.col(k).cast("string") for k in keys])
+    seen = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(F.lit(1).alias("_"), *names)).alias("_row"))
+    row = F.when(F.col("_n") > 1, F.raise_error(message).cast(seen.schema["_row"].dataType)).otherwise(F.col("_row"))
+    return seen.select(*keys, row.alias("_row")).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in names])
+
+
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Matched keys take every other column from ``source`` (nulls included); new keys are inserted."""
+    """Matched keys take every other column from ``source`` (nulls included); new keys are inserted.
+
+    Two source rows for one key raise while the query runs, as a merge must not choose between them. A null in the key
+    matches nothing, so such source rows are always inserted.
+    """
     names = [c for c in target.columns if c not in keys]
-    news = source.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in names], F.lit(True).alias("_hit"))
-    both = target.join(news, list(keys), "full_outer")
-    return both.select(
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    news = _one_a_key(source.filter(whole), keys, names, "the source").select(
+        *keys, *[F.col(c).alias(f"_new_{c}") for c in names], F.lit(True).alias("_hit"))
+    both = target.join(news, list(keys), "full_outer").select(
         *keys,
         *[F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) for c in names],
     )
+    return both.unionByName(source.filter(~whole).select(*keys, *names))
 
 
 def update_by_key(target: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -97,8 +113,9 @@ def cascade_delete(children: DataFrame, key: str, deleted: DataFrame, deleted_ke
 
 
 def cascade_update(children: DataFrame, key: str, renamed: DataFrame, old: str, new: str) -> DataFrame:
-    """Children follow a changed parent key; ``renamed`` has one row per old key."""
-    moves = renamed.select(F.col(old).alias(key), F.col(new).alias("_moved"))
+    """Children follow a changed parent key; an old key that ``renamed`` lists twice raises."""
+    moves = renamed.select(F.col(old).alias(key), F.col(new).alias("_moved")).filter(F.col(key).isNotNull())
+    moves = _one_a_key(moves, [key], ["_moved"], "the list of changes")
     return children.join(moves, key, "left").select(*[
         F.coalesce("_moved", key).alias(key) if c == key else F.col(c) for c in children.columns
     ])

@@ -77,7 +77,12 @@ def value_share_by_column(
     return counts.withColumn("pct", share_of(F.col("n"), total))
 
 
-def transpose(df: DataFrame, index: str, name: str = "column", prefix: str = "") -> DataFrame:
-    """Rows to columns for a small result whose cells share a type; new columns carry the index labels."""
+def transpose(
+    df: DataFrame, index: str, name: str = "column", prefix: str = "", labels: Sequence | None = None
+) -> DataFrame:
+    """Rows to columns for a small result whose cells share a type; new columns carry the index labels.
+
+    With ``labels`` the plan stays lazy, as in :func:`unstack`.
+    """
     cells = [c for c in df.columns if c != index]
-    return unstack(df.unpivot([index], cells, name, "value"), [name], index, "value", prefix=prefix)
+    return unstack(df.unpivot([index], cells, name, "value"), [name], index, "value", labels, prefix=prefix)

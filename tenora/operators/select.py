@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tenora.functions.text import sentinel_to_null, yes_no_flag
+from tenora.operators.keys import numbered
 
 # A column is a service when its lower-case name contains one of these.
 SERVICE_WORDS = ("phone", "internet", "security", "backup", "protection", "tech", "stream", "unlimited")
@@ -140,6 +141,36 @@ def sample_rows(df: DataFrame, fraction: float = 1.0, seed: int = 42, keys: Sequ
     return df.filter(place < int(fraction * 1_000_000))
 
 
+def sample_exact(df: DataFrame, fraction: float, seed: int = 42, keys: Sequence[str] = ()) -> DataFrame:
+    """Exactly ``round(fraction * rows)`` rows: those with the smallest hashes of ``keys`` (all columns if none).
+
+    The hash is the first 15 hexadecimal digits of an MD5 of the seed and the keys, so any partitioning and any other
+    engine choose the same rows. The last hash to take is found digit group by digit group from counts of at most 4096
+    values each, without sorting the rows. Rows that tie at it are taken in key order, and equal keys in their stored
+    order.
+    """
+    names = list(keys or df.columns)
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names]
+    hashed = df.withColumn("_hash", F.substring(F.md5(F.concat_ws(" ", F.lit(str(seed)), *parts)), 1, 15))
+    left = want = int(fraction * df.count() + 0.5)
+    if want <= 0:
+        return df.limit(0)
+    prefix = ""
+    for _ in range(5):
+        digits = F.substring("_hash", len(prefix) + 1, 3).alias("d")
+        counts = hashed.filter(F.col("_hash").startswith(prefix)).groupBy(digits).count().orderBy("d").collect()  # at most 4096
+        for row in counts:
+            if row["count"] >= left:
+                prefix += row["d"]
+                break
+            left -= row["count"]
+        else:
+            return df
+    surely = hashed.filter(F.col("_hash") < prefix).drop("_hash")
+    ties = numbered(df.sparkSession, hashed.filter(F.col("_hash") == prefix).drop("_hash"), names, "_place")
+    return surely.unionByName(ties.filter(F.col("_place") <= left).drop("_place"))
+
+
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """Unique (not dense) row ids for frames without a key."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """Consecutive row ids from 1 on for frames without a key, in the order of a stored layout; see ``numbered``."""
+    return numbered(df.sparkSession, df, (), name)

@@ -195,11 +195,11 @@ def internet_type_by_cluster(df: DataFrame, clusters: Sequence | None = None) ->
     return unstack(shares, ["Service", "Value"], CLUSTER, "pct", clusters, fill=0.0, prefix="cluster_")
 
 
-def services_adoption(df: DataFrame) -> DataFrame:
+def services_adoption(df: DataFrame, clusters: Sequence | None = None) -> DataFrame:
     """Adoption percentage of each 0/1 service (rows) in each cluster (columns)."""
     _, flags = service_columns(df)
     means = non_null(df, [CLUSTER]).groupBy(CLUSTER).agg(*[(mean_of(c) * 100).alias(c) for c in flags])
-    return transpose(means, CLUSTER, "Service", "cluster_")
+    return transpose(means, CLUSTER, "Service", "cluster_", clusters)
 
 
 def with_combo(df: DataFrame, labels: Mapping[str, str] = SERVICE_LABELS) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenora.operators.keys import dense_ids
+from tenora.operators.keys import dense_ids, keep_ids
 from tenora.operators.merge import distinct_members, insert_missing, lookup, update_by_key, upsert
 from tenora.operators.quality import Check, violations
 
@@ -163,7 +163,7 @@ def normalize(
     with_ids: bool = True,
     store: Callable[[str, DataFrame], DataFrame] | None = None,
 ) -> dict[str, DataFrame]:
-    """All eleven tables. ``current`` holds the lookup tables of an earlier load, whose ids are kept.
+    """All eleven tables. ``current`` holds tables of an earlier load, lookup or customer tables, whose ids are kept.
 
     ``store(name, table)`` may write each lookup table and return it read back; the customer tables then
     join the stored lookups instead of deriving them again from the wide rows.
@@ -180,7 +180,8 @@ def normalize(
     t["CustomerContract"] = customer_contract(wide, t["ContractTypes"], t["PaymentMethods"], how)
     if with_ids:
         for name, id_column in FACT_IDS.items():
-            t[name] = dense_ids(t[name], ["CustomerID"], id_column)
+            before = current.get(name)
+            t[name] = dense_ids(t[name], ["CustomerID"], id_column) if before is None else keep_ids(before, t[name], ["CustomerID"], id_column)
     return t
 
 

@@ -19,6 +19,7 @@ from tenora.operators.aggregate import (
     value_shares,
 )
 from tenora.operators.bins import Bins, bin_dimension, bins_by_status, with_bins
+from tenora.operators import quantiles
 from tenora.operators.quantiles import exact_percentiles
 from tenora.operators.reshape import crosstab, transpose, unstack
 from tenora.plans.cohorts import TENURE_EDGES, TENURE_LABELS, with_ratios
@@ -171,11 +172,26 @@ def test_percentiles_property(spark, values):
     assert math.isclose(got, _expected(values, 0.37), rel_tol=1e-9, abs_tol=1e-9)
 
 
-def test_too_many_groups_fail_loudly_instead_of_dropping(spark):
+def test_any_number_of_groups(spark):
     df = spark.range(5000).select(F.col("id").alias("g"), F.col("id").cast("double").alias("v"))
-    with pytest.raises(Exception, match="few_groups"):
-        exact_percentiles(df, ["v"], {"m": 0.5}, ["g"]).count()
-    assert exact_percentiles(df, ["v"], {"m": 0.5}, ["g"], few_groups=False).count() == 5000
+    for few in (True, False):
+        got = exact_percentiles(df, ["v"], {"m": 0.5}, ["g"], few_groups=few)
+        assert got.count() == 5000 and got.filter("g <> v_m").isEmpty()
+
+
+@pytest.mark.parametrize("two_passes", [0, 5_000_000])
+def test_percentiles_of_ordered_and_uneven_values(spark, monkeypatch, two_passes):
+    monkeypatch.setattr(quantiles, "TWO_PASSES", two_passes)
+    values = [float(i) for i in range(30_000)] + [1e300, -1e300, 1e-300] + [0.5 + i / 1e9 for i in range(3000)]
+    df = spark.createDataFrame([(v,) for v in sorted(values)], "v double").repartitionByRange(8, "v")
+    probs = {"a": 0.01, "b": 0.05, "c": 0.5, "d": 0.99}
+    got = exact_percentiles(df, ["v"], probs, accuracy=50).first()
+    assert all(math.isclose(got[f"v_{s}"], _expected(values, p), rel_tol=1e-12) for s, p in probs.items())
+    groups = spark.range(9000).selectExpr("id % 3 as g", "cast(id * id % 1000 as double) as v", "cast(null as double) as w")
+    groups = groups.unionByName(spark.createDataFrame([(0, float("nan"), None), (9, 4.0, 1.0)], "g long, v double, w double"))
+    for r in exact_percentiles(groups, ["v", "w"], {"m": 0.5, "x": 0.9}, ["g"], accuracy=20).collect():
+        own = [float(i * i % 1000) for i in range(9000) if i % 3 == r.g] if r.g < 9 else [4.0]
+        assert (r.v_m, r.v_x) == (_expected(own, 0.5), _expected(own, 0.9)) and r.w_m == (None if r.g < 9 else 1.0)
 
 
 def test_unstack_raises_on_a_label_that_is_not_listed(spark):

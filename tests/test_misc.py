@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from tenora.operators.select import replace_sentinels, sample_rows, with_row_id
+from tenora.operators.select import replace_sentinels, sample_exact, sample_rows, with_row_id
 from tenora.plans.profile import customer_profile, profile
 from tenora.session import shared_table
 
@@ -17,6 +17,23 @@ def test_row_ids_are_unique_and_samples_keep_keys(spark):
     assert part.exceptAll(other).count() == 0 and other.exceptAll(part).count() == 0
 
 
+def test_exact_samples(spark):
+    df = spark.range(1000).selectExpr("id", "id % 7 as g").repartition(5)
+    part = sample_exact(df, 0.25, 1)
+    assert part.count() == 250 and part.columns == ["id", "g"]
+    other = sample_exact(df.repartition(3).withColumn("x", F.lit(1)), 0.25, 1, ["id", "g"]).drop("x")
+    assert part.exceptAll(other).count() == 0
+    assert part.exceptAll(sample_exact(df, 0.25, 2)).count() > 0
+    tied = spark.createDataFrame([(1,)] * 50 + [(2,)] * 50, "k int")  # equal keys have equal hashes
+    assert sample_exact(tied, 0.31).count() == 31
+    assert [sample_exact(df, f).count() for f in (0.0, 1.0)] == [0, 1000] and sample_exact(df.limit(0), 0.5).count() == 0
+
+
+def test_row_ids_are_consecutive(spark):
+    df = with_row_id(spark.range(1000).repartition(5))
+    assert sorted(r.row_id for r in df.collect()) == list(range(1, 1001)) and df.collect() == df.collect()
+
+
 def test_sentinels_only_touch_text_columns(spark):
     df = spark.createDataFrame([("NA", 1), ("x", 2)], "a string, b int")
     got = replace_sentinels(df).orderBy("b").collect()

@@ -128,3 +128,42 @@ def test_clusters_follow_the_key_whatever_the_row_order(spark, wide):
     shuffled = wide.select("Customer_ID", "Cluster").orderBy(F.rand(1)).repartition(7)
     got = {r["CustomerID"]: r["ClusterID"] for r in N.assign_clusters(info, shuffled).collect()}
     assert got == {str(r["Customer_ID"]): r["Cluster"] for r in wide.select("Customer_ID", "Cluster").collect()}
+
+
+def test_merge_refuses_repeated_keys_and_inserts_null_ones(spark, rows):
+    target = spark.createDataFrame([(1, "a"), (None, "z")], "id int, d string")
+    twice = spark.createDataFrame([(1, "b"), (1, "c")], "id int, d string")
+    with pytest.raises(Exception, match="several rows for 1"):
+        M.upsert(target, twice, ["id"]).collect()
+    nulls = spark.createDataFrame([(None, "x"), (None, "y"), (2, None)], "id int, d string")
+    got = sorted((r.id is None, r.id or 0, r.d or "") for r in M.upsert(target, nulls, ["id"]).collect())
+    assert got == [(False, 1, "a"), (False, 2, ""), (True, 0, "x"), (True, 0, "y"), (True, 0, "z")]
+    with pytest.raises(Exception, match="several rows for 1"):
+        M.cascade_update(target, "id", twice.withColumnRenamed("d", "new"), "id", "new").collect()
+
+
+def test_ids_survive_a_reload(spark):
+    from tenora.operators.keys import keep_ids, numbered
+
+    def read(df):
+        return {r.k: r.n for r in df.collect()}
+
+    first = keep_ids(None, spark.createDataFrame([("b",), ("d",)], "k string"), ["k"], "n")
+    assert read(first) == {"b": 1, "d": 2}
+    second = keep_ids(first, spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "k string").repartition(3), ["k"], "n")
+    assert read(second) == {"b": 1, "d": 2, "a": 3, "c": 4}
+    same = spark.range(5000).selectExpr("1 as k", "id").repartition(7)  # one key on all rows still spreads
+    ranked = numbered(spark, same, ["k"], "n")
+    assert sorted(r.n for r in ranked.collect()) == list(range(1, 5001))
+    assert ranked.collect() == ranked.collect()
+    assert numbered(spark, spark.createDataFrame([], "k int"), ["k"], "n").count() == 0
+
+
+def test_any_number_of_categories(spark):
+    from tenora.operators.clustering import label_encode, spread_metrics
+
+    rows = spark.range(6000).selectExpr("id", "lpad(cast(id as string), 5, '0') as name").repartition(4)
+    got = label_encode(rows.unionByName(spark.createDataFrame([(-1, None)], "id long, name string")), "name", "code")
+    assert all(r.code == (r.id if r.id >= 0 else None) for r in got.collect())
+    many = spark.range(10_000).selectExpr("id % 5000 as c", "array(cast(id as double)) as v")
+    assert spread_metrics(many, "v", "c").first()["clusters"] == 5000
