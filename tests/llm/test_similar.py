@@ -55,3 +55,16 @@ def test_shingles_and_similarity():
     assert len(a) == len(b) == 2 and similar.similarity(a, b) == 1 / 3
     assert similar.similarity(similar.shingles_of(None), similar.shingles_of(" ")) == 1
     assert np.array_equal(similar.bands_of(a), similar.bands_of(similar.shingles_of("a b c d e f")))
+
+
+def test_crowded_bands_are_split(spark, monkeypatch):
+    monkeypatch.setattr(similar, "SMALL", 3)
+    rng = random.Random(6)
+    words, shared = [f"w{i}" for i in range(4000)], [f"s{i}" for i in range(120)]
+    texts = {i: " ".join(shared + rng.choices(words, k=rng.choice([30, 200]))) for i in range(150)}  # alike only in part
+    for i in range(150, 190):
+        text = texts[rng.randrange(150)].split()
+        text[rng.randrange(len(text))] = "edit"
+        texts[i] = " ".join(text)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in simhash.deduplicate(spark, docs).collect()} == kept_by_hand(texts)
