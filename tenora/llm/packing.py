@@ -37,8 +37,8 @@ class WordTokenizer(dict):
 
     Made for tokenizers that lower case, drop white space, and never join across it or between letters and other
     characters. A text of Latin letters and ASCII is cut into such runs, and any other text at its spaces and newlines,
-    so the ids of the text are those of its parts. The runs' ids always come from the tokenizer. Special tokens in a
-    text are ordinary text. As a dictionary it numbers the runs.
+    so the ids of the text are those of its parts. The runs' ids always come from the tokenizer, and a text that spells
+    out one of its added tokens, in any case, is given to it whole. As a dictionary it numbers the runs.
     """
 
     def __init__(self, path: str):
@@ -46,7 +46,8 @@ class WordTokenizer(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         letters = [c for c in map(chr, range(256)) if re.fullmatch(f"[{_LETTERS}]", c)]
         self.spelt = str.maketrans({c: as_bytes.pre_tokenize_str(c)[0][0] for c in letters})
@@ -76,8 +77,9 @@ class WordTokenizer(dict):
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
         self.new = []
 
-    @staticmethod
-    def runs(text: str) -> list[str]:
+    def runs(self, text: str) -> list[str]:
+        if self.added is not None and self.added.search(text):
+            return [text]
         try:
             text.encode("latin-1")  # where lower case is the same, letter by letter, everywhere
         except UnicodeEncodeError:

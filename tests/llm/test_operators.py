@@ -212,8 +212,9 @@ def test_shards(spark, odd, empty):
 def test_packing(spark, odd, empty):
     from tokenizers import Tokenizer
 
-    plain = Tokenizer.from_file(tokenizer_path())
-    plain.encode_special_tokens = True
+    plain = Tokenizer.from_file(tokenizer_path())  # as it comes: added tokens in a text are tokens
+    spelt = [(900, "hi <|endoftext|> x"), (901, "<|startoftext|>a"), (902, "<|ENDOFTEXT|> b<|startoftext|>"), (903, "<| endoftext |>")]
+    odd = odd.select("doc_id", "text").unionByName(spark.createDataFrame(spelt, "doc_id long, text string"))
     cut = packing.pieces(odd, tokenizer_path()).collect()
     ids = collections.Counter((r.doc_id, tuple([*plain.encode(r.text or "", add_special_tokens=False).ids, 0])) for r in odd.collect())
     assert sum(r.length for r in cut) == sum(len(i) * n for (_, i), n in ids.items())
