@@ -30,7 +30,7 @@ HEADLINE = [
     "line_statistics", "line_correlation_by_flag", "order_price_percentiles", "median_order_per_customer",
     "event_type_share_per_user", "merge_insert_only", "merge_upsert", "keyed_update", "table_locations",
     "table_customer_info", "table_customer_contract", "landing_types", "landing_typed_rows", "anova_f_values",
-    "cluster_spread_metrics", "silhouette_squared", "segmented_embeddings",
+    "cluster_spread_metrics", "silhouette_squared", "segmented_embeddings", "segmentation_search", "row_ids", "sampled_rows", "normalised_round_trip",
 ]
 
 
