@@ -57,8 +57,7 @@ def test_shingles_and_similarity():
     assert np.array_equal(similar.bands_of(a), similar.bands_of(similar.shingles_of("a b c d e f")))
 
 
-def test_crowded_bands_are_split(spark, monkeypatch):
-    monkeypatch.setattr(similar, "SMALL", 3)
+def test_crowded_bands(spark):
     rng = random.Random(6)
     words, shared = [f"w{i}" for i in range(4000)], [f"s{i}" for i in range(120)]
     texts = {i: " ".join(shared + rng.choices(words, k=rng.choice([30, 200]))) for i in range(150)}  # alike only in part
