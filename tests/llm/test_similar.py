@@ -50,14 +50,31 @@ def test_given_documents(spark):
     assert got == kept_by_hand(dict(map(tuple, docs.collect())))
 
 
-def test_shingles_and_similarity():
+def test_shingles():
     a, b = similar.shingles_of("A b c d e f"), similar.shingles_of("a  b c d e g")
-    assert len(a) == len(b) == 2 and similar.similarity(a, b) == 1 / 3
-    assert similar.similarity(similar.shingles_of(None), similar.shingles_of(" ")) == 1
-    assert np.array_equal(similar.bands_of(a), similar.bands_of(similar.shingles_of("a b c d e f")))
+    assert len(a) == len(b) == 2 and len(np.intersect1d(a, b)) == 1
+    assert np.array_equal(a, similar.shingles_of("a b c d e f"))
+    assert not len(similar.shingles_of(None)) and not len(similar.shingles_of(" ")) and len(similar.shingles_of("b")) == 1
 
 
-def test_crowded_bands(spark):
+def test_alike_sets_share_a_key_of_their_prefixes_with_room_for_the_rest():
+    rng = np.random.default_rng(7)
+    frequent, none = np.sort(rng.choice(400, 60, replace=False)), np.empty(0, dtype=np.int64)
+    counts = rng.integers(17, 40, 60)
+    for _ in range(2000):
+        a = np.unique(rng.integers(0, 400, rng.integers(1, 60)))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 400, rng.integers(0, 6))]))
+        common = len(np.intersect1d(a, b))
+        if not len(b) or 5 * common < 4 * (len(a) + len(b) - common):
+            continue
+        for order in ((none, none), (frequent, counts)):
+            x, y = (similar.prefix_of(s, *order).tolist() for s in (a, b))
+            first = next(k for k in x if k in y)
+            most = min(len(a) - x.index(first), len(b) - y.index(first))
+            assert most >= common and 9 * most >= 4 * (len(a) + len(b))
+
+
+def test_passages_of_many_texts(spark):
     rng = random.Random(6)
     words, shared = [f"w{i}" for i in range(4000)], [f"s{i}" for i in range(120)]
     texts = {i: " ".join(shared + rng.choices(words, k=rng.choice([30, 200]))) for i in range(150)}  # alike only in part
