@@ -24,8 +24,8 @@ from tenora.session import stored
 CAPACITY = 2048
 #: Closes every document.
 END_ID = 0
-#: Distinct runs of characters whose ids a task remembers at once; documents tokenised together.
-_REMEMBERED, _TOGETHER = 60_000, 64
+#: Distinct runs of characters whose ids a task remembers at once, and their characters; documents tokenised together.
+_REMEMBERED, _CHARACTERS, _TOGETHER = 200_000, 4_000_000, 64
 #: Runs that the tokenizer never joins with each other: letters, and other visible characters of ASCII but the apostrophe.
 _LETTERS, _OTHERS = "a-zß-öø-ÿ", "!-&(-@\\[-`{-~"
 _RUNS = re.compile(f"[{_LETTERS}]+|[{_OTHERS}]+")
@@ -56,6 +56,7 @@ class WordTokenizer(dict):
     def _forget(self) -> None:
         self.clear()
         self.new: list[str] = []
+        self.held = 0
         self.ids, self.starts = np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
 
     def __missing__(self, run: str) -> int:
@@ -75,6 +76,7 @@ class WordTokenizer(dict):
         lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), dtype="<u4", count=int(lengths.sum()))])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
+        self.held += sum(map(len, self.new))
         self.new = []
 
     def runs(self, text: str) -> list[str]:
@@ -89,7 +91,7 @@ class WordTokenizer(dict):
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self) > _REMEMBERED:
+        if len(self) > _REMEMBERED or self.held > _CHARACTERS:
             self._forget()
         cut = [self.runs(t) for t in texts]
         sizes = np.cumsum([0, *map(len, cut)])
