@@ -2,14 +2,15 @@
 
 A text is a vector of hashed letter 3-grams, weighted by root count times inverse document frequency and scaled to length
 1. Every language has several centroids, found by spherical clustering. The nearest centroid by cosine gives the
-language, and a text too far from all centroids is rejected.
+language, and a text is rejected if it is much farther from it than the training texts of that language and length are.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -23,8 +24,10 @@ BITS = 13
 #: Texts per language that centroids are fitted on, about; the choice follows a hash.
 SAMPLE = 500
 CENTROIDS = 4
-#: Cosine below which a text is rejected.
-MIN_COSINE = 0.1
+#: A text is rejected below this share of the cosine that all but LOW of the training texts of its language and length
+#: reach. Lengths are classes of grams by powers of two; a class of fewer than ENOUGH texts has the next shorter one's.
+SHARE, LOW, ENOUGH = 0.6, 0.01, 50
+_CLASSES, _STEPS = 64, 200
 UNKNOWN = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: Bytes whose runs, and texts whose dense vectors, are held at once.
@@ -45,13 +48,33 @@ def grams(text: str | None) -> np.ndarray:
     return total
 
 
-def vectors(texts, idf: np.ndarray) -> np.ndarray:
-    """A unit vector per text, zero for texts without letters."""
-    out = np.sqrt(np.stack([grams(t) for t in texts])) * idf
+def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """A unit vector per row of counts, zero for texts without letters."""
+    out = np.sqrt(counts) * idf
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
 
 
+def vectors(texts, idf: np.ndarray) -> np.ndarray:
+    return weighted(np.stack([grams(t) for t in texts]), idf)
+
+
+def floors_of(counts: dict[tuple[str, int, int], int]) -> dict[str, np.ndarray]:
+    """The least cosine accepted, per language and length class, from counts by language, class and cosine step."""
+    floors = {}
+    for lang in {key[0] for key in counts}:
+        table = np.zeros((_CLASSES, _STEPS + 1))
+        for (name, size, step), n in counts.items():
+            if name == lang:
+                table[size, step] += n
+        least, floors[lang] = 0.0, np.zeros(_CLASSES)
+        for size, row in enumerate(table):
+            if row.sum() >= ENOUGH:
+                least = SHARE * int((np.cumsum(row) > LOW * row.sum()).argmax()) / _STEPS
+            floors[lang][size] = least
+    return floors
+
+
 def cluster(points: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Spherical k-means; the first centres are the point nearest the mean and then those least like the chosen."""
     chosen = [int((points @ points.mean(axis=0)).argmax())]
@@ -72,17 +95,25 @@ class Model:
     languages: list[str]  # of each centroid
     centroids: np.ndarray
     idf: np.ndarray
+    floors: dict[str, np.ndarray] = field(default_factory=dict)  # of each language, by length class
 
-    def predict(self, texts: list) -> tuple[list[str], np.ndarray]:
-        """Language and cosine of each text; UNKNOWN and 0 without letters."""
-        names, scores = [], []
+    def predict(self, texts: list) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, cosine and length class of each text; UNKNOWN and 0 without letters."""
+        names, scores, sizes = [], [np.zeros(0)], [np.zeros(0, dtype=np.int64)]
         for at in range(0, len(texts), _ROWS):
-            v = vectors(texts[at : at + _ROWS], self.idf)
+            counts = np.stack([grams(t) for t in texts[at : at + _ROWS]])
+            v = weighted(counts, self.idf)
             cosine = v @ self.centroids.T
             best, lettered = cosine.argmax(axis=1), v.any(axis=1)
             names += [self.languages[b] if has else UNKNOWN for b, has in zip(best, lettered)]
             scores.append(np.where(lettered, np.clip(cosine.max(axis=1), 0, 1), 0))
-        return names, np.concatenate(scores) if scores else np.zeros(0)
+            sizes.append(np.log2(np.maximum(1, counts.sum(axis=1, dtype=np.float64))).astype(np.int64))
+        return names, np.concatenate(scores), np.concatenate(sizes)
+
+    def rejects(self, names: list[str], scores: np.ndarray, sizes: np.ndarray) -> list[bool]:
+        """Whether each text, as predicted, is UNKNOWN or too far from the centroids of its language."""
+        none = np.zeros(_CLASSES)
+        return [n == UNKNOWN or bool(s < self.floors.get(n, none)[k]) for n, s, k in zip(names, scores, sizes)]
 
 
 def train(
@@ -91,7 +122,9 @@ def train(
     """A model from rows with a language; None if there is no such row with a letter.
 
     Document frequencies are counted over all rows. Centroids are fitted on about ``sample`` distinct texts of each
-    language, one task per language. The model (k vectors per language) comes to the driver and goes to every task.
+    language, one task per language. The model (k vectors per language) comes to the driver and goes to every task. The
+    distance of rejection is learned from all rows whose own language is predicted; from them come at most
+    _CLASSES x _STEPS counts per language.
     """
     known = small_batches(docs).filter(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
 
@@ -112,7 +145,7 @@ def train(
         idf[gram] = np.log((1 + rows) / (1 + n)) + 1
 
     chance = hash32(F.lit("lang"), F.md5("text")) / float(2**32)
-    sizes = F.broadcast(known.groupBy("lang").agg(F.count("*").alias("n")))  # far smaller than the model, a row per language
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
     picked = known.join(sizes, "lang").filter(chance < sample / F.col("n")).select("lang", "text").distinct()
 
     def centres(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -125,24 +158,37 @@ def train(
     models.sort(key=lambda r: (r[0], r[1]))
     if not models:
         return None
-    return Model([r[0] for r in models], np.array([r[1] for r in models], dtype=np.float32), idf)
+    model = Model([r[0] for r in models], np.array([r[1] for r in models], dtype=np.float32), idf)
+
+    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            names, scores, classes = model.predict(batch.column(1).to_pylist())
+            seen.update((n, int(k), int(s * _STEPS)) for n, own, s, k in zip(names, batch.column(0).to_pylist(), scores, classes) if n == own)
+        columns = list(zip(*((*key, n) for key, n in seen.items()))) or [[], [], [], []]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int64()))], ["lang", "size", "step", "n"])
 
+    near = known.mapInArrow(distances, "lang string, size int, step int, n long").groupBy("lang", "size", "step").agg(F.sum("n"))
+    return replace(model, floors=floors_of({tuple(r[:3]): r[3] for r in near.collect()}))
 
-def identify(docs: DataFrame, model: Model | None, text: str = "text", min_cosine: float = MIN_COSINE) -> DataFrame:
+
+def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """``row`` (all columns), lang_pred, score (cosine, 0 to 1) and rejected, for every document.
 
     Null texts, texts without a letter, and all texts if there is no model, are UNKNOWN with score 0, and rejected.
     Only the text is an input.
     """
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, rejected boolean")
     def predicted(texts: pd.Series) -> pd.DataFrame:
-        names, scores = ([UNKNOWN] * len(texts), np.zeros(len(texts))) if model is None else model.predict(list(texts))
-        return pd.DataFrame({"lang": names, "score": scores})
+        if model is None:
+            return pd.DataFrame({"lang": [UNKNOWN] * len(texts), "score": 0.0, "rejected": True})
+        names, scores, sizes = model.predict(list(texts))
+        return pd.DataFrame({"lang": names, "score": scores, "rejected": model.rejects(names, scores, sizes)})
 
     found = small_batches(docs).select(F.struct("*").alias("row"), predicted(F.col(text).cast("string")).alias("p"))
     return found.select(
-        "row", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"),
-        ((F.col("p.lang") == UNKNOWN) | (F.col("p.score") < min_cosine)).alias("rejected"))
+        "row", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"), F.col("p.rejected").alias("rejected"))
 
 
 def held_out(key: Column) -> Column:
@@ -151,6 +197,11 @@ def held_out(key: Column) -> Column:
 
 
 def keep_known(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The documents that are not rejected, with their own columns."""
+    """The documents that are not rejected, with their own columns.
+
+    Null texts and texts without a letter go; of short texts nearly all stay, as training texts of their length are far
+    from the centroids too. Long texts are read whole, rows that are alike have the same fate, and the language column
+    (null or not) decides nothing. A table without a labelled text, or an empty one, leaves no row.
+    """
     model = train(spark, docs.filter(~held_out(F.col(key))), text, lang)
     return identify(docs, model, text).filter(~F.col("rejected")).select("row.*")
