@@ -53,7 +53,7 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(spark, _table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long"),
-                         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+                         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "next_shard")
 
 
 def pack(spark: SparkSession, sf_dir: str) -> DataFrame:

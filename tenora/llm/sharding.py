@@ -1,6 +1,6 @@
 """Sharding through fixed virtual slots. DataFrame functions only.
 
-A record's id is hashed into one of thousands of slots, which never changes. Bytes are summed per slot, and a map of
+A record's id and text are hashed into one of thousands of slots, which never changes. Bytes are summed per slot, and a map of
 slots to shards, kept by version, spreads them: the first version gives the slots, heaviest first, each to the shard
 with the fewest bytes; a later version edits only the slots it must move.
 """
@@ -18,9 +18,9 @@ SLOTS = 4096
 SHARDS = 8
 
 
-def slot_of(key: Column, slots: int = SLOTS) -> Column:
-    """The virtual slot of an id; null ids share the slot of the text ``null``."""
-    return (hash32(key) % slots).cast("int")
+def slot_of(key: Column, crc: Column, slots: int = SLOTS) -> Column:
+    """The virtual slot of an id with the CRC of its text; nulls count as the text ``null``."""
+    return (hash32(key, crc) % slots).cast("int")
 
 
 def slot_bytes(rows: DataFrame) -> DataFrame:
@@ -90,18 +90,22 @@ def shard(
     spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS,
     slots: int = SLOTS, map_path: str | None = None,
 ) -> DataFrame:
-    """(doc_id, size, text_crc32, virtual_slot, shard, slot) of every document; shards hold near equal bytes.
+    """(doc_id, size, text_crc32, virtual_slot, shard, slot, next_shard) of every document; shards hold near equal bytes.
 
-    The size is the text's UTF-8 bytes plus 1, and 1 for null, whose CRC is null. Equal ids share a slot, so rows that
-    repeat an id stay together; their places follow the CRC, then the size. Version 1 of the map is stored under
-    ``map_path``, or in the scratch folder.
+    The size is the text's UTF-8 bytes plus 1, and 1 for null, whose CRC is null. Rows that share an id (or have none) but
+    not a text are spread over the slots; rows equal in both share one. Versions 1 and 2 of the map are stored under
+    ``map_path``, or in the scratch folder: the present one, and that for one shard more, which gives ``next_shard``.
     """
     data = F.col(text).cast("binary")
     rows = stored(spark, docs.select(
         F.col(key).alias("doc_id"), (F.coalesce(F.octet_length(data), F.lit(0)) + 1).cast("long").alias("size"),
-        F.crc32(data).alias("text_crc32"), slot_of(F.col(key), slots).alias("virtual_slot"),
+        F.crc32(data).alias("text_crc32"), slot_of(F.col(key), F.crc32(data), slots).alias("virtual_slot"),
     ), "slotted")
     used = stored(spark, slot_bytes(rows), "slot-bytes")
     path = map_path or scratch_path(spark, "slot-map")
     store_map(path, first_map(used, shards), 1)
-    return place(rows, used, load_map(spark, path, 1), ["doc_id", "text_crc32", "size"])
+    current = load_map(spark, path, 1)
+    store_map(path, grown_map(current, used, shards), 2)
+    grown = load_map(spark, path, 2).withColumnRenamed("shard", "next_shard")
+    placed = place(rows, used, current, ["doc_id", "text_crc32", "size"])
+    return placed.join(F.broadcast(grown), "virtual_slot")  # at most one row per slot
