@@ -124,11 +124,12 @@ def fit(points: np.ndarray, parts: int, wanted: float = WANTED_RECALL) -> Model:
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(vec_id, v) with vectors of float or double, without those that are null, zero or hold null, NaN or infinity."""
+    """(vec_id, v) with vectors of float or double, without null ids and vectors null, zero or holding null, NaN or infinity."""
     kind = vectors.schema[vector].dataType.simpleString()
     cells = F.col(vector) if kind == "array<float>" else F.col(vector).cast("array<double>")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = vectors.select(F.col(key).alias("vec_id"), cells.alias("v")).filter(F.col("v").isNotNull())
+    rows = vectors.select(F.col(key).alias("vec_id"), cells.alias("v")).filter(
+        F.col("vec_id").isNotNull() & F.col("v").isNotNull())
     return rows.filter(~bad & F.exists("v", lambda x: x != 0))
 
 
@@ -164,14 +165,15 @@ def search(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest found of every query row, ties to the smaller id.
 
-    ``queries`` is a condition on ``vec_id``. Candidates are all rows but those with the query's own id. Vectors that are
-    null, zero or hold null or non-finite numbers take no part; shorter vectors count as padded with zeros. Copies of a
+    ``queries`` is a condition on ``vec_id``. Candidates are all rows but those with the query's own id. Rows without
+    an id and vectors that are null, zero or hold null or non-finite numbers take no part; shorter vectors count as padded with zeros. Copies of a
     vector under other ids are all candidates. Rows that repeat an id are one candidate each; a repeated query is asked
     once, with its smallest vector.
 
     A part with more vectors than the mean is cut into blocks of about the mean, and its queries into blocks too, so a
     task holds one block of each, however many vectors are alike. A query first meets its most probable part; the last
-    score it needs from there bounds what its other parts return.
+    score it needs from there bounds what its other parts return. A query whose parts hold fewer than ``nearest``
+    candidates asks all other parts too, so it gets as many as there are.
     """
     rows = stored(spark, usable(vectors, key, vector), "vectors")
     total, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
@@ -212,7 +214,7 @@ def search(
     def met(ask: DataFrame) -> DataFrame:
         """Every query with its part's vectors: each vector meets all blocks of queries, each query all of vectors."""
         of_queries = _blocks(ask, QUERY_ROWS)
-        left = index.withColumn("block", (own % count_of(of_index)).cast("int")).withColumn(
+        left = index.filter(F.col("part").isin(list(of_queries))).withColumn("block", (own % count_of(of_index)).cast("int")).withColumn(
             "asked", F.explode(F.sequence(F.lit(0), count_of(of_queries) - 1)))
         right = ask.withColumn("asked", (own % count_of(of_queries)).cast("int")).withColumn(
             "block", F.explode(F.sequence(F.lit(0), count_of(of_index) - 1)))
@@ -229,8 +231,16 @@ def search(
     first = stored(spark, ranked(met(asked.filter("probe = 0").withColumn("bound", lowest))), "first-part")
     bounds = first.filter(F.col("rank") == nearest).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
     others = stored(spark, asked.filter("probe > 0").join(bounds, "vec_id", "left").fillna(float("-inf"), ["bound"]), "others")
-    found = first.drop("rank").union(met(others))
-    return ranked(found).select("query_id", "rank", "vec_id", "score")
+    found = stored(spark, ranked(first.drop("rank").union(met(others))), "found")
+    if parts > probes:
+        named = F.col("query_id").alias("vec_id")
+        few = asked.join(found.filter(F.col("rank") == nearest).select(named), "vec_id", "left_anti")
+        rest = F.sequence(F.lit(0), F.lit(parts - 1))
+        few = stored(spark, few.groupBy("vec_id").agg(F.first("v").alias("v"), F.collect_set("part").alias("met")).select(
+            "vec_id", "v", F.explode(F.array_except(rest, "met")).alias("part"), F.lit(float("-inf")).alias("bound")), "few")
+        if not few.isEmpty():
+            found = ranked(found.drop("rank").union(met(few)))
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 def _blocks(df: DataFrame, size: int) -> dict[int, int]:

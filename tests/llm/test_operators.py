@@ -189,6 +189,43 @@ def test_language(spark, odd, empty):
     assert all(h == (zlib.crc32(str(i).encode()) % 3 == 1) for i, h in held.items())
 
 
+def test_language_by_hand(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(spark, docs.filter(~langid.held_out(F.col("doc_id"))))
+    centroids = [dict(enumerate(c.tolist())) for c in model.centroids]
+    for r in langid.identify(docs.limit(200), model).collect():
+        letters = f" {langid._NOT_LETTERS.sub(' ', (r.row.text or '').lower()).strip()} ".encode()
+        weights = collections.Counter()
+        for at in range(len(letters) - 2):
+            h = int.from_bytes(letters[at : at + 3], "big") * 0x9E3779B1 % 2**32
+            weights[(h ^ h >> 15) >> (32 - langid.BITS)] += 1
+        weights = {g: math.sqrt(n) * float(model.idf[g]) for g, n in weights.items()}
+        length = math.sqrt(sum(w * w for w in weights.values())) or 1.0
+        cosines = [sum(w * c[g] for g, w in weights.items()) / length for c in centroids]
+        if letters.strip():
+            assert abs(max(cosines) - r.score) < 1e-4
+            assert max(c for c, name in zip(cosines, model.languages) if name == r.lang_pred) > max(cosines) - 1e-4
+
+
+def test_language_rejects_noise_and_languages_it_has_not_learned(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model, rng = langid.train(spark, docs.filter(~langid.held_out(F.col("doc_id")))), random.Random(3)
+    held = langid.identify(docs.filter(langid.held_out(F.col("doc_id"))), model)
+    assert held.filter("rejected").count() <= 0.002 * held.count()
+    finnish = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto".split()
+    italian = "tutti gli esseri umani nascono liberi ed eguali in dignità e diritti essi sono dotati di ragione".split()
+    noise = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(n)) for n in (50, 100, 200)]
+    other = [" ".join(rng.choices(words, k=n)) for words in (finnish, italian) for n in (100, 500)] + ["все люди рождаются свободными " * 30]
+    texts = spark.createDataFrame([(t,) for t in noise + other], "text string")
+    assert [r.rejected for r in langid.identify(texts, model).collect()] == [True] * 8
+
+
+def test_rejection_distances():
+    counts = {("en", 8, s): 10 for s in range(100, 110)} | {("en", 9, 150): 3, ("en", 10, 180): 1000, ("en", 10, 20): 5, ("de", 3, 10): 1}
+    floors = langid.floors_of(counts)
+    assert floors["en"][[0, 8, 9, 10, 11]].round(9).tolist() == [0, 0.3, 0.3, 0.54, 0.54] and not floors["de"].any()
+
+
 def test_shards(spark, odd, empty):
     got = sharding.shard(spark, odd, slots=64).collect()
     texts = collections.Counter((r.doc_id, len((r.text or "").encode()) + 1, None if r.text is None else zlib.crc32(r.text.encode())) for r in odd.collect())
@@ -201,7 +238,13 @@ def test_shards(spark, odd, empty):
     placed = sharding.shard(spark, docs)
     loads = [r[0] for r in placed.groupBy("shard").agg(F.sum("size")).select("sum(size)").collect()]
     assert max(loads) - min(loads) < 0.001 * sum(loads)
+    many = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id")))  # a third of all rows without an id
+    split = sharding.shard(spark, many)
+    loads = [r[0] for r in split.groupBy("shard").agg(F.sum("size")).select("sum(size)").collect()]
+    assert max(loads) - min(loads) < 0.001 * sum(loads) and split.groupBy("virtual_slot").count().agg(F.max("count")).first()[0] < 20
     used = sharding.slot_bytes(placed)
+    assert {r[0]: r[1] for r in placed.select("virtual_slot", "next_shard").collect()} == {
+        r[0]: r[1] for r in sharding.grown_map(placed.select("virtual_slot", "shard").distinct(), used, 8).collect()}
     before = placed.select("virtual_slot", "shard").distinct()
     after = {r[0]: r[1] for r in sharding.grown_map(before, used, 8).collect()}
     assert all(after[r[0]] in (r[1], 8) for r in before.collect())
@@ -309,3 +352,17 @@ def test_nearest(spark):
         hits += len(set(g["vec_id"]) & set(ids[np.lexsort((ids, -score))[:20]]))
     assert hits >= 0.9 * len(got)
     assert ann.search(spark, vectors.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_nearest_gives_all_it_can(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 8)) * 5
+    points = (centres[rng.integers(0, 12, 20_000)] + 0.2 * rng.normal(size=(20_000, 8))).astype(np.float32)
+    points[:40] = rng.normal(size=(40, 8)) * 0.01  # far from all clusters
+    rows = [(i, p.tolist()) for i, p in enumerate(points)] + [(None, [1.0] * 8), (2**53 + 1, [1.0] * 8)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    got = ann.search(spark, vectors, (F.col("vec_id") % 20 == 0) | (F.col("vec_id") > 2**53)).groupBy("query_id").agg(
+        F.count("*").alias("n"), F.max("rank").alias("last")).collect()
+    assert len(got) == 1001 and all(r.n == r.last == 20 for r in got) and 2**53 + 1 in {r.query_id for r in got}
+    few = ann.search(spark, vectors.filter("vec_id < 10"), F.col("vec_id") == 0)
+    assert [r["rank"] for r in few.orderBy("rank").collect()] == list(range(1, 10))
