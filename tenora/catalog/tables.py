@@ -11,7 +11,8 @@ from tenora.plans.profile import FLAG_COLUMNS, WIDE_COLUMNS, profile, raw_custom
 from tenora.session import scratch_path, shared_files
 from tenora.sources import landing as L
 from tenora.sources import sinks as K
-from tenora.sources.audit import latest_status
+from tenora.sources.audit import IMPORT_FAILED, latest_status
+from tenora.sources.ledger import ImportLedger, import_new
 
 LOCATIONS = (
     "Locations AS (SELECT row_number() OVER (ORDER BY Country, State, City, ZipCode) AS LocationID, * FROM ("
@@ -284,3 +285,71 @@ def _(spark, sf):
     return latest_status(read_table(spark, sf, "events"), ["user_id"], "event_type", "ts")
 
 
+# --- imports that remember -----------------------------------------------------------------------------
+
+_ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+# Sources of the second run: status F unchanged, O changed to its urgent rows, P new, one gone, one that does not fit.
+_REGISTRY = {f"orders {s}.csv": "Orders" for s in "FOP"} | {"gone.csv": "Orders", "bad.csv": "Bad"}
+_CHANGED = "o_orderstatus <> 'O' OR o_orderpriority = '1-URGENT'"
+
+
+def _imported_twice(spark, sf) -> ImportLedger:
+    """The ledger of two runs over a folder that got a new and a changed source in between; made once per application."""
+    def write(root):
+        orders = read_table(spark, sf, "orders").select(*_ORDER_COLUMNS)
+
+        def source(name, rows):
+            spaced = rows.toDF(*[c.replace("_", " ") for c in rows.columns])
+            spaced.write.mode("overwrite").option("header", True).csv(f"{root}/in/{name}")
+
+        for status in "FO":
+            source(f"orders {status}.csv", orders.filter(F.col("o_orderstatus") == status))
+        source("bad.csv", orders.select("o_orderpriority"))
+        source("orders transformed.csv", orders)  # an output of an earlier run
+        source("unmapped.csv", orders.select("o_orderkey"))
+        ledger = ImportLedger(spark, f"{root}/out")
+        import_new(ledger, f"{root}/in", _REGISTRY, {"Bad": "o_orderpriority int"})
+        source("orders O.csv", orders.filter((F.col("o_orderstatus") == "O") & F.expr(_CHANGED)))
+        source("orders P.csv", orders.filter("o_orderstatus = 'P'"))
+        import_new(ledger, f"{root}/in", _REGISTRY, {"Bad": "o_orderpriority int"})
+
+    return ImportLedger(spark, f"{shared_files(spark, 'imported-twice', sf, write)}/out")
+
+
+_GOOD, _GONE = "'Success', NULL, NULL, NULL, 10", "'Failed', 'File {} does not exist', NULL, NULL, 16"
+_START = "NULL, NULL, NULL, 'Success', 'Found source files', NULL, NULL, 10, NULL"
+# The message of the failed load is the reader's own and is left out.
+_BAD = "'bad.csv', 'Bad', 'new', 'Data Import Failed', NULL, 'FAILED_READ_FILE.NO_HINT', 'KD001', 16, NULL"
+_MISSING = f"'gone.csv', 'Orders', 'missing', {_GONE.format('gone.csv')}, NULL"
+
+
+@register("import_ledger", "S1 S2 S3 S4 K6 F5 F14", f"""
+WITH counts AS (
+  SELECT 'F' AS source, count(*) AS n FROM orders WHERE o_orderstatus = 'F'
+  UNION ALL SELECT 'O', count(*) FROM orders WHERE o_orderstatus = 'O'
+  UNION ALL SELECT 'changed O', count(*) FROM orders WHERE o_orderstatus = 'O' AND ({_CHANGED})
+  UNION ALL SELECT 'P', count(*) FROM orders WHERE o_orderstatus = 'P'),
+log(LogID, Run, FileName, TableName, Action, Status, ErrorMessage, ErrorNumber, ErrorState, ErrorSeverity, source) AS (VALUES
+  (1, 1, {_START}), (2, 1, {_BAD}), (3, 1, {_MISSING}),
+  (4, 1, 'orders F.csv', 'Orders', 'new', {_GOOD}, 'F'),
+  (5, 1, 'orders O.csv', 'Orders', 'new', {_GOOD}, 'O'),
+  (6, 1, 'orders P.csv', 'Orders', 'missing', {_GONE.format('orders P.csv')}, NULL),
+  (7, 2, {_START}), (8, 2, {_BAD}), (9, 2, {_MISSING}),
+  (10, 2, 'orders F.csv', 'Orders', 'unchanged', {_GOOD}, NULL),
+  (11, 2, 'orders O.csv', 'Orders', 'changed', {_GOOD}, 'changed O'),
+  (12, 2, 'orders P.csv', 'Orders', 'new', {_GOOD}, 'P'))
+SELECT log.* EXCLUDE (source), n AS "Rows", true AS stamped FROM log LEFT JOIN counts USING (source)""")
+def _(spark, sf):
+    message = F.when(F.col("Status") != IMPORT_FAILED, F.col("ErrorMessage")).alias("ErrorMessage")
+    stamped = F.col("ImportDate").between(F.coalesce("Modified", "ImportDate"), F.current_timestamp()).alias("stamped")
+    return _imported_twice(spark, sf).entries().select(
+        "LogID", "Run", "FileName", "TableName", "Action", "Status", message, "ErrorNumber", "ErrorState", "ErrorSeverity",
+        "Rows", stamped)
+
+
+@register("imported_table", "S7 S8 S2", (
+    f"SELECT o_orderkey, o_custkey, o_orderstatus, {_decimal('o_totalprice', 3)} AS o_totalprice, "
+    "CAST(o_orderdate AS DATE) AS o_orderdate, o_orderpriority, 'orders ' || o_orderstatus || '.csv' AS source_file "
+    f"FROM orders WHERE {_CHANGED}"))
+def _(spark, sf):
+    return _imported_twice(spark, sf).table("Orders").withColumn("o_totalprice", F.col("o_totalprice").cast("double"))

@@ -140,3 +140,77 @@ def test_numbers_too_long_for_the_declared_decimal_stay_text(spark):
     rows = spark.createDataFrame([("1234567890123456", "123456789012345.5"), ("1", "2")], "long_id string, fits string")
     found = {r["column"]: r["type"] for r in L.infer_types(rows).collect()}
     assert found == {"long_id": "string", "fits": "decimal(18,3)"}
+
+
+def test_ledger_imports_only_what_is_new(spark, tmp_path):
+    from tenora.sources.ledger import ImportLedger, import_new
+
+    src = tmp_path / "in a+b"
+    src.mkdir()
+    for name, text in (("a.csv", "The id,v\n1,007\n2,8\n"), ("b.csv", "The id,v\n3,9\n"), ("x_cleaned.csv", "q\n1\n"), ("u.csv", "q\n1\n")):
+        (src / name).write_text(text)
+    names = {"a.csv": "T", "b.csv": "T", "part.csv": "T", "gone.csv": "T", "e.csv": "E"}
+    ledger = ImportLedger(spark, str(tmp_path / "out"))
+    with pytest.raises(FileNotFoundError):
+        ledger.table("T")
+
+    def run():
+        read = import_new(ledger, str(src), names)
+        last = ledger.entries().agg(L.F.max("Run")).first()[0]
+        got = ledger.entries().filter(f"Run = {last} AND FileName IS NOT NULL").collect()
+        return read, {r.FileName: (r.Action, r.Rows) for r in got if r.Action != "missing"}
+
+    def table():
+        return sorted((r.The_id, r.v) for r in ledger.table("T").collect())
+
+    assert run() == ({"T": 2}, {"a.csv": ("new", 2), "b.csv": ("new", 1)})
+    assert table() == [(1, 7), (2, 8), (3, 9)] and dict(ledger.table("T").dtypes)["v"] == "smallint"
+    assert run() == ({}, {"a.csv": ("unchanged", None), "b.csv": ("unchanged", None)})
+    (src / "part.csv").mkdir()  # a source of several files
+    (src / "part.csv" / "part-0.csv").write_text("The id,v\n4,1\n")
+    (src / "part.csv" / "part-1.csv").write_text("The id,v\n5,2\n")
+    (src / "b.csv").write_text("The id,v\n3,10\n33,11\n")
+    (src / "e.csv").write_text("only,header\n")
+    assert run() == ({"E": 1, "T": 2}, {
+        "a.csv": ("unchanged", None), "b.csv": ("changed", 2), "part.csv": ("new", 2), "e.csv": ("new", 0)})
+    assert table() == [(1, 7), (2, 8), (3, 10), (4, 1), (5, 2), (33, 11)] and ledger.table("E").count() == 0
+    (src / "b.csv").write_text("The id,v\n3,word\n")  # text: every source of the table is read again
+    read, actions = run()
+    assert read == {"T": 3} and actions["a.csv"] == ("retyped", 2)
+    assert table() == [(1, "007"), (2, "8"), (3, "word"), (4, "1"), (5, "2")]
+    ids = [r.LogID for r in ledger.entries().orderBy("LogID").collect()]
+    assert ids == list(range(1, len(ids) + 1))
+
+
+def test_ledger_keeps_the_table_of_a_failed_import(spark, tmp_path):
+    from tenora.sources.ledger import CORRECTABLE, ImportLedger, import_new
+
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.csv").write_text("id\n1\n")
+    (src / "o.csv").write_text("id\n5\n")
+    ledger, names = ImportLedger(spark, str(tmp_path / "out")), {"a.csv": "T", "o.csv": "Other"}
+    import_new(ledger, str(src), names, {"T": "id int"})
+    (src / "a.csv").write_text("id\nword\n")
+    (src / "o.csv").write_text("id\n6\n7\n")
+    assert import_new(ledger, str(src), names, {"T": "id int"}) == {"Other": 1}
+    failed = ledger.entries().filter("Run = 2 AND TableName = 'T'").first()
+    assert (failed.Action, failed.Status, failed.ErrorSeverity) == ("changed", "Data Import Failed", CORRECTABLE)
+    assert failed.ErrorNumber and failed.ErrorState and failed.ErrorProcedure == "_load" and failed.ErrorLine > 0
+    assert [r.id for r in ledger.table("T").collect()] == [1]
+    (src / "a.csv").write_text("id\n2\n")
+    assert import_new(ledger, str(src), names, {"T": "id int"}) == {"T": 1}
+    assert [r.id for r in ledger.table("T").collect()] == [2]
+    (src / "a.csv").write_text("other\n2\n")
+    import_new(ledger, str(src), names)
+    assert ledger.entries().orderBy("LogID").filter("Run = 4 AND TableName = 'T'").first().ErrorNumber == "ValueError"
+
+
+def test_ledger_without_sources(spark, tmp_path):
+    from tenora.sources.ledger import ImportLedger, import_new
+
+    (tmp_path / "in").mkdir()
+    ledger = ImportLedger(spark, str(tmp_path / "out"))
+    assert import_new(ledger, str(tmp_path / "in"), {"a.csv": "T"}) == {}
+    got = [(r.LogID, r.FileName, r.Status, r.ErrorMessage) for r in ledger.entries().orderBy("LogID").collect()]
+    assert got == [(1, None, "Failed", "No source files found"), (2, "a.csv", "Failed", "File a.csv does not exist")]
