@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,6 +29,15 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def release() -> None:
+    """Give what finished batches left behind back to the machine; Python workers stay, and wait, after their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
 def settled(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """``stored``, whose shuffle files are deleted as soon as the table is written, so disk never holds several steps'."""
     setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"

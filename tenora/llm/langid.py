@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenora.llm.common import hash32, small_batches
+from tenora.llm.common import hash32, release, small_batches
 
 BITS = 13
 #: Texts per language that centroids are fitted on, about; the choice follows a hash.
@@ -136,6 +136,7 @@ def train(
             n += batch.num_rows
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], ["gram", "n"])
+        release()
 
     counted = known.select("text").mapInArrow(frequencies, "gram long, n long").groupBy("gram").agg(F.sum("n")).collect()
     found = dict(map(tuple, counted))  # at most one number per hashed gram
@@ -168,6 +169,7 @@ def train(
         columns = list(zip(*((*key, n) for key, n in seen.items()))) or [[], [], [], []]
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int64()))], ["lang", "size", "step", "n"])
+        release()
 
     near = known.mapInArrow(distances, "lang string, size int, step int, n long").groupBy("lang", "size", "step").agg(F.sum("n"))
     return replace(model, floors=floors_of({tuple(r[:3]): r[3] for r in near.collect()}))

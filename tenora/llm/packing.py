@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tenora.llm.common import hash32, rank_rows, small_batches
+from tenora.llm.common import hash32, rank_rows, release, small_batches
 from tenora.session import stored
 
 CAPACITY = 2048
@@ -131,6 +131,8 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
                     part.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()),
                     pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary()),
                 ], names)
+        del words
+        release()
 
     return small_batches(docs).select(F.col(key), F.col(text).cast("string")).mapInArrow(cut, schema)
 
