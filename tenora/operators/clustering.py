@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
@@ -51,50 +52,89 @@ def safe_silhouette(df: DataFrame, features: str, cluster: str) -> float:
     return scorer.evaluate(df.withColumn(cluster, F.col(cluster).cast("double")))
 
 
+#: Bytes of one block of rows, as doubles, and the rows of two blocks whose distances are held at once.
+BLOCK_BYTES, TILE = 1 << 25, (256, 2048)
+#: Squared distances below this part of the squared norms are added up again from the differences, as the product cancels.
+CANCELS = 1e-5
+
+
+def _distances(x: np.ndarray, y: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all rows by one matrix product of the shifted rows; those that would lose digits by differences."""
+    u, v = x - shift, y - shift
+    norms = (u * u).sum(1)[:, None] + (v * v).sum(1)
+    squared = u @ (-2.0 * v.T)
+    squared += norms
+    rows, columns = np.nonzero(~(squared > CANCELS * norms))
+    for at in range(0, len(rows), TILE[1]):
+        i, j = rows[at:at + TILE[1]], columns[at:at + TILE[1]]
+        squared[i, j] = ((x[i] - y[j]) ** 2).sum(1)
+    return np.sqrt(squared, out=squared)
+
+
+def _distance_sums(x: np.ndarray, y: np.ndarray, of_x: np.ndarray, of_y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the distances of each row of ``x`` to the clusters of ``y``, and the other way, from one-hot members."""
+    to_y, to_x = np.zeros((len(x), of_y.shape[1])), np.zeros((len(y), of_x.shape[1]))
+    whole = x[np.isfinite(x).all(1)]
+    shift = whole.mean(0) if len(whole) else np.zeros(x.shape[1])
+    for i in range(0, len(x), TILE[0]):
+        for j in range(0, len(y), TILE[1]):
+            found = _distances(x[i:i + TILE[0]], y[j:j + TILE[1]], shift)
+            to_y[i:i + TILE[0]] += found @ of_y[j:j + TILE[1]]
+            to_x[j:j + TILE[1]] += found.T @ of_x[i:i + TILE[0]]
+    return to_y, to_x
+
+
+def _members(labels: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """The clusters, and a column for each with one where a row is its member."""
+    coded = labels.combine_chunks().dictionary_encode("encode")
+    member = np.zeros((len(coded), len(coded.dictionary)))
+    member[np.arange(len(coded)), coded.indices.to_numpy()] = 1.0
+    return coded.dictionary, member
+
+
 def silhouettes_euclidean(
-    df: DataFrame, key: str, features: str, cluster: str, blocks: int | None = None, block_rows: int = 4096
+    df: DataFrame, key: str, features: str, cluster: str, blocks: int | None = None, block_rows: int | None = None
 ) -> DataFrame:
     """(key, cluster, silhouette) with plain Euclidean distance, for data of any size.
 
-    The exact value needs every distance, so the work is quadratic; it is cut into block pairs that fit
-    a task. A task adds up the distances of its rows to each cluster of one block and emits those sums
-    only, never the pairs. Prefer :func:`safe_silhouette` on large data.
+    The exact value needs every distance, so the work is quadratic; it is cut into pairs of blocks that fit a task, each
+    distance once for both its rows. A task adds up the distances of the rows of a block to each cluster of the other and
+    emits those sums only, never the pairs. Prefer :func:`safe_silhouette` on large data.
     """
+    vectors = as_vector(df, features)
     if blocks is None:
-        blocks = max(1, -(-df.count() // block_rows))
-    rows = as_vector(df, features).select(
+        n, width = vectors.agg(F.count(F.lit(1)), F.max(F.size(vector_to_array(features)))).first()
+        most = block_rows or max(1, BLOCK_BYTES // (8 * max(1, width or 1)))
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        blocks = max(1, -(-n // most), min(-(-n // 256), math.isqrt(4 * cores)))  # pairs of blocks enough for the cores
+    rows = vectors.select(
         F.col(key).alias("id"),
         F.col(cluster).cast("int").alias("cluster"),
         vector_to_array(features).alias("x"),
         F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"),
     )
-    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = rows.withColumn("other", others)
-    right = rows.withColumnRenamed("block", "other").withColumn("block", others)
-
-    def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"id": [], "cluster": [], "to": [], "total": [], "n": []})
-        x, y, labels = np.stack(a["x"].to_numpy()), np.stack(b["x"].to_numpy()), b["cluster"].to_numpy()
-        found, where = np.unique(labels, return_inverse=True)
-        member = np.zeros((len(labels), len(found)))
-        member[np.arange(len(labels)), where] = 1.0
-        total = np.empty((len(x), len(found)))
-        for i in range(0, len(x), 256):
-            part = x[i : i + 256]
-            total[i : i + 256] = np.sqrt(((part[:, None, :] - y[None, :, :]) ** 2).sum(-1)) @ member
-        k = len(found)
-        return pd.DataFrame({
-            "id": np.repeat(a["id"].to_numpy(), k),
-            "cluster": np.repeat(a["cluster"].to_numpy(), k),
-            "to": np.tile(found, len(x)),
-            "total": total.ravel(),
-            "n": np.tile(member.sum(0).astype("int64"), len(x)),
-        })
-
-    kind = df.schema[key].dataType.simpleString()
-    partial = left.groupBy("block", "other").cogroup(right.groupBy("block", "other")).applyInPandas(
-        sums, f"id {kind}, cluster int, to int, total double, n bigint"
+    kind = df.schema[key].dataType
+    names = ["id", "cluster", "to", "total", "n"]
+
+    def sums(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = []
+        if a.num_rows and b.num_rows:
+            own = a["low"][0].as_py() == a["high"][0].as_py()
+            x, y = (np.stack(t["x"].to_numpy()) for t in (a, b))
+            (seen_a, of_a), (seen_b, of_b) = _members(a["cluster"]), _members(b["cluster"])
+            to_b, to_a = _distance_sums(x, y, of_a, of_b)
+            for rows, total, seen, member in ((a, to_b, seen_b, of_b), (b, to_a, seen_a, of_a))[:1 if own else 2]:
+                at, k = np.repeat(np.arange(len(total)), len(seen)), len(seen)
+                found.append(pa.table([
+                    rows["id"].take(at), rows["cluster"].take(at), seen.take(np.tile(np.arange(k), len(total))),
+                    pa.array(total.ravel()), pa.array(np.tile(member.sum(0).astype("int64"), len(total)))], names=names))
+        return pa.concat_tables(found) if found else pa.table(
+            [a["id"].slice(0, 0), a["cluster"].slice(0, 0), pa.array([], pa.int32()), pa.array([], pa.float64()), pa.array([], pa.int64())], names=names)
+
+    left = rows.withColumn("low", F.col("block")).withColumn("high", F.explode(F.sequence("block", F.lit(blocks - 1)))).drop("block")
+    right = rows.withColumn("high", F.col("block")).withColumn("low", F.explode(F.sequence(F.lit(0), "block"))).drop("block")
+    partial = left.groupBy("low", "high").cogroup(right.groupBy("low", "high")).applyInArrow(
+        sums, f"id {kind.simpleString()}, cluster int, to int, total double, n bigint"
     )
     per_cluster = partial.groupBy("id", "cluster", "to").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     own = F.col("to") == F.col("cluster")

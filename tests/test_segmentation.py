@@ -186,3 +186,33 @@ def test_principal_components(blobs):
 def test_more_components_than_features_are_refused(spark, blobs):
     with pytest.raises(ValueError, match="15 components"):
         Segmenter(blobs, "id", "target", exclude=["flat"]).fit_one("pca", 15, 2)
+
+
+def test_euclidean_silhouette_far_from_zero_repeated_keys_and_odd_labels(spark):
+    rng = np.random.default_rng(3)
+    v = 1e6 + rng.normal(size=(300, 5))
+    v[10] = v[11]
+    label = [None if i % 50 == 7 else int(v[i, 0] > 1e6) for i in range(300)]
+    df = spark.createDataFrame([(None if i == 5 else i // 2 if i > 290 else i, v[i].tolist(), label[i]) for i in range(300)], "id long, v array<double>, k int")
+    got = {(r.id, r.k): r.silhouette for r in silhouettes_euclidean(df, "id", "v", "k", blocks=4).collect()}
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(-1))
+    sides = np.array([-1 if k is None else k for k in label])
+    for i in range(0, 140):
+        if label[i] is None:
+            assert got[i, None] == 0.0
+        elif i != 5:
+            a = d[i, sides == label[i]].sum() / ((sides == label[i]).sum() - 1)
+            b = d[i, sides == 1 - label[i]].mean()
+            assert np.isclose(got[i, label[i]], (b - a) / max(a, b), atol=1e-7)
+    assert (None, label[5]) in got
+
+
+def test_euclidean_silhouette_takes_each_distance_once(monkeypatch):
+    from tenora.operators import clustering as C
+
+    x, y = np.random.default_rng(4).normal(size=(700, 3)), np.random.default_rng(5).normal(size=(900, 3))
+    cells, plain = [], C._distances
+    monkeypatch.setattr(C, "_distances", lambda a, b, s: cells.append(len(a) * len(b)) or plain(a, b, s))
+    to_y, to_x = C._distance_sums(x, y, np.ones((700, 1)), np.ones((900, 1)))
+    d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(-1))
+    assert sum(cells) == 700 * 900 and np.allclose(to_y[:, 0], d.sum(1)) and np.allclose(to_x[:, 0], d.sum(0))
