@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 
 #: Rows whose distances are held at once.
 BLOCK_ROWS = 4096
+#: Rows whose distances to all centres of a reduction are held at once, few enough for the caches.
+TILE_ROWS = 512
 #: Above so many partitions their sums are added up in tasks first.
 DIRECT_PARTITIONS = 64
 
@@ -120,29 +122,39 @@ def _squared(z: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def _drawn(todo: list[tuple[int, int, Reduction]], step: int) -> tuple[Callable, Callable]:
-    """Work that draws the next centre of each listed model: per model, the least key and its row."""
+    """Work that draws the next centre of each listed model: per model, the least key and its row.
+
+    Models of one reduction and seed have drawn the same centres so far, whatever their number, and draw the same next.
+    """
     sizes = [1 + r.matrix.shape[1] for _, _, r in todo]
     starts = np.cumsum([0, *sizes])
+    groups: dict[int, tuple[Reduction, dict[int, list[int]]]] = {}
+    for place, (_, m, red) in enumerate(todo):
+        groups.setdefault(id(red), (red, {}))[1].setdefault(red.models[m][1], []).append(place)
+    shared = [
+        (red, [(seed, places, red.centres[todo[places[0]][1]]) for seed, places in seeds.items()]) for red, seeds in groups.values()]
 
     def work(parts: Iterator) -> np.ndarray:
         best = np.full(starts[-1], np.inf)
         for ids, part, x in parts:
-            last, z, own = None, None, None
-            for (_, m, red), at, end in zip(todo, starts[:-1], starts[1:]):
-                if red is not last:
-                    own = red.rows(x, part)
-                    z, last = red.reduced(x[own]), red
+            keys = {seed: -np.log(_uniform(ids, seed, step)) for seed in {s for _, seeds in shared for s, *_ in seeds}}
+            for red, seeds in shared:
+                own = red.rows(x, part)
+                z = red.reduced(x[own])
                 if not len(z):
                     continue
-                chance = -np.log(_uniform(ids[own], red.models[m][1], step))
-                if step:
-                    far = _squared(z, red.centres[m]).min(1)
-                    far[far <= 1e-12 * (z * z).sum(1)] = 0.0  # the row is a centre, up to rounding: never drawn again
-                    with np.errstate(divide="ignore"):
-                        chance = chance / far
-                i = int(np.argmin(chance))
-                if chance[i] < best[at]:
-                    best[at], best[at + 1:end] = chance[i], z[i]
+                norm = (z * z).sum(1)
+                for seed, places, centres in seeds:
+                    chance = keys[seed][own]
+                    if step:
+                        far = np.maximum((centres @ (-2 * z.T) + (centres * centres).sum(1)[:, None]).min(0) + norm, 0.0)
+                        far[far <= 1e-12 * norm] = 0.0  # the row is a centre, up to rounding: never drawn again
+                        with np.errstate(divide="ignore"):
+                            chance = chance / far
+                    i = int(np.argmin(chance))
+                    for place in places:
+                        if chance[i] < best[starts[place]]:
+                            best[starts[place]], best[starts[place] + 1:starts[place + 1]] = chance[i], z[i]
         return best
 
     def merge(found: np.ndarray) -> np.ndarray:
@@ -154,29 +166,53 @@ def _drawn(todo: list[tuple[int, int, Reduction]], step: int) -> tuple[Callable,
     return work, merge
 
 
+def _by_size(red: Reduction, active: list[int]) -> list[tuple[list[int], int, np.ndarray]]:
+    """(models, their number of centres k, (-2 times a centre, its squared norm)); the first centres of all models come first."""
+    found = []
+    for k in sorted({len(red.centres[m]) for m in active}):
+        models = [m for m in active if len(red.centres[m]) == k]
+        centres = np.stack([red.centres[m] for m in models], axis=1).reshape(k * len(models), -1)
+        found.append((models, k, np.column_stack([-2 * centres, (centres * centres).sum(1)])))
+    return found
+
+
+def _nearest(known: np.ndarray, norm: np.ndarray, models: int, k: int, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows and their sum of each centre, costs of the models) of some reduced rows (z, 1); the first of equal centres counts."""
+    far = (centres @ known.T).reshape(k, models, len(known))
+    least = far.min(0)
+    total = (far == least).astype(float).reshape(k * models, len(known)) @ known
+    if total[:, -1].sum() != models * len(known):  # some row has several nearest centres, or is not a number
+        total = (far.argmin(0) == np.arange(k)[:, None, None]).astype(float).reshape(k * models, len(known)) @ known
+    return total, np.maximum(least + norm, 0.0).sum(1)
+
+
 def _moved(todo: list[tuple[Reduction, list[int]]]) -> Callable:
     """Work that adds up, per model, its inertia and for every cluster the rows and their sum."""
+    sized = [(red, active, _by_size(red, active)) for red, active in todo]
 
     def work(parts: Iterator) -> np.ndarray:
-        total = None
+        sums = [[(np.zeros(len(models)), np.zeros((k * len(models), 1 + red.matrix.shape[1]))) for models, k, _ in groups]
+                for red, _, groups in sized]
         for _, part, x in parts:
-            found = []
-            for red, active in todo:
+            for (red, _, groups), totals in zip(sized, sums):
                 z = red.reduced(x[red.rows(x, part)])
-                centres = np.concatenate([red.centres[m] for m in active])
-                distance, member, at = _squared(z, centres), np.zeros((len(z), len(centres))), 0
-                cost = []
-                for m in active:
-                    k = len(red.centres[m])
-                    nearest = distance[:, at:at + k].argmin(1) if len(z) else np.zeros(0, dtype=int)
-                    member[np.arange(len(z)), at + nearest] = 1.0
-                    cost.append(distance[np.arange(len(z)), at + nearest].sum())
-                    at += k
-                found += [np.array(cost), member.sum(0), (member.T @ z).ravel()]
-            one = np.concatenate(found)
-            total = one if total is None else total + one
-        empty = sum(len(a) + sum(len(r.centres[m]) for m in a) * (1 + r.matrix.shape[1]) for r, a in todo)
-        return np.zeros(empty) if total is None else total
+                known = np.column_stack([z, np.ones(len(z))])
+                norm = (z * z).sum(1)
+                for at in range(0, len(z), TILE_ROWS):
+                    cut = slice(at, at + TILE_ROWS)
+                    for (models, k, centres), (cost, total) in zip(groups, totals):
+                        found, costs = _nearest(known[cut], norm[cut], len(models), k, centres)
+                        cost += costs
+                        total += found
+        found = []
+        for (red, active, groups), totals in zip(sized, sums):
+            cells = {}
+            for (models, k, _), (cost, total) in zip(groups, totals):
+                total = total.reshape(k, len(models), -1)
+                cells |= {m: (cost[i], total[:, i, -1], total[:, i, :-1]) for i, m in enumerate(models)}
+            found += [np.array([cells[m][0] for m in active])]
+            found += [np.concatenate([cells[m][part].ravel() for m in active]) for part in (1, 2)]
+        return np.concatenate(found)
 
     return work
 

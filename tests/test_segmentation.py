@@ -216,3 +216,30 @@ def test_euclidean_silhouette_takes_each_distance_once(monkeypatch):
     to_y, to_x = C._distance_sums(x, y, np.ones((700, 1)), np.ones((900, 1)))
     d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(-1))
     assert sum(cells) == 700 * 900 and np.allclose(to_y[:, 0], d.sum(1)) and np.allclose(to_x[:, 0], d.sum(0))
+
+
+def test_draws_are_shared_by_models_of_a_seed_and_ties_go_to_the_first(monkeypatch):
+    from tenora.operators import kmeans as K
+
+    calls, plain = [], K._uniform
+    monkeypatch.setattr(K, "_uniform", lambda ids, seed, step: calls.append(seed) or plain(ids, seed, step))
+    rng = np.random.default_rng(2)
+    x, ids, part = rng.normal(size=(700, 4)), np.arange(700, dtype=np.uint64), np.zeros(700, dtype=int)
+    red = Reduction(np.zeros(4), np.eye(4), [(k, s) for k in (2, 3) for s in (1, 2)])
+    other = Reduction(np.zeros(4), np.eye(4), list(red.models))
+    for r in (red, other):
+        r.centres = [np.zeros((0, 4)) for _ in r.models]
+    work, _ = K._drawn([(n, m, r) for n, r in enumerate((red, other)) for m in range(4)], 0)
+    drawn = work(iter([(ids, part, x)])).reshape(2, 4, 5)
+    assert sorted(calls) == [1, 2] and np.array_equal(drawn[0], drawn[1]) and np.array_equal(drawn[0, 0], drawn[0, 2])
+    for m, seed in enumerate((1, 2)):
+        assert np.array_equal(drawn[0, m, 1:], x[np.argmin(-np.log(plain(ids, seed, 0)))])
+    red.centres = [x[[3, 3]], x[[5, 3]], x[[1, 2, 1]], x[[7, 8, 9]]]
+    sums = K._moved([(red, [0, 1, 2, 3])])(iter([(ids, part, x)]))
+    for _, m, cost, count, total in K._unpacked(sums, [(red, [0, 1, 2, 3])]):
+        far = ((x[:, None] - red.centres[m][None]) ** 2).sum(-1)
+        first = far.argmin(1)
+        assert np.isclose(cost, far.min(1).sum()) and count.sum() == 700
+        if m != 1:
+            assert count.tolist() == [float((first == j).sum()) for j in range(len(count))]
+            assert np.allclose(total, [x[first == j].sum(0) for j in range(len(count))])
