@@ -36,6 +36,10 @@ LEAST, OF = 4, 5
 ROUNDS = 2
 #: Differing bits up to which two fingerprints that share a key are verified; alike texts of the given tables differ in up to 11.
 NEAR_BITS = 11
+#: Shingles below this, a quarter of all, are compared first: most pairs are told apart by them.
+LOW = -(1 << 62)
+#: Whole sets are copied in so many parts one after another, so that not all are in a shuffle at once.
+PARTS = 4
 #: Shingles in more texts than this are ordered by their count, or those in a MAX_FREQUENT-th of all, if that is more.
 #: So there are fewer than MAX_FREQUENT of them (16 MB with their counts), which bounds what is sent to the tasks.
 FREQUENT, MAX_FREQUENT = 16, 1 << 20
@@ -96,6 +100,12 @@ def fingerprint_of(shingles: np.ndarray) -> int:
     return int(np.uint64(majority(parts, len(shingles))).view(np.int64))
 
 
+def _halves(found: list[np.ndarray]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Where the shingles below LOW lie in each sorted set, and where the others."""
+    cut = [int(np.searchsorted(x, LOW)) for x in found]
+    return [(0, c) for c in cut], [(c, len(x)) for x, c in zip(found, cut)]
+
+
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: set[bytes] = set()  # copies within a task, so that a text has at most one row a task
     for batch in batches:
@@ -107,14 +117,18 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 known.add(node), nodes.append(node), found.append(_hashes(words))
         yield pa.RecordBatch.from_arrays(
             [pa.array(nodes, pa.binary()), pa.array([len(x) for x in found], pa.int32()),
-             pa.array([fingerprint_of(x) for x in found], pa.int64()), _lists(found)], ["node", "size", "fp", "shingles"])
+             pa.array([fingerprint_of(x) for x in found], pa.int64()),
+             *[_lists([x[a:b] for x, (a, b) in zip(found, ends)]) for ends in _halves(found)]], ["node", "size", "fp", "low", "rest"])
     release()
 
 
 def sets(spark: SparkSession, docs: DataFrame, text: str = "text") -> DataFrame:
-    """(node, size, fp, shingles) of every text, stored; copies of a text that met in different tasks repeat its row."""
+    """(node, size, fp, low, rest) of every text, its shingles below LOW and the others by rising hash, stored.
+
+    Copies of a text that met in different tasks repeat its row.
+    """
     found = small_batches(docs).select(F.col(text).cast("string")).mapInArrow(
-        _shingled, "node binary, size int, fp long, shingles array<long>")
+        _shingled, "node binary, size int, fp long, low array<long>, rest array<long>")
     return settled(spark, found, "shingles")
 
 
@@ -126,7 +140,7 @@ def _frequent(spark: SparkSession, found: DataFrame) -> tuple[np.ndarray, np.nda
     total = found.agg(F.sum("size")).first()[0] or 0
     least, mean = max(FREQUENT, math.ceil(total / MAX_FREQUENT)), total / (1 << GROUP_BITS)
     group = F.shiftrightunsigned("key", 64 - GROUP_BITS)
-    keys = found.select(F.explode("shingles").alias("key"))
+    keys = found.select(F.explode(F.concat("low", "rest")).alias("key"))
     crowded = settled(spark, keys.groupBy(group.alias("group")).agg(F.count("*").alias("n")).filter(
         F.col("n") > mean + 6 * math.sqrt(mean) + FREQUENT).select("group"), "crowded")  # at most one row per group
     counts = settled(spark, keys.join(F.broadcast(crowded), group == F.col("group"), "left_semi").groupBy("key").agg(
@@ -148,7 +162,7 @@ def _prefixes(spark: SparkSession, found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(first)], ["node", "size", "keys"])
         release()
 
-    listed = small_batches(found.select("node", "size", "shingles")).mapInArrow(prefixes, "node binary, size int, keys array<long>")
+    listed = small_batches(found.select("node", "size", F.concat("low", "rest").alias("shingles"))).mapInArrow(prefixes, "node binary, size int, keys array<long>")
     listed = settled(spark, listed.select("node", "size", F.posexplode("keys").alias("place", "key")), "prefixes")
     known = listed.select("key", F.xxhash64("node").alias("text"))
     several = settled(spark, known.groupBy("key").agg(
@@ -164,18 +178,31 @@ def _room(a: tuple[str, str], b: tuple[str, str]) -> Column:
     return most * (LEAST + OF) >= LEAST * (F.col(a[0]) + F.col(b[0]))
 
 
-def _verified(spark: SparkSession, pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets are alike; only the sets of texts in pairs are copied."""
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    wanted = settled(spark, found.select("node", "shingles").join(asked, "node", "left_semi").dropDuplicates(["node"]), "wanted")
-    both = pairs
+def _joined(spark: SparkSession, pairs: DataFrame, found: DataFrame, shingles: Column, parts: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs with size_u, size_v, of_u, of_v, the table to discard after): pairs with the given shingles of both texts."""
+    asked = settled(spark, pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "asked")
+    wanted = None
+    for part in range(parts):
+        mine = F.pmod(F.xxhash64("node"), F.lit(parts)) == part
+        one = found.filter(mine).select("node", "size", shingles.alias("of")).join(asked.filter(mine), "node", "left_semi")
+        one = settled(spark, one.dropDuplicates(["node"]), "wanted")
+        wanted = one if wanted is None else wanted.union(one)
+    both = pairs.select("u", "v")
     for k in "uv":
-        both = both.join(wanted.select(F.col("node").alias(k), F.col("shingles").alias(f"of_{k}")), k)
+        both = both.join(wanted.select(F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col("of").alias(f"of_{k}")), k)
+    return both, wanted
+
+
+def _verified(spark: SparkSession, pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose sets are alike. Those stay that could be by their shingles below LOW, then all are compared."""
     common = F.size(F.array_intersect("of_u", "of_v"))
-    alike = settled(spark, both.filter(
-        common * (LEAST + OF) >= LEAST * (F.size("of_u") + F.size("of_v"))).select("u", "v"), "alike")
-    discard(spark, wanted)
-    return alike
+    others = F.least(F.col("size_u") - F.size("of_u"), F.col("size_v") - F.size("of_v"))  # shingles of both at most, beside LOW's
+    for name, shingles, parts, most in (
+            ("possible", F.col("low"), 1, common + others), ("alike", F.concat("low", "rest"), PARTS, common)):
+        both, wanted = _joined(spark, pairs, found, shingles, parts)
+        pairs = settled(spark, both.filter(most * (LEAST + OF) >= LEAST * (F.col("size_u") + F.col("size_v"))).select("u", "v"), name)
+        discard(spark, wanted)
+    return pairs
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
