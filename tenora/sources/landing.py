@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,6 +80,23 @@ def split_cells(lines: DataFrame, column: str, separator: str = ",") -> DataFram
     return lines.select(*others, F.posexplode(F.split(column, literal)).alias("pos", "cell"))
 
 
+def _narrowest(value: Column) -> Column:
+    """Place in the ladder of the narrowest type that a text fits, the ladder's length if none; null for null.
+
+    The shape of whole numbers is tried first and once, so most cells cost one pattern and one cast.
+    """
+    casts = [value.try_cast(cast).isNotNull() for _, cast, _ in TYPE_LADDER]
+    none = F.lit(len(TYPE_LADDER))
+    shaped = F.when(value.isNull(), F.lit(None).cast("int"))
+    for shape in dict.fromkeys(shape for *_, shape in TYPE_LADDER):
+        first = next(i for i, step in enumerate(TYPE_LADDER) if step[2] == shape)
+        found = F.when(casts[first], F.lit(first))
+        for i in range(first + 1, len(TYPE_LADDER) - 1):  # numbers: the next wider ones
+            found = found.when(casts[i], F.lit(i))
+        shaped = shaped.when(value.rlike(shape), found.otherwise(none))
+    return shaped.otherwise(none)
+
+
 def infer_types(text: DataFrame, rows: str = "all") -> DataFrame:
     """(column, position, type, non_null, one failure count per ladder step).
 
@@ -90,19 +107,16 @@ def infer_types(text: DataFrame, rows: str = "all") -> DataFrame:
         text = text.limit(1)
     elif rows != "all":
         raise ValueError("rows must be 'all' or 'first'")
-    value = F.col("value")
-    cells = F.array(*[
-        F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.col(f"`{c}`").alias("value"))
-        for i, c in enumerate(text.columns)
-    ])
+    cells = text.select(F.posexplode(F.array(*[F.col(f"`{c}`") for c in text.columns])).alias("position", "value"))
+    fits = _narrowest(F.col("value")).alias("fits")
+    # A whole number that fits a type fits the wider ones; a date is no number.
     failures = [
-        F.count_if(value.isNotNull() & ~F.when(value.rlike(shape), value.try_cast(cast).isNotNull()).otherwise(False))
-        .alias(f"bad_{i}")
-        for i, (_, cast, shape) in enumerate(TYPE_LADDER)
+        F.count_if(F.col("fits") != i if i == len(TYPE_LADDER) - 1 else F.col("fits") > i).alias(f"bad_{i}")
+        for i in range(len(TYPE_LADDER))
     ]
-    seen = text.select(F.explode(cells).alias("cell")).select("cell.*").groupBy("position", "column").agg(
-        F.count(value).alias("non_null"), *failures
-    )
+    seen = cells.filter("position is not null").select("position", "value", fits).groupBy("position").agg(
+        F.count("value").alias("non_null"), *failures
+    ).withColumn("column", F.element_at(F.array(*[F.lit(c) for c in text.columns]), F.col("position") + 1))
     kind = F.when(F.col("non_null") == 0, F.lit("string"))
     for i, (name, _, _) in enumerate(TYPE_LADDER):
         kind = kind.when(F.col(f"bad_{i}") == 0, F.lit(name))

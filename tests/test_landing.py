@@ -214,3 +214,22 @@ def test_ledger_without_sources(spark, tmp_path):
     assert import_new(ledger, str(tmp_path / "in"), {"a.csv": "T"}) == {}
     got = [(r.LogID, r.FileName, r.Status, r.ErrorMessage) for r in ledger.entries().orderBy("LogID").collect()]
     assert got == [(1, None, "Failed", "No source files found"), (2, "a.csv", "Failed", "File a.csv does not exist")]
+
+
+def test_type_ladder_tries_whole_numbers_once_and_counts_each_failure(spark):
+    from pyspark.sql import functions as F
+
+    values = ["1", " -5 ", "40000", "-32768", "3000000000", "1234567890123456", "1.5", ".", "1e3", "1e99", "2020-01-02", "2020-13-45", "x", "", None, "+7", "\t8"]
+    text = spark.createDataFrame([(v, "1" if v else None) for v in values], "a string, b string")
+
+    def failures(column):
+        bad = []
+        for _, cast, shape in L.TYPE_LADDER:
+            ok = F.when(F.col(column).rlike(shape), F.col(column).try_cast(cast).isNotNull()).otherwise(False)
+            bad.append(text.filter(F.col(column).isNotNull() & ~ok).count())
+        return bad
+
+    got = {r.column: (r.position, r.non_null, [r.bad_0, r.bad_1, r.bad_2, r.bad_3]) for r in L.infer_types(text).collect()}
+    assert got == {"a": (0, 16, failures("a")), "b": (1, 15, failures("b"))}
+    plan = L.infer_types(text)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate posexplode" in plan and plan.count("RLIKE") <= 6
