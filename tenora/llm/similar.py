@@ -4,19 +4,21 @@ Each text has a SimHash fingerprint of its shingles, and Golay keys of it as in
 key, each is held against the one of the least fingerprint, if NEAR_BITS or fewer differ, and verified on the sets. So
 near copies are linked in a linear number of pairs. What the fingerprints miss is found by the exact join:
 
-All shingles have one order: rare ones by hash, then frequent ones by their count. Two sets of the least similarity or
+All shingles have one order: by the count of their group of hashes, then by hash. Two sets of the least similarity or
 more share a shingle among the first fifth of both, so only those first fifths are joined, and no pair can be missed.
-Passages that many documents share come last in the order and bring few texts together.
+Passages that many documents share make their groups larger, so they come late in the order and bring few texts together.
 
 Texts that share a shingle are first held against one of them: the most central one, whose shingles most others share,
 and then one of any part still apart. Near copies of one text are so linked in a linear number of pairs. Pairs that are
 still apart after ROUNDS of this are compared, but only if the places of the shared shingle leave room for enough others.
+
+Pairs are first held against each other by sketches of a few bits a shingle, which tell nearly all that are not alike. Sets
+are never stored for all texts, but hashed again from the texts of the pairs that are left.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,15 +38,18 @@ LEAST, OF = 4, 5
 ROUNDS = 2
 #: Differing bits up to which two fingerprints that share a key are verified; alike texts of the given tables differ in up to 11.
 NEAR_BITS = 11
-#: Shingles below this, a quarter of all, are compared first: most pairs are told apart by them.
+#: Shingles below this, a quarter of all, are in one list of a set, the others in a second.
 LOW = -(1 << 62)
-#: Whole sets are copied in so many parts one after another, so that not all are in a shuffle at once.
+#: Keys of the prefixes are dealt into so many parts that are joined one after another, so that not all are in a shuffle at once.
 PARTS = 4
-#: Shingles in more texts than this are ordered by their count, or those in a MAX_FREQUENT-th of all, if that is more.
-#: So there are fewer than MAX_FREQUENT of them (16 MB with their counts), which bounds what is sent to the tasks.
-FREQUENT, MAX_FREQUENT = 16, 1 << 20
-#: Shingles are first counted by the leading bits of their hash; only those in groups well above the mean are counted singly.
+#: Pairs whose sketches or sets are in a shuffle at once, as a share of the texts; what is more goes in parts.
+SKETCHED, COMPARED = 4, 0.25
+#: Shingles are counted and ordered by the leading bits of their hash, which bounds what is sent to the tasks (4 MB).
 GROUP_BITS = 18
+#: Rows of a table with 64 bits each that marks wanted nodes; as many bits bound what is sent to the tasks.
+MARKS = 1 << 17
+#: Least bits of a sketch for each shingle.
+SKETCH_BITS = 2
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -66,14 +71,22 @@ def shingles_of(text: str | None) -> np.ndarray:
     return _hashes(_words(text))
 
 
-def prefix_of(shingles: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The shingles of one text, given by rising hash, of which a text that is alike holds one: the first by count and hash."""
+def _groups(shingles: np.ndarray) -> np.ndarray:
+    return (shingles.view(np.uint64) >> np.uint64(64 - GROUP_BITS)).astype(np.int64)
+
+
+def prefix_of(shingles: np.ndarray, frequent: np.ndarray, counts: np.ndarray, named: np.ndarray | None = None) -> np.ndarray:
+    """The shingles of one text, given by rising hash, of which a text that is alike holds one: the first by count and hash.
+
+    ``named`` holds what ``frequent`` lists by rising value, for each shingle; left out, those are the shingles themselves.
+    """
     if not len(shingles):
         return shingles
     size, rank = len(shingles), np.zeros(len(shingles), dtype=np.int64)
     if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
-        rank = np.where(frequent[at] == shingles, counts[at], 0)
+        named = shingles if named is None else named
+        at = np.minimum(np.searchsorted(frequent, named), len(frequent) - 1)
+        rank = np.where(frequent[at] == named, counts[at], 0)
     return shingles[np.argsort(rank, kind="stable")[: size - -(-LEAST * size // OF) + 1]]
 
 
@@ -100,13 +113,24 @@ def fingerprint_of(shingles: np.ndarray) -> int:
     return int(np.uint64(majority(parts, len(shingles))).view(np.int64))
 
 
+def sketch_of(shingles: np.ndarray) -> np.ndarray:
+    """Whether an odd number of shingles falls on each bit, in a power of two of words; SKETCH_BITS a shingle or more.
+
+    Sketches of two sets differ in no more bits than the sets in shingles. The halves of a sketch make one of half its bits.
+    """
+    bits = 64 << max(0, (SKETCH_BITS * len(shingles) - 1).bit_length() - 6)
+    odd = np.bincount((shingles & (bits - 1)), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _halves(found: list[np.ndarray]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Where the shingles below LOW lie in each sorted set, and where the others."""
     cut = [int(np.searchsorted(x, LOW)) for x in found]
     return [(0, c) for c in cut], [(c, len(x)) for x, c in zip(found, cut)]
 
 
-def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[np.ndarray]]]:
+    """The nodes and sets of the texts of each batch."""
     known: set[bytes] = set()  # copies within a task, so that a text has at most one row a task
     for batch in batches:
         nodes, found = [], []
@@ -115,59 +139,94 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             node = xxhash.xxh3_128_digest(b" ".join(words))
             if node not in known:
                 known.add(node), nodes.append(node), found.append(_hashes(words))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(nodes, pa.binary()), pa.array([len(x) for x in found], pa.int32()),
-             pa.array([fingerprint_of(x) for x in found], pa.int64()),
-             *[_lists([x[a:b] for x, (a, b) in zip(found, ends)]) for ends in _halves(found)]], ["node", "size", "fp", "low", "rest"])
+        yield nodes, found
     release()
 
 
+def _described(nodes: list[bytes], found: list[np.ndarray]) -> list[pa.Array]:
+    return [pa.array(nodes, pa.binary()), pa.array([len(x) for x in found], pa.int32()),
+            pa.array([fingerprint_of(x) for x in found], pa.int64()), _lists([sketch_of(x) for x in found])]
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for nodes, found in _hashed(batches):
+        yield pa.RecordBatch.from_arrays(_described(nodes, found), ["node", "size", "fp", "sketch"])
+
+
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for nodes, found in _hashed(batches):
+        halves = [_lists([x[a:b] for x, (a, b) in zip(found, ends)]) for ends in _halves(found)]
+        yield pa.RecordBatch.from_arrays([*_described(nodes, found), *halves], ["node", "size", "fp", "sketch", "low", "rest"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(1 << GROUP_BITS, dtype=np.int64)
+    for _, found in _hashed(batches):
+        counts += np.bincount(_groups(np.concatenate([*found, np.empty(0, np.int64)])), minlength=len(counts))
+    used = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["group", "n"])
+
+
+DESCRIBED = "node binary, size int, fp long, sketch array<long>"
+
+
+def _texts(docs: DataFrame, text: str) -> DataFrame:
+    return small_batches(docs).select(F.col(text).cast("string").alias("text"))
+
+
 def sets(spark: SparkSession, docs: DataFrame, text: str = "text") -> DataFrame:
-    """(node, size, fp, low, rest) of every text, its shingles below LOW and the others by rising hash, stored.
+    """(node, size, fp, sketch, low, rest) of every text, its shingles below LOW and the others by rising hash.
 
     Copies of a text that met in different tasks repeat its row.
     """
-    found = small_batches(docs).select(F.col(text).cast("string")).mapInArrow(
-        _shingled, "node binary, size int, fp long, low array<long>, rest array<long>")
-    return settled(spark, found, "shingles")
+    return _texts(docs, text).mapInArrow(_shingled, f"{DESCRIBED}, low array<long>, rest array<long>")
+
 
+def described(spark: SparkSession, docs: DataFrame, text: str = "text") -> DataFrame:
+    """(node, size, fp, sketch) of every text, stored. Copies that met in different tasks repeat a row."""
+    return settled(spark, _texts(docs, text).mapInArrow(_sketched, DESCRIBED), "texts")
 
-def _frequent(spark: SparkSession, found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The frequent shingles by rising hash, and in how many texts each is.
 
-    One whose group of hashes is not above the mean by six deviations counts as rare, which is as right as any order.
+def _among(rows: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Column]:
+    """The rows, and whether their node may be among the given ones: always true for those, seldom for others.
+
+    The given nodes are marked in a table of bits of bounded size, so neither they nor the rows are shuffled.
     """
-    total = found.agg(F.sum("size")).first()[0] or 0
-    least, mean = max(FREQUENT, math.ceil(total / MAX_FREQUENT)), total / (1 << GROUP_BITS)
-    group = F.shiftrightunsigned("key", 64 - GROUP_BITS)
-    keys = found.select(F.explode(F.concat("low", "rest")).alias("key"))
-    crowded = settled(spark, keys.groupBy(group.alias("group")).agg(F.count("*").alias("n")).filter(
-        F.col("n") > mean + 6 * math.sqrt(mean) + FREQUENT).select("group"), "crowded")  # at most one row per group
-    counts = settled(spark, keys.join(F.broadcast(crowded), group == F.col("group"), "left_semi").groupBy("key").agg(
-        F.count("*").alias("n")).filter(F.col("n") > least), "frequent")
-    got = counts.orderBy("key").toArrow()
-    return got["key"].to_numpy(), got["n"].to_numpy()
-
-
-def _prefixes(spark: SparkSession, found: DataFrame) -> DataFrame:
+    h = F.xxhash64("node")
+    row, bit = F.pmod(h, F.lit(MARKS)).cast("int"), F.call_function(
+        "shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int"))
+    marks = nodes.groupBy(row.alias("mark_row")).agg(F.bit_or(bit).alias("marked"))
+    return rows.join(F.broadcast(marks), row == F.col("mark_row"), "left"), F.coalesce(F.col("marked").bitwiseAND(bit) != 0, F.lit(False))
+
+
+def _counts(spark: SparkSession, docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The groups of hashes by rising number, and how many shingles of texts each has. Any order of shingles is right."""
+    counts = settled(spark, _texts(docs, text).mapInArrow(_counted, "group long, n long").groupBy("group").agg(
+        F.sum("n").alias("n")), "groups")
+    got = counts.orderBy("group").toArrow()  # at most 2 ** GROUP_BITS rows
+    return got["group"].to_numpy(), got["n"].to_numpy()
+
+
+def _prefixes(spark: SparkSession, docs: DataFrame, text: str) -> DataFrame:
     """(node, size, place, key, n) of all shingles of the prefixes that several texts have in theirs, stored."""
-    order = spark.sparkContext.broadcast(_frequent(spark, found))
+    order = spark.sparkContext.broadcast(_counts(spark, docs, text))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, counts = order.value
-        for batch in batches:
-            lists = batch.column(2)
-            values, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            first = [prefix_of(values[a:b], frequent, counts) for a, b in zip(offsets[:-1], offsets[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(first)], ["node", "size", "keys"])
-        release()
-
-    listed = small_batches(found.select("node", "size", F.concat("low", "rest").alias("shingles"))).mapInArrow(prefixes, "node binary, size int, keys array<long>")
+        groups, counts = order.value
+        for nodes, found in _hashed(batches):
+            first = [prefix_of(x, groups, counts, _groups(x)) for x in found]
+            sizes = pa.array([len(x) for x in found], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), sizes, _lists(first)], ["node", "size", "keys"])
+
+    listed = _texts(docs, text).mapInArrow(prefixes, "node binary, size int, keys array<long>")
     listed = settled(spark, listed.select("node", "size", F.posexplode("keys").alias("place", "key")), "prefixes")
-    known = listed.select("key", F.xxhash64("node").alias("text"))
-    several = settled(spark, known.groupBy("key").agg(
-        F.count("*").alias("n"), F.min("text").alias("a"), F.max("text").alias("b")).filter("a < b").select("key", "n"), "shared-keys")
-    shared = settled(spark, listed.join(several, "key"), "shared-prefixes")
+    shared = None
+    for part in range(PARTS):
+        mine = listed.filter(F.pmod(F.xxhash64("key"), F.lit(PARTS)) == part)
+        several = settled(spark, mine.select("key", F.xxhash64("node").alias("text")).groupBy("key").agg(
+            F.count("*").alias("n"), F.min("text").alias("a"), F.max("text").alias("b")).filter("a < b").select("key", "n"), "shared-keys")
+        one = settled(spark, mine.join(several, "key"), "shared-prefixes")
+        shared = one if shared is None else shared.union(one)
     discard(spark, listed)
     return shared
 
@@ -178,30 +237,58 @@ def _room(a: tuple[str, str], b: tuple[str, str]) -> Column:
     return most * (LEAST + OF) >= LEAST * (F.col(a[0]) + F.col(b[0]))
 
 
-def _joined(spark: SparkSession, pairs: DataFrame, found: DataFrame, shingles: Column, parts: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs with size_u, size_v, of_u, of_v, the table to discard after): pairs with the given shingles of both texts."""
+def _joined(spark: SparkSession, pairs: DataFrame, rows: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(pairs with size_u, size_v, of_u, of_v, the table to discard after). ``rows`` returns (node, size, of) of asked nodes."""
     asked = settled(spark, pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "asked")
-    wanted = None
-    for part in range(parts):
-        mine = F.pmod(F.xxhash64("node"), F.lit(parts)) == part
-        one = found.filter(mine).select("node", "size", shingles.alias("of")).join(asked.filter(mine), "node", "left_semi")
-        one = settled(spark, one.dropDuplicates(["node"]), "wanted")
-        wanted = one if wanted is None else wanted.union(one)
+    wanted = settled(spark, rows(asked).dropDuplicates(["node"]), "wanted")
     both = pairs.select("u", "v")
     for k in "uv":
         both = both.join(wanted.select(F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col("of").alias(f"of_{k}")), k)
     return both, wanted
 
 
-def _verified(spark: SparkSession, pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets are alike. Those stay that could be by their shingles below LOW, then all are compared."""
-    common = F.size(F.array_intersect("of_u", "of_v"))
-    others = F.least(F.col("size_u") - F.size("of_u"), F.col("size_v") - F.size("of_v"))  # shingles of both at most, beside LOW's
-    for name, shingles, parts, most in (
-            ("possible", F.col("low"), 1, common + others), ("alike", F.concat("low", "rest"), PARTS, common)):
-        both, wanted = _joined(spark, pairs, found, shingles, parts)
-        pairs = settled(spark, both.filter(most * (LEAST + OF) >= LEAST * (F.col("size_u") + F.col("size_v"))).select("u", "v"), name)
-        discard(spark, wanted)
+def _differing() -> Column:
+    """In how many bits the sketches of_u and of_v differ, the longer of them folded. Alike texts' lengths are at most a half apart."""
+    def folded(a: str, b: str) -> Column:
+        half = (F.size(a) / 2).cast("int")
+        halves = F.zip_with(F.slice(a, 1, half), F.slice(a, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(a) > F.size(b), halves).otherwise(F.col(a))
+
+    bits = F.zip_with(folded("of_u", "of_v"), folded("of_v", "of_u"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(bits, F.lit(0), lambda total, n: total + n)
+
+
+def _verified(
+    spark: SparkSession, pairs: DataFrame, found: DataFrame, whole: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """The pairs (u, v) whose sets are alike. Those stay that could be by their sketches, then the sets are compared.
+
+    ``found`` has (node, size, sketch) of all texts. ``whole`` returns (node, size, low, rest) of the given nodes at least;
+    left out, they are in ``found``.
+    """
+    def chosen(nodes: DataFrame) -> DataFrame:
+        rows, may = _among(found, nodes)
+        return rows.filter(may)
+
+    def sketches(nodes: DataFrame) -> DataFrame:
+        return chosen(nodes).select("node", "size", F.col("sketch").alias("of"))
+
+    def lists(nodes: DataFrame) -> DataFrame:
+        return (whole or chosen)(nodes).select("node", "size", F.concat("low", "rest").alias("of"))
+
+    sizes, common, total = F.col("size_u") + F.col("size_v"), F.size(F.array_intersect("of_u", "of_v")), found.count()
+    for name, rows, most, alike in (
+            ("possible", sketches, SKETCHED, _differing() * (LEAST + OF) <= (OF - LEAST) * sizes),
+            ("alike", lists, COMPARED, common * (LEAST + OF) >= LEAST * sizes)):
+        if not (n := pairs.count()):
+            break
+        parts, left = 1 + int(n / (most * total)), None
+        for part in range(parts):  # by v, which many pairs may share
+            both, wanted = _joined(spark, pairs.filter(F.pmod(F.xxhash64("v"), F.lit(parts)) == part), rows)
+            one = settled(spark, both.filter(alike).select("u", "v"), name)
+            discard(spark, wanted)
+            left = one if left is None else left.union(one)
+        pairs = left
     return pairs
 
 
@@ -231,15 +318,23 @@ def _near(spark: SparkSession, found: DataFrame) -> DataFrame:
 
 def links(spark: SparkSession, docs: DataFrame, text: str = "text") -> DataFrame:
     """Pairs u > v of nodes that connect all texts at the least similarity or above, directly or through others."""
-    found = sets(spark, docs, text)
+    found = described(spark, docs, text)
+
+    def whole(nodes: DataFrame) -> DataFrame:
+        rows, may = _among(_texts(docs, text).withColumn("node", node(F.col("text"))), nodes)
+        return sets(spark, rows.filter(may))
+
     seen = _near(spark, found)
-    edges = _verified(spark, seen, found)
-    shared = _prefixes(spark, found)
+    edges = _verified(spark, seen, found, whole)
+    shared = _prefixes(spark, docs, text)
     central = shared.groupBy("node").agg(F.sum("n").alias("central"))
     places = settled(spark, shared.join(central, "node").select("node", "size", "place", "key", "central").distinct(), "keyed")
     discard(spark, shared)
     for turn in range(ROUNDS + 1):
-        state = places.join(components(spark, edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        roots = components(spark, edges)
+        rows, may = _among(places, roots)
+        linked = rows.filter(may).select(*places.columns).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        state = linked.unionByName(rows.filter(~may).select(*places.columns, F.col("node").alias("root")))
         first = F.struct(-F.col("central"), "node") if not turn else F.struct(F.xxhash64("root", "key", F.lit(turn)), F.xxhash64("node"))
         heads = state.groupBy("key").agg(
             F.min_by(F.struct("node", "size", "place", "root"), first).alias("head"),
@@ -257,6 +352,6 @@ def links(spark: SparkSession, docs: DataFrame, text: str = "text") -> DataFrame
                 (F.col("root") != F.col("other_root")) & once & _room(("size", "place"), ("other_size", "other_place")))
         pairs = settled(spark, _ordered(pairs).join(seen, ["u", "v"], "left_anti"), "pairs")
         seen = seen.union(pairs)
-        edges = edges.union(_verified(spark, pairs, found))
+        edges = edges.union(_verified(spark, pairs, found, whole))
     discard(spark, found), discard(spark, places)
     return edges.distinct()

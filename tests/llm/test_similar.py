@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tenora.llm import similar, simhash
 
@@ -111,3 +112,47 @@ def test_copies_of_a_task_are_one_set(spark):
     docs = spark.createDataFrame([(i, "A  b c d e f g") for i in range(50)] + [(50, None), (51, " ")], "doc_id long, text string").coalesce(1)
     got = similar.sets(spark, docs).orderBy("size").collect()
     assert [(r.size, len(r.low) + len(r.rest), r.fp == 0) for r in got] == [(0, 0, True), (3, 3, False)]
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_shingles(spark):
+    rng, rows = np.random.default_rng(9), []
+    for n in (0, 1, 3, 32, 33, 64, 250, 260, 3000):
+        a = np.unique(rng.integers(-(1 << 63), (1 << 63) - 1, n))
+        for kept in (1.0, 0.95, 0.85, 0.3, 0.0):
+            b = np.unique(np.concatenate([a[rng.random(len(a)) < kept], rng.integers(-(1 << 63), (1 << 63) - 1, n // 20)]))
+            if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)):
+                rows.append((len(a) + len(b), len(np.setxor1d(a, b)), similar.sketch_of(a).tolist(), similar.sketch_of(b).tolist()))
+    a = rng.integers(-(1 << 63), (1 << 63) - 1, 300)  # unlike ones of equal size
+    rows += [(600, 600, similar.sketch_of(a).tolist(), similar.sketch_of(a + 12345).tolist())]
+    assert any(len(r[2]) != len(r[3]) for r in rows)  # one is folded
+    got = spark.createDataFrame(rows, "sizes int, apart int, of_u array<long>, of_v array<long>").select(
+        "sizes", "apart", similar._differing().alias("bits")).collect()
+    assert all(0 <= r.bits <= r.apart and (r.bits == 0 or r.apart) for r in got)
+    assert 9 * got[-1].bits > 600  # so they are told apart
+
+
+def test_among_returns_all_wanted_nodes_and_few_others(spark):
+    rows = spark.range(4000).select(F.sha2(F.col("id").cast("string"), 256).cast("binary").alias("node"), "id")
+    marked, may = similar._among(rows, rows.filter("id % 10 = 0").select("node"))
+    got = [r.id for r in marked.filter(may).collect()]
+    assert len(got) == len(set(got)) and set(range(0, 4000, 10)) <= set(got) and len(got) < 450
+    marked, may = similar._among(rows, rows.limit(0).select("node"))
+    assert marked.filter(may).count() == 0 and marked.filter(~may).count() == 4000
+
+
+def test_sets_of_texts_that_no_pair_needs_are_not_written(spark, monkeypatch):
+    rng = random.Random(10)
+    words, written, settled = [f"w{i}" for i in range(4000)], [], similar.settled
+    texts = {i: " ".join(rng.choices(words, k=150)) for i in range(300)}  # no two alike
+    texts |= {300 + i: texts[i] + " more" for i in range(10)}
+
+    def noted(spark, df, name):
+        out = settled(spark, df, name)
+        longs = [f.name for f in out.schema if f.dataType.simpleString() == "array<bigint>"]
+        written.append(max([0, *out.agg(*[F.sum(F.size(c)) for c in longs]).first()]) if longs else 0)
+        return out
+
+    monkeypatch.setattr(similar, "settled", noted)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert similar.links(spark, docs).count() == 10
+    assert max(filter(None, written)) < 310 * 146 / 4  # whole sets of the 20 texts of pairs, and sketches
