@@ -129,15 +129,17 @@ def _halves(found: list[np.ndarray]) -> tuple[list[tuple[int, int]], list[tuple[
     return [(0, c) for c in cut], [(c, len(x)) for x, c in zip(found, cut)]
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[np.ndarray]]]:
-    """The nodes and sets of the texts of each batch."""
+def _hashed(
+    batches: Iterator[pa.RecordBatch], marks: np.ndarray | None = None,
+) -> Iterator[tuple[list[bytes], list[np.ndarray]]]:
+    """The nodes and sets of the texts of each batch, or of those texts only whose nodes have a mark."""
     known: set[bytes] = set()  # copies within a task, so that a text has at most one row a task
     for batch in batches:
         nodes, found = [], []
         for text in batch.column(0).to_pylist():
             words = _words(text)
             node = xxhash.xxh3_128_digest(b" ".join(words))
-            if node not in known:
+            if node not in known and (marks is None or marked(marks, node)):
                 known.add(node), nodes.append(node), found.append(_hashes(words))
         yield nodes, found
     release()
@@ -153,8 +155,8 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(_described(nodes, found), ["node", "size", "fp", "sketch"])
 
 
-def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for nodes, found in _hashed(batches):
+def _shingled(batches: Iterator[pa.RecordBatch], marks: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    for nodes, found in _hashed(batches, marks):
         halves = [_lists([x[a:b] for x, (a, b) in zip(found, ends)]) for ends in _halves(found)]
         yield pa.RecordBatch.from_arrays([*_described(nodes, found), *halves], ["node", "size", "fp", "sketch", "low", "rest"])
 
@@ -174,12 +176,22 @@ def _texts(docs: DataFrame, text: str) -> DataFrame:
     return small_batches(docs).select(F.col(text).cast("string").alias("text"))
 
 
-def sets(spark: SparkSession, docs: DataFrame, text: str = "text") -> DataFrame:
+def sets(spark: SparkSession, docs: DataFrame, text: str = "text", nodes: DataFrame | None = None) -> DataFrame:
     """(node, size, fp, sketch, low, rest) of every text, its shingles below LOW and the others by rising hash.
 
-    Copies of a text that met in different tasks repeat its row.
+    Copies of a text that met in different tasks repeat its row. Of ``nodes``, if given, all are returned, and few others;
+    their marks are tested where the texts are hashed, as a second worker for each task would need memory of its own.
     """
-    return _texts(docs, text).mapInArrow(_shingled, f"{DESCRIBED}, low array<long>, rest array<long>")
+    marks = None if nodes is None else _marks(nodes).toArrow()  # at most MARKS rows
+    if marks is not None:
+        bits = np.zeros(MARKS, dtype=np.int64)
+        bits[marks["mark_row"].to_numpy()] = marks["marked"].to_numpy()
+        marks = spark.sparkContext.broadcast(bits)
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _shingled(batches, marks and marks.value)
+
+    return _texts(docs, text).mapInArrow(shingled, f"{DESCRIBED}, low array<long>, rest array<long>")
 
 
 def described(spark: SparkSession, docs: DataFrame, text: str = "text") -> DataFrame:
@@ -187,16 +199,31 @@ def described(spark: SparkSession, docs: DataFrame, text: str = "text") -> DataF
     return settled(spark, _texts(docs, text).mapInArrow(_sketched, DESCRIBED), "texts")
 
 
+def _mark() -> tuple[Column, Column]:
+    """The row and the bit that mark a node."""
+    h, one = F.xxhash64("node"), F.lit(1).cast("long")
+    return F.pmod(h, F.lit(MARKS)).cast("int"), F.call_function("shiftleft", one, F.shiftrightunsigned(h, 58).cast("int"))
+
+
+def marked(marks: np.ndarray, node: bytes) -> bool:
+    """Whether a node's bit is set, as by ``_mark``."""
+    h = xxhash.xxh64_intdigest(node, 42)  # the hash and seed of F.xxhash64
+    return bool(int(marks[h & (MARKS - 1)]) >> (h >> 58) & 1)
+
+
+def _marks(nodes: DataFrame) -> DataFrame:
+    row, bit = _mark()
+    return nodes.groupBy(row.alias("mark_row")).agg(F.bit_or(bit).alias("marked"))
+
+
 def _among(rows: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Column]:
     """The rows, and whether their node may be among the given ones: always true for those, seldom for others.
 
     The given nodes are marked in a table of bits of bounded size, so neither they nor the rows are shuffled.
     """
-    h = F.xxhash64("node")
-    row, bit = F.pmod(h, F.lit(MARKS)).cast("int"), F.call_function(
-        "shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int"))
-    marks = nodes.groupBy(row.alias("mark_row")).agg(F.bit_or(bit).alias("marked"))
-    return rows.join(F.broadcast(marks), row == F.col("mark_row"), "left"), F.coalesce(F.col("marked").bitwiseAND(bit) != 0, F.lit(False))
+    row, bit = _mark()
+    return (rows.join(F.broadcast(_marks(nodes)), row == F.col("mark_row"), "left"),
+            F.coalesce(F.col("marked").bitwiseAND(bit) != 0, F.lit(False)))
 
 
 def _counts(spark: SparkSession, docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -321,8 +348,7 @@ def links(spark: SparkSession, docs: DataFrame, text: str = "text") -> DataFrame
     found = described(spark, docs, text)
 
     def whole(nodes: DataFrame) -> DataFrame:
-        rows, may = _among(_texts(docs, text).withColumn("node", node(F.col("text"))), nodes)
-        return sets(spark, rows.filter(may))
+        return sets(spark, docs, text, nodes)
 
     seen = _near(spark, found)
     edges = _verified(spark, seen, found, whole)

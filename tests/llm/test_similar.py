@@ -156,3 +156,12 @@ def test_sets_of_texts_that_no_pair_needs_are_not_written(spark, monkeypatch):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     assert similar.links(spark, docs).count() == 10
     assert max(filter(None, written)) < 310 * 146 / 4  # whole sets of the 20 texts of pairs, and sketches
+
+
+def test_sets_of_given_nodes(spark):
+    docs = spark.createDataFrame([(f"{i} a b c d e f {i}",) for i in range(400)], "text string").repartition(3)
+    named = docs.select("text", similar.node(F.col("text")).alias("node"))
+    asked = named.filter("text like '1%'").select("node")
+    got = {bytes(r.node) for r in similar.sets(spark, docs, "text", asked).collect()}
+    assert {bytes(r.node) for r in asked.collect()} <= got and len(got) < 150
+    assert similar.sets(spark, docs, "text", asked.limit(0)).count() == 0
